@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill.llm.exact import exact_dedup
+from wavemill.llm.secrets import BASE, scan_secrets, spans_text
 from wavemill.llm.shards import shard_documents
 from wavemill.llm.urls import filter_urls, rule_table
 
@@ -62,6 +63,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir), hash_all=True).drop("_text_key")
 
 
+@_query("op3_secret_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(_documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE],
+        F.sha2(spans_text(base), 256).alias("base_sha256"),
+        spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 @_query("op9_sharding")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = shard_documents(_documents(spark, sf_dir), 24)
