@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill.llm.exact import exact_dedup
 from wavemill.llm.secrets import BASE, scan_secrets, spans_text
 from wavemill.llm.shards import shard_documents
+from wavemill.llm.tokens import new_folder, read_tokens, write_tokens
 from wavemill.llm.urls import filter_urls, rule_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +34,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _count_kind(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -69,12 +74,24 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     return found.select(
         "doc_id",
-        *[F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE],
+        *[_count_kind(k) for k in BASE],
         F.sha2(spans_text(base), 256).alias("base_sha256"),
         spans_text(F.col("spans")).alias("spans"),
     )
 
 
+@_query("op4_token_files")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _documents(spark, sf_dir)
+    folder = new_folder(docs)
+    manifest = write_tokens(docs, folder, public_tokenizers.path("word_bpe_49k.json"))
+    return read_tokens(manifest, folder).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
 @_query("op9_sharding")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = shard_documents(_documents(spark, sf_dir), 24)
