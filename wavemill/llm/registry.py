@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wavemill.llm.exact import exact_dedup
 from wavemill.llm.secrets import BASE, scan_secrets, spans_text
 from wavemill.llm.shards import shard_documents
+from wavemill.llm.simhash import near_components
 from wavemill.llm.tokens import new_folder, read_tokens, write_tokens
 from wavemill.llm.urls import filter_urls, rule_table
 
@@ -92,6 +93,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query("op5_simhash")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_components(_documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @_query("op9_sharding")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = shard_documents(_documents(spark, sf_dir), 24)

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of narrow links that a task takes when rounds of contraction get small.
+ROWS_A_TASK = 50_000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
@@ -75,32 +79,34 @@ def apply_decisions(docs: DataFrame, decisions: DataFrame, id_col: str, text_col
     return plain.unionByName(single)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 80) -> DataFrame:
     """Connected components by randomised contraction: (node, root), for nodes that have an edge.
 
     ``edges``: long columns ``u`` and ``v``. Each round every node takes the neighbour (or itself)
     with the smallest hash of that round, edges are renamed and those within one node dropped, so
     the nodes shrink by a constant factor a round whatever the shape. Neighbours are reduced with
-    ``min_by``, which combines before the shuffle; nothing is collected. Roots are some node of the
+    ``min``, which combines before the shuffle; nothing is collected. Roots are some node of the
     component, not its smallest.
     """
+    slots = task_slots(edges.sparkSession)
     both = edges.where(F.col("u") != F.col("v")).select("u", "v")
     both = settle(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    names = settle(both.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node")))
+    names = both.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node"))
     for i in range(max_rounds):
-        if both.isEmpty():
+        n = both.count()
+        if not n:
             return names
+        parts = max(1, min(slots, -(-n // ROWS_A_TASK)))
         rank = lambda c: F.struct(F.xxhash64(F.lit(i), F.col(c)).alias("h"), F.col(c).alias("x"))  # noqa: B023, E731
         step = settle(
-            both.groupBy("u").agg(F.least(F.min(rank("v")), rank("u"))["x"].alias("to")).select(F.col("u").alias("x"), "to")
-        )
-        names = settle(
-            names.join(step, F.col("root") == F.col("x"), "left").select("node", F.coalesce("to", "root").alias("root"))
+            both.groupBy("u").agg(F.least(F.min(rank("v")), F.min(rank("u")))["x"].alias("to")).select(F.col("u").alias("x"), "to").coalesce(parts)
         )
+        names = names.join(step, F.col("root") == F.col("x"), "left").select("node", F.coalesce("to", "root").alias("root"))
+        if i % 4 == 3:
+            names = settle(names)
         a, b = step.select(F.col("x").alias("u"), F.col("to").alias("a")), step.select(F.col("x").alias("v"), F.col("to").alias("b"))
-        both = settle(
-            both.join(a, "u").join(b, "v").where(F.col("a") != F.col("b")).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
-        )
+        met = both.join(a, "u").join(b, "v").where(F.col("a") != F.col("b"))
+        both = settle(met.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct().coalesce(parts))
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")
 
 
