@@ -4,8 +4,9 @@ Rows are dealt to ranges of ids, each task encodes its range and writes one file
 :mod:`wavemill.llm.frames`), and a manifest lists the files. Readers go through the manifest and read
 one file, or only chosen documents' frames, in a task.
 
-Encoding takes one pass: white space never is part of a token of this tokenizer's vocabulary, and no
-token spans it, so each distinct stretch between white space is encoded once and remembered.
+White space never is part of a token of this tokenizer's vocabulary, and no token spans it, so each
+distinct stretch between white space is encoded once and remembered. The tokenizer lower-cases, and
+parts letters from closing marks, so an ASCII stretch takes the ids of its lower-case core and marks.
 
 Defined results: a null text counts as empty, and an empty one is the end id alone; a null id comes
 first; rows that repeat an id stay beside each other, ordered by text; an empty table gives no files and
@@ -15,6 +16,8 @@ manifest names the one of the attempt that was committed.
 
 from __future__ import annotations
 
+import re
+import struct
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,10 +32,14 @@ from wavemill.llm.frames import Reader, Writer
 from wavemill.llm.shared import require_columns, shared_folder, task_slots
 
 END_ID = 2
-#: Distinct stretches remembered in a worker; the memory is emptied when full.
-REMEMBERED = 400_000
-#: White space that surely separates tokens (a part of what the tokenizer itself drops).
-SPACES = " \t\n\r\x0b\x0c"
+#: Distinct stretches remembered in a worker, in two generations: the older is dropped when the newer is
+#: half of this, and what was used since is kept.
+REMEMBERED = 800_000
+#: str.split() parts at these also, which the tokenizer's pattern doesn't take for white space.
+_ODD = re.compile("[\x1c-\x1f]")
+_ODD_GAPS = str.maketrans(dict.fromkeys(" \t\n\r\x0b\x0c", " "))
+#: After a letter or digit these surely begin a token.
+MARKS = ".,;:!?"
 
 
 class StretchEncoder:
@@ -45,23 +52,44 @@ class StretchEncoder:
         self.tok.no_padding()
         self.tok.no_truncation()
         self.known: dict[str, bytes] = {}
-        self.gap = str.maketrans(dict.fromkeys(SPACES, " "))
-        self.specials = tuple(t.content for t in self.tok.get_added_tokens_decoder().values())
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.older: dict[str, bytes] = {}
+
+    def _learn(self, new: set[str]) -> None:
+        """Remember ids of stretches; plain ones share those of their core, without case and closing marks."""
+        known, cores, plain = self.known, set(), {}
+        for w in new:
+            core = w.rstrip(MARKS) if w.isascii() else ""
+            if core and core[-1].isalnum() and "<" not in core:
+                plain[w] = core.lower(), w[len(core) :]
+                cores.update(plain[w])
+            else:
+                cores.add(w)
+        older = self.older
+        todo = []
+        for c in cores:
+            if c not in known:
+                if c in older:
+                    known[c] = older[c]
+                else:
+                    todo.append(c)
+        for i in range(0, len(todo), 50_000):
+            some = todo[i : i + 50_000]
+            for c, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                ids = e.ids
+                known[c] = struct.pack(f"<{len(ids)}I", *ids)
+        for w, (core, tail) in plain.items():
+            known[w] = known[core] + known[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        parts = [t.translate(self.gap).split(" ") for t in texts]
-        new = list({w for p in parts for w in p if w not in known})
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list({w for p in parts for w in p})
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for w, e in zip(some, self.tok.encode_batch(some, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        parts = [t.split() if _ODD.search(t) is None else t.translate(_ODD_GAPS).split(" ") for t in texts]
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        words = set().union(*parts)
+        words -= known.keys()
+        for w in words & older.keys():
+            known[w] = older[w]
+        self._learn(words - older.keys())
         return [b"".join(map(known.__getitem__, p)) for p in parts]
 
 
