@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavemill.llm.decontam import find_contamination
 from wavemill.llm.exact import exact_dedup
 from wavemill.llm.secrets import BASE, scan_secrets, spans_text
 from wavemill.llm.shards import shard_documents
@@ -105,3 +106,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot"
     )
+
+
+@_query("op10_decontamination")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
