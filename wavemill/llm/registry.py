@@ -13,6 +13,7 @@ from wavemill.llm.secrets import BASE, scan_secrets, spans_text
 from wavemill.llm.shards import shard_documents
 from wavemill.llm.simhash import near_components
 from wavemill.llm.tokens import new_folder, read_tokens, write_tokens
+from wavemill.llm.toxicity import HELD_OUT, fit, fold, score
 from wavemill.llm.urls import filter_urls, rule_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +101,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@_query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(docs, model).select(
+        "doc_id", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 @_query("op9_sharding")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = shard_documents(_documents(spark, sf_dir), 24)
