@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wavemill.llm.decontam import find_contamination
 from wavemill.llm.exact import exact_dedup
+from wavemill.llm.pieces import encode_pieces
 from wavemill.llm.secrets import BASE, scan_secrets, spans_text
 from wavemill.llm.shards import shard_documents
 from wavemill.llm.simhash import near_components
@@ -101,6 +102,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@_query("op7_sentencepiece")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = encode_pieces(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
+    return found.select("doc_id", F.size("ids").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 @_query("op8_toxicity")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
