@@ -6,7 +6,7 @@ one file, or only chosen documents' frames, in a task.
 
 White space never is part of a token of this tokenizer's vocabulary, and no token spans it, so each
 distinct stretch between white space is encoded once and remembered. The tokenizer lower-cases, and
-parts letters from closing marks, so an ASCII stretch takes the ids of its lower-case core and marks.
+parts letters and digits from closing marks, so a stretch takes the ids of its core and of its marks.
 
 Defined results: a null text counts as empty, and an empty one is the end id alone; a null id comes
 first; rows that repeat an id stay beside each other, ordered by text; an empty table gives no files and
@@ -16,14 +16,14 @@ manifest names the one of the attempt that was committed.
 
 from __future__ import annotations
 
-import re
-import struct
+import string
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,13 +35,26 @@ END_ID = 2
 #: Distinct stretches remembered in a worker, in two generations: the older is dropped when the newer is
 #: half of this, and what was used since is kept.
 REMEMBERED = 800_000
-#: str.split() parts at these also, which the tokenizer's pattern doesn't take for white space.
-_ODD = re.compile("[\x1c-\x1f]")
-_ODD_GAPS = str.maketrans(dict.fromkeys(" \t\n\r\x0b\x0c", " "))
+#: Characters of texts that are encoded whole: the divider below, controls that pyarrow takes for white space but
+#: the tokenizer doesn't, the first character of its special tokens, and marks that
+#: compose with ASCII letters or come out of lower-casing.
+UNSAFE = "[\\x01\\x1c-\\x1f<\u0130\u0300-\u036f]"
+#: Between stretches that are encoded together: one token that only this character gives.
+DIVIDER_MARK = "\x01"
+DIVIDER = f"\n{DIVIDER_MARK}\n"
+_LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 #: After a letter or digit these surely begin a token.
 MARKS = ".,;:!?"
 
 
+def _lowered(texts: pa.Array) -> pa.Array:
+    """A-Z to a-z in all bytes at once (``pyarrow.compute.ascii_lower`` harms other bytes of sliced arrays)."""
+    _, offsets, data = texts.buffers()
+    if data is None or not data.size:
+        return texts
+    return pa.LargeStringArray.from_buffers(len(texts), offsets, pa.py_buffer(data.to_pybytes().translate(_LOWER)), offset=texts.offset)
+
+
 class StretchEncoder:
     """Encodes texts with a ``tokenizers`` file whose pre-tokenizer drops white space."""
 
@@ -53,44 +66,81 @@ class StretchEncoder:
         self.tok.no_truncation()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-
-    def _learn(self, new: set[str]) -> None:
-        """Remember ids of stretches; plain ones share those of their core, without case and closing marks."""
-        known, cores, plain = self.known, set(), {}
+        (self.divider,) = self.tok.encode(DIVIDER_MARK, add_special_tokens=False).ids
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _encoded(self, stretches: list[str]) -> None:
+        """Remember ids of stretches, encoded as one text with the divider between them."""
+        ids = np.array(self.tok.encode_batch_fast([DIVIDER.join(stretches)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(ids == self.divider)
+        if len(cuts) != len(stretches) - 1:
+            raise ValueError("the divider isn't a token of its own")
+        raw, starts, ends = ids.tobytes(), [0, *((cuts + 1) * 4).tolist()], [*(cuts * 4).tolist(), 4 * len(ids)]
+        self.known.update(zip(stretches, [raw[i:j] for i, j in zip(starts, ends)]))
+
+    def _learn(self, new: list[str]) -> None:
+        """Remember ids of stretches; plain ones are made of those of their core and of their closing marks."""
+        known, older, cores, plain = self.known, self.older, set(), []
         for w in new:
-            core = w.rstrip(MARKS) if w.isascii() else ""
-            if core and core[-1].isalnum() and "<" not in core:
-                plain[w] = core.lower(), w[len(core) :]
-                cores.update(plain[w])
+            core = w.rstrip(MARKS)
+            if core != w and core and core[-1].isalnum():
+                tail = w[len(core) :]
+                plain.append((w, core, tail))
+                cores.add(core)
+                cores.add(tail)
             else:
                 cores.add(w)
-        older = self.older
-        todo = []
-        for c in cores:
-            if c not in known:
-                if c in older:
-                    known[c] = older[c]
-                else:
-                    todo.append(c)
-        for i in range(0, len(todo), 50_000):
-            some = todo[i : i + 50_000]
-            for c, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                ids = e.ids
-                known[c] = struct.pack(f"<{len(ids)}I", *ids)
-        for w, (core, tail) in plain.items():
+        cores -= known.keys()
+        for c in cores & older.keys():
+            known[c] = older[c]
+        cores -= older.keys()
+        todo = list(cores)
+        for i in range(0, len(todo), 10_000):
+            self._encoded(todo[i : i + 10_000])
+        for w, core, tail in plain:
             known[w] = known[core] + known[tail]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split() if _ODD.search(t) is None else t.translate(_ODD_GAPS).split(" ") for t in texts]
+    def _known(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct stretches."""
         if len(self.known) > REMEMBERED // 2:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        words = set().union(*parts)
-        words -= known.keys()
-        for w in words & older.keys():
-            known[w] = older[w]
-        self._learn(words - older.keys())
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        new = []
+        for w in words:
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
+        self._learn(new)
+        return list(map(known.__getitem__, words))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text. Texts with an UNSAFE character are encoded as they are, without the memory."""
+        texts = pa.concat_arrays([texts.cast(pa.large_string()).fill_null("")])
+        unsafe = pc.match_substring_regex(texts, UNSAFE)
+        if pc.any(unsafe).as_py():
+            whole = {i: self._whole(texts[i].as_py()) for i in pc.indices_nonzero(unsafe).to_pylist()}
+            rest = self._encode(pc.if_else(unsafe, "", texts))
+            return [whole.get(i, r) for i, r in enumerate(rest)]
+        return self._encode(texts)
+
+    def _encode(self, texts: pa.Array) -> list[bytes]:
+        parts = pc.utf8_split_whitespace(_lowered(texts))
+        coded = parts.flatten().dictionary_encode()
+        bounds = np.concatenate(([0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False)))).astype(np.int64)
+        raws = self._known(coded.dictionary.to_pylist())
+        ids = np.frombuffer(b"".join(raws), "<u4")
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
+        starts = np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        n = sizes[at]
+        before = np.concatenate(([0], np.cumsum(n)))
+        out = ids[np.repeat(starts[at] - before[:-1], n) + np.arange(before[-1])] if before[-1] else ids[:0]
+        cuts = before[bounds].tolist()
+        return [out[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -122,13 +172,12 @@ def write_tokens(
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for a in range(0, len(ids), 2000):
-                texts = batch.column(1).slice(a, 2000).fill_null("").to_pylist()
                 if out is None and ids:
                     fs.create_dir(root, recursive=True)
                     path, first = f"{root}/{uuid.uuid4().hex}.ids.zst", ids[0]
                     out = fs.open_output_stream(path, compression=None)
                     w = Writer(out.write)
-                for i, raw in zip(ids[a : a + 2000], enc.encode(texts), strict=True):
+                for i, raw in zip(ids[a : a + 2000], enc.encode(batch.column(1).slice(a, 2000)), strict=True):
                     w.add(i, raw + end)
         if out is not None:
             w.close()
