@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wavemill.llm.decontam import find_contamination
 from wavemill.llm.exact import exact_dedup
+from wavemill.llm.pii import KINDS, find_personal_data
 from wavemill.llm.pieces import encode_pieces
 from wavemill.llm.secrets import BASE, scan_secrets, spans_text
 from wavemill.llm.shards import shard_documents
@@ -38,8 +39,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _count_kind(kind: str) -> Column:
-    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+def _of_kind(kind: str) -> Callable[[Column], Column]:
+    return lambda s: s["kind"] == kind
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -78,7 +79,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     return found.select(
         "doc_id",
-        *[_count_kind(k) for k in BASE],
+        *[F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(spans_text(base), 256).alias("base_sha256"),
         spans_text(F.col("spans")).alias("spans"),
     )
@@ -102,6 +103,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@_query("op6_personal_data")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = find_personal_data(_documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["base"])
+    return found.withColumn("_base", base).select(
+        "doc_id",
+        *[F.size(F.filter("_base", _of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS],
+        F.sha2(spans_text(F.col("_base")), 256).alias("base_sha256"),
+        spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 @_query("op7_sentencepiece")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
