@@ -33,6 +33,8 @@ from wavemill.llm.shared import require_columns, settle
 
 #: Labelled rows of each label that fitting takes at most: it bounds the index and what is broadcast.
 EXAMPLES = 6000
+#: Labelled rows in a part while fitting.
+ROWS_A_PART = 1000
 #: Terms kept at most, and the least lower bound of their log-odds.
 TERMS, LEAST_ODDS = 30_000, 1.5
 #: Rows of label 1 that a term must be in.
@@ -159,9 +161,9 @@ def fit(
     picked = [(i, y) for y in (0, 1) for i in _sample(rows, y, examples)]
     ids = spark.createDataFrame(picked, f"id {docs.schema[id_col].dataType.simpleString()}, y int")
     # At most two times ``examples`` ids: broadcast, so that texts are filtered where they are read.
-    texts = settle(
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "id").select("id", "y", "text")
-    )
+    # The few rows left are dealt to as many parts as they need, not stored in a file for each part of the corpus.
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "id")
+    texts = settle(found.select("id", "y", "text").repartition(max(1, -(-len(picked) // ROWS_A_PART))))
     have = {r.y: r["count"] for r in texts.groupBy("y").count().collect()}
     h0, h1 = have.get(0, 0), have.get(1, 0)
     if not h0 or not h1:
