@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.llm.shared import ascii_lower, require_columns, settle, skew_safe_left_join, text_key
+from wavemill.llm.shared import ascii_lower, require_columns, settle, skew_safe_left_join, task_slots, text_key
 
 #: Characters of the prefix that the second step hashes.
 PREFIX = 256
@@ -37,9 +37,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.octet_length(text).alias("_n"),
         F.xxhash64(ascii_lower(F.substring(text, 1, PREFIX))).alias("_ph"),
     )
-    by_prefix = settle(rows.groupBy("_n", "_ph").agg(F.count(F.lit(1)).alias("_c")))
+    few_parts = max(1, task_slots(docs.sparkSession) // 4)  # narrow rows: fewer, larger checkpoint files
+    by_prefix = settle(rows.groupBy("_n", "_ph").agg(F.count(F.lit(1)).alias("_c")).coalesce(few_parts))
     lengths = by_prefix.groupBy("_n").agg(F.sum("_c").alias("_l")).where("_l > 1").select("_n")
-    left = settle(by_prefix.where("_c > 1").join(lengths, "_n", "left_semi").select("_n", "_ph", F.lit(True).alias("_open")))
+    left = settle(by_prefix.where("_c > 1").join(lengths, "_n", "left_semi").select("_n", "_ph", F.lit(True).alias("_open")).coalesce(few_parts))
     few = left.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     marked = rows.join(F.broadcast(left), ["_n", "_ph"], "left") if few else rows.withColumn("_open", F.lit(True))
     digest = F.sha2(ascii_lower(F.col("_text")), 256)

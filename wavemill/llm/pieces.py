@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.llm.shared import require_columns
+from wavemill.llm.shared import held_in_worker, require_columns
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Distinct words remembered in a worker, in two generations.
-REMEMBERED = 800_000
+#: Distinct words remembered in a worker, in two generations, and pairs of pieces.
+REMEMBERED, PAIRS = 500_000, 300_000
+#: Texts encoded together.
+ROWS = 1000
 UNIGRAM, BPE = 1, 2
 
 
@@ -96,7 +98,7 @@ class PieceCoder:
         self.scores = [sp.get_score(i) for i in range(n)]
         self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
         self.most = max(map(len, self.ids))
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.outside = min(self.scores) - 10.0  # what the library charges for an unknown character
@@ -116,13 +118,13 @@ class PieceCoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def _neighbours(self, left: int, right: int) -> bool:
-        key = (left, right)
+        key = left << 32 | right
         ok = self.fits.get(key)
         if ok is None:
+            if len(self.fits) >= PAIRS:
+                self.fits.clear()
             a, b = self.names[left], self.names[right]
             ok = self.fits[key] = self._merge(a + b) == [a, b]
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
         return ok
 
     @lru_cache(maxsize=65536)  # noqa: B019 one coder lives in a worker
@@ -220,9 +222,8 @@ class PieceCoder:
         return out[1:] if self.names[ids[0]].startswith(MARK) else out
 
 
-@lru_cache(maxsize=2)
 def coder(path: str) -> PieceCoder:
-    return PieceCoder(path)
+    return held_in_worker(PieceCoder, path)
 
 
 def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
@@ -233,11 +234,11 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(model)
         for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                raws = c.encode(batch.column(1).slice(a, 2000).to_pylist())
+            for a in range(0, batch.num_rows, ROWS):
+                raws = c.encode(batch.column(1).slice(a, ROWS).to_pylist())
                 values = np.frombuffer(b"".join(raws), "<i4")
                 bounds = np.concatenate(([0], np.cumsum([len(r) // 4 for r in raws]))).astype(np.int64)
-                columns = [batch.column(0).slice(a, 2000), pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(values)).cast(pa.list_(pa.int32()))]
+                columns = [batch.column(0).slice(a, ROWS), pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(values)).cast(pa.list_(pa.int32()))]
                 if decoded:
                     columns.append(pa.array([c.decode(values[i:j].tolist()) for i, j in zip(bounds[:-1], bounds[1:])], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "ids", "text"][: len(columns)])

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.llm import automaton
-from wavemill.llm.shared import require_columns
+from wavemill.llm.shared import held_in_worker, require_columns
 
 
 @dataclass(frozen=True)
@@ -157,9 +157,8 @@ class Scanner:
         return out
 
 
-@lru_cache(maxsize=4)
 def scanner(rules: tuple[Rule, ...] = RULES) -> Scanner:
-    return Scanner(rules)
+    return held_in_worker(Scanner, rules)
 
 
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import string
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+T = TypeVar("T")
 #: Rows of narrow links that a task takes when rounds of contraction get small.
 ROWS_A_TASK = 50_000
 
@@ -53,6 +55,21 @@ def skew_safe_left_join(rows: DataFrame, groups: DataFrame, key: str, size: str,
     return out.select(*rows.columns, *[F.coalesce(f"_hot_{c}", f"_many_{c}").alias(c) for c in carried])
 
 
+_held: dict[tuple, object] = {}
+
+
+def held_in_worker(make: Callable[..., T], *args) -> T:
+    """``make(*args)``, kept in this Python worker until another operator asks for something else.
+
+    Workers are used again by later stages; so what one operator remembers doesn't add up with the next one's.
+    """
+    key = (make, *args)
+    if key not in _held:
+        _held.clear()
+        _held[key] = make(*args)
+    return _held[key]
+
+
 def text_key(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 

@@ -16,10 +16,10 @@ manifest names the one of the attempt that was committed.
 
 from __future__ import annotations
 
+import os
 import string
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.llm.frames import Reader, Writer
-from wavemill.llm.shared import require_columns, shared_folder, task_slots
+from wavemill.llm.shared import held_in_worker, require_columns, shared_folder, task_slots
 
 END_ID = 2
 #: Distinct stretches remembered in a worker, in two generations: the older is dropped when the newer is
@@ -143,12 +143,9 @@ class StretchEncoder:
         return [out[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> StretchEncoder:
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return StretchEncoder(path)
+    return held_in_worker(StretchEncoder, path)
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -18,9 +18,10 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.llm.blockmax import BlockMaxIndex
-from wavemill.llm.shared import require_columns, settle
+from wavemill.llm.shared import held_in_worker, require_columns, settle
 
 #: Labelled rows of each label that fitting takes at most: it bounds the index and what is broadcast.
 EXAMPLES = 6000
@@ -46,7 +47,7 @@ PREFIXES = (4, 5, 6)
 FOLDS, HELD_OUT = 5, 0
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words whose terms a worker remembers.
-_REMEMBERED = 500_000
+_REMEMBERED = 300_000
 
 
 def fold(doc_id: Column) -> Column:
@@ -57,6 +58,11 @@ def terms_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
 
 
+def _known_words(model: str) -> dict[str, tuple[int, ...]]:
+    """Term numbers of words, for one model."""
+    return {}
+
+
 @dataclass
 class Model:
     """What scoring needs: bounded by EXAMPLES and TERMS."""
@@ -67,6 +73,7 @@ class Model:
     votes: tuple[float, float]  # labelled rows that an example of label 0 and of label 1 stands for
     base: float
     termless: float
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     @cached_property
     def index(self) -> BlockMaxIndex:
@@ -84,15 +91,11 @@ class Model:
         return np.array([y for _, y, _, _ in self.examples], float)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("index", "labels", "known")}
-
-    @cached_property
-    def known(self) -> dict[str, tuple[int, ...]]:
-        return {}
+        return {k: v for k, v in self.__dict__.items() if k not in ("index", "labels")}
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the text's terms and their weights, of unit length."""
-        known, terms, count = self.known, self.terms, Counter()
+        known, terms, count = held_in_worker(_known_words, self.key), self.terms, Counter()
         for w in _WORD.findall(text.lower()) if text else ():
             own = known.get(w)
             if own is None:
