@@ -24,3 +24,7 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# The query modules register themselves.
+from wavemill.plans import q_labels, q_signal, q_split, q_audit  # noqa: E402, F401, I001
