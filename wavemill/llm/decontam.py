@@ -19,7 +19,7 @@ are searched each; empty tables give empty results; further columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.llm.blockmax import BlockMaxIndex
-from wavemill.llm.shared import require_columns
+from wavemill.llm.shared import fresh_worker, require_columns
 
 SHINGLE, SHARE = 5, 0.8
 K1, B = 1.2, 0.75
@@ -96,14 +96,13 @@ class Matcher:
             return ids * self.width + self.width - 1  # an item of one word: that word before any other
         return ids[:-1] * self.width + ids[1:]
 
-    def match(self, texts: list[str | None]) -> list[list[tuple[int, float, float, float, float]]]:
+    def match(self, texts: Iterable[str | None]) -> list[list[tuple[int, float, float, float, float]]]:
         """For each text: (item, score, share of shingles, of question words, of answer words) of the items found."""
-        out: list[list] = [[] for _ in texts]
-        if not self.ids:
-            return out
+        out: list[list] = []
         held, places, n = [], [], 0
         for i, t in enumerate(texts):
-            if w := words_of(t):
+            out.append([])
+            if self.ids and (w := words_of(t)):
                 held.append(w)
                 places.append(i)
                 n += len(w)
@@ -208,9 +207,11 @@ def find_contamination(
 
     def search(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fresh_worker()
             m = shared.value
             for batch in batches:
-                rows = [(i, *h) for i, hits in zip(batch.column(0).to_pylist(), m.match(batch.column(1).to_pylist())) if hits for h in m.best(hits)]
+                found = zip(batch.column(0).to_pylist(), m.match(x.as_py() for x in batch.column(1)))
+                rows = [(i, *h) for i, hits in found if hits for h in m.best(hits)]
                 if rows:
                     cols = list(zip(*rows))
                     arrays = [pa.array(cols[0], batch.schema.field(0).type), *(pa.array(c) for c in cols[1:])]
@@ -232,9 +233,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
     def keep(rows: DataFrame, shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fresh_worker()
             m = shared.value
             for batch in batches:
-                yield batch.filter(pa.array([not h for h in m.match(batch.column(at).to_pylist())], pa.bool_()))
+                yield batch.filter(pa.array([not h for h in m.match(x.as_py() for x in batch.column(at))], pa.bool_()))
 
         return rows.mapInArrow(run, rows.schema)
 

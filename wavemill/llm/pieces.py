@@ -33,7 +33,7 @@ from wavemill.llm.shared import held_in_worker, require_columns
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Distinct words remembered in a worker, in two generations, and pairs of pieces.
-REMEMBERED, PAIRS = 500_000, 300_000
+REMEMBERED, PAIRS = 400_000, 300_000
 #: Texts encoded together.
 ROWS = 1000
 UNIGRAM, BPE = 1, 2

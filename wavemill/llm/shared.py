@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import string
 import tempfile
 from collections.abc import Callable, Sequence
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +62,15 @@ def skew_safe_left_join(rows: DataFrame, groups: DataFrame, key: str, size: str,
 _held: dict[tuple, object] = {}
 
 
+def fresh_worker() -> None:
+    """Drop what an operator before has left in this Python worker, and give the memory back to the system."""
+    _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def held_in_worker(make: Callable[..., T], *args) -> T:
     """``make(*args)``, kept in this Python worker until another operator asks for something else.
 
@@ -65,7 +78,7 @@ def held_in_worker(make: Callable[..., T], *args) -> T:
     """
     key = (make, *args)
     if key not in _held:
-        _held.clear()
+        fresh_worker()
         _held[key] = make(*args)
     return _held[key]
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.llm.golay import codewords
-from wavemill.llm.shared import components, require_columns, settle, skew_safe_left_join, task_slots
+from wavemill.llm.shared import components, fresh_worker, require_columns, settle, skew_safe_left_join, task_slots
 
 WORDS, DISTANCE, SEED = 3, 3, 42
 #: Fingerprints of one key that are compared in one task; larger keys are cut into blocks of this size.
@@ -65,6 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), batch.column(2)], names=[id_col, "fp", "_text_key"])

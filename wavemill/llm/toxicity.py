@@ -47,7 +47,7 @@ PREFIXES = (4, 5, 6)
 FOLDS, HELD_OUT = 5, 0
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words whose terms a worker remembers.
-_REMEMBERED = 300_000
+_REMEMBERED = 150_000
 
 
 def fold(doc_id: Column) -> Column:
