@@ -113,7 +113,7 @@ def pairs_apart(pairs: DataFrame, keys: DataFrame, key: str, id_col: str = "reco
     """Pairs whose two records differ in ``key``; two unknown keys count as the same."""
     k = keys.select(F.col(id_col).alias("_id"), F.col(key).alias("_k"))
     ka, kb = k.select(F.col("_id").alias("a"), F.col("_k").alias("ka")), k.select(F.col("_id").alias("b"), F.col("_k").alias("kb"))
-    return pairs.join(ka, "a", "left").join(kb, "b", "left").where(~F.col("ka").eqNullSafe(F.col("kb"))).drop("ka", "kb")
+    return pairs.join(ka, "a", "left").join(kb, "b", "left").where(~F.col("ka").eqNullSafe(F.col("kb"))).select(*pairs.columns)
 
 
 def window_overlap_leaks(windows: DataFrame, window: int, split: str = "split") -> DataFrame:
