@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.llm.blockmax import BlockMaxIndex
-from wavemill.llm.shared import fresh_worker, require_columns
+from wavemill.llm.shared import bounded_batches, fresh_worker, require_columns
 
 SHINGLE, SHARE = 5, 0.8
 K1, B = 1.2, 0.75
@@ -201,6 +201,7 @@ def find_contamination(
 ) -> DataFrame:
     """(id, item id, score, overlap, question_overlap, answer_overlap) for each document and each item found in it."""
     require_columns(docs, [id_col, text_col])
+    bounded_batches(docs.sparkSession)
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     spark = docs.sparkSession
     schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, score double, overlap double, question_overlap double, answer_overlap double"
@@ -229,6 +230,7 @@ def find_contamination(
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, in which no item is found. No shuffle."""
     require_columns(docs, [text_col])
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def keep(rows: DataFrame, shared) -> DataFrame:

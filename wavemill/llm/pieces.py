@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.llm.shared import held_in_worker, require_columns
+from wavemill.llm.shared import bounded_batches, held_in_worker, require_columns
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -229,6 +229,7 @@ def coder(path: str) -> PieceCoder:
 def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """id, ids (array<int>) and, if asked for, ``text``: what the ids decode to. No shuffle."""
     require_columns(docs, [id_col, text_col])
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

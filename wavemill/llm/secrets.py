@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.llm import automaton
-from wavemill.llm.shared import held_in_worker, require_columns
+from wavemill.llm.shared import bounded_batches, held_in_worker, require_columns
 
 
 @dataclass(frozen=True)
@@ -167,6 +167,7 @@ SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """id and spans, an array of (kind, start, end), for each document. No shuffle; memory is bounded by a batch."""
     require_columns(docs, [id_col, text_col])
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

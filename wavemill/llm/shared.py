@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 T = TypeVar("T")
 #: Rows of narrow links that a task takes when rounds of contraction get small.
 ROWS_A_TASK = 50_000
@@ -62,6 +63,15 @@ def skew_safe_left_join(rows: DataFrame, groups: DataFrame, key: str, size: str,
 _held: dict[tuple, object] = {}
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches hold at most ``rows`` rows in this session, unless it is set lower.
+
+    Spark's own default counts rows only, ten thousand, however long their texts are.
+    """
+    if int(spark.conf.get(BATCH_ROWS)) > rows:
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
 def fresh_worker() -> None:
     """Drop what an operator before has left in this Python worker, and give the memory back to the system."""
     _held.clear()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.llm.golay import codewords
-from wavemill.llm.shared import components, fresh_worker, require_columns, settle, skew_safe_left_join, task_slots
+from wavemill.llm.shared import bounded_batches, components, fresh_worker, require_columns, settle, skew_safe_left_join, task_slots
 
 WORDS, DISTANCE, SEED = 3, 3, 42
 #: Fingerprints of one key that are compared in one task; larger keys are cut into blocks of this size.
@@ -62,6 +62,7 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """id, fp (the fingerprint as a signed long) and _text_key, without a shuffle."""
     require_columns(docs, [id_col, text_col])
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

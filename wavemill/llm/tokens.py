@@ -29,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.llm.frames import Reader, Writer
-from wavemill.llm.shared import held_in_worker, require_columns, shared_folder, task_slots
+from wavemill.llm.shared import bounded_batches, held_in_worker, require_columns, shared_folder, task_slots
 
 END_ID = 2
+#: Texts encoded together; more of them share more of what is looked up.
+ROWS = 2500
 #: Distinct stretches remembered in a worker, in two generations: the older is dropped when the newer is
 #: half of this, and what was used since is kept.
 REMEMBERED = 800_000
@@ -160,6 +162,7 @@ def write_tokens(
 ) -> DataFrame:
     """Write the files into ``folder`` (a uri that all executors reach); the manifest, which is stored there too."""
     require_columns(docs, [id_col, text_col])
+    bounded_batches(docs.sparkSession, ROWS)
     spark = docs.sparkSession
     end = np.array([end_id], "<u4").tobytes()
 
@@ -168,13 +171,13 @@ def write_tokens(
         enc, out, w, path, size, first = encoder(tokenizer), None, None, "", 0, None
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for a in range(0, len(ids), 2000):
+            for a in range(0, len(ids), ROWS):
                 if out is None and ids:
                     fs.create_dir(root, recursive=True)
                     path, first = f"{root}/{uuid.uuid4().hex}.ids.zst", ids[0]
                     out = fs.open_output_stream(path, compression=None)
                     w = Writer(out.write)
-                for i, raw in zip(ids[a : a + 2000], enc.encode(batch.column(1).slice(a, 2000)), strict=True):
+                for i, raw in zip(ids[a : a + ROWS], enc.encode(batch.column(1).slice(a, ROWS)), strict=True):
                     w.add(i, raw + end)
         if out is not None:
             w.close()

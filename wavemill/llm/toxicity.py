@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.llm.blockmax import BlockMaxIndex
-from wavemill.llm.shared import held_in_worker, require_columns, settle
+from wavemill.llm.shared import bounded_batches, held_in_worker, require_columns, settle
 
 #: Labelled rows of each label that fitting takes at most: it bounds the index and what is broadcast.
 EXAMPLES = 6000
@@ -150,6 +150,7 @@ def fit(
 ) -> Model:
     """Learn from labelled rows; with ``held_out``, not from those of fold 0 (crc32 of the id, modulo 5)."""
     require_columns(docs, [id_col, text_col])
+    bounded_batches(docs.sparkSession)
     require_columns(labels, [id_col, label_col])
     spark = docs.sparkSession
     rows = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -218,6 +219,7 @@ def fit(
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and score of every document."""
     require_columns(docs, [id_col, text_col])
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -233,6 +235,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, that score below ``threshold``."""
     require_columns(docs, [text_col])
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
