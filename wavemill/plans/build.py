@@ -131,7 +131,7 @@ def build(spark: SparkSession, root: str, out: str, c: BuildConfig) -> dict:
         raise BuildError("no labelled windows; annotation labels: " + (", ".join(f"{r.label} ({r.n})" for r in survey) or "none"))
     rows = windows.represent(window_table(p, c), c.representation).drop("i", "q")
     dataset.write_dataset(rows, out, 8 * c.window)
-    names = {r.label: r.index for r in stats.label_map(p.labeled).collect()}
+    names = {r["label"]: r["index"] for r in stats.label_map(p.labeled).collect()}
     counts = {s: {} for s in split.SPLITS}
     for r in spark.read.parquet(f"{out.rstrip('/')}/windows").groupBy("split", "label").count().collect():
         counts[r.split][r.label] = r["count"]

@@ -31,15 +31,20 @@ def _bytes_per_sample(datatype: Column) -> Column:
     return F.element_at(F.create_map(*[x for k, (t, _) in DATATYPES.items() for x in (F.lit(k), F.lit(2 * np.dtype(t).itemsize))]), datatype)
 
 
+def _is_stem(spark: SparkSession, root: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(root + META)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def scan(spark: SparkSession, root: str, strict: bool = True) -> DataFrame:
-    """All recordings below ``root`` (or the one pair that it names), sorted annotations nested in each.
+    """All recordings below ``root`` (or the one pair that it names, with or without suffix), sorted annotations nested in each.
 
     Columns: record_id (path below root, without suffix), path, data_path, datatype, sample_rate,
     center_frequency, num_samples, declared_version, capture_time, collection, global_raw, annotations, error.
     With ``strict`` an unreadable recording raises while the plan runs; else ``error`` says why.
     """
     single = re.sub(r"\.sigmf-(meta|data)$", "", root)
-    one = single != root
+    one = single != root or _is_stem(spark, root)
     metas = spark.read.text(single + META, wholetext=True) if one else spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{META}").text(root, wholetext=True)
     files = spark.read.format("binaryFile")
     files = files.load(single + DATA) if one else files.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{DATA}").load(root)
@@ -54,7 +59,7 @@ def scan(spark: SparkSession, root: str, strict: bool = True) -> DataFrame:
     first = F.get("t.captures", F.lit(0))
     error = (
         F.when(F.col("t").isNull() | g.isNull(), "metadata are not valid JSON with a global object")
-        .when(F.col("data_path").isNull(), "data file is missing")
+        .when(F.col("data_path").isNull(), "data file is missing or empty")
         .when(datatype.isNull(), "core:datatype is missing")
         .when(size.isNull(), F.concat(F.lit("unsupported datatype "), datatype, F.lit(f": use one of {', '.join(DATATYPES)}")))
         .when(rate.isNull(), "core:sample_rate is missing")
@@ -84,7 +89,7 @@ def scan(spark: SparkSession, root: str, strict: bool = True) -> DataFrame:
         number(first, "core:frequency", "double").alias("center_frequency"),
         F.when(size.isNotNull(), F.floor(F.col("bytes") / size)).alias("num_samples"),
         g["core:version"].alias("declared_version"),
-        F.expr("try_to_timestamp(coalesce(t.captures[0]['core:datetime'], t.global['core:datetime']))").alias("capture_time"),
+        F.expr("try_to_timestamp(coalesce(get(t.captures, 0)['core:datetime'], t.global['core:datetime']))").alias("capture_time"),
         g["core:collection"].alias("collection"),
         g.alias("global_raw"),
         F.transform("_keys", lambda k: F.get("_bare", k["i"])).alias("annotations"),
@@ -134,7 +139,6 @@ def read_windows(windows: DataFrame, window: int) -> DataFrame:
 
     Rows are sorted by file and start within a partition; neighbouring windows are read in one go.
     """
-    schema = windows.schema.simpleString()[7:-1] + ", i: array<float>, q: array<float>"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in windows.schema) + ", i array<float>, q array<float>"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
