@@ -13,13 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.llm.shared import ascii_lower, require_columns, settle, skew_safe_left_join, task_slots, text_key
+from wavemill.llm.shared import ascii_lower, broadcast_if_small, require_columns, settle, settle_narrow, skew_safe_left_join, text_key
 
 #: Characters of the prefix that the second step hashes.
 PREFIX = 256
-#: Rows of surviving (length, prefix) groups, at 24 bytes each, that may be sent to every executor.
-#: Above it, full hashes are taken of all rows of surviving lengths: the result is the same.
-BROADCAST_GROUPS = 1_000_000
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_all: bool = False) -> DataFrame:
@@ -37,12 +34,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.octet_length(text).alias("_n"),
         F.xxhash64(ascii_lower(F.substring(text, 1, PREFIX))).alias("_ph"),
     )
-    few_parts = max(1, task_slots(docs.sparkSession) // 4)  # narrow rows: fewer, larger checkpoint files
-    by_prefix = settle(rows.groupBy("_n", "_ph").agg(F.count(F.lit(1)).alias("_c")).coalesce(few_parts))
+    by_prefix = settle_narrow(rows.groupBy("_n", "_ph").agg(F.count(F.lit(1)).alias("_c")))
     lengths = by_prefix.groupBy("_n").agg(F.sum("_c").alias("_l")).where("_l > 1").select("_n")
-    left = settle(by_prefix.where("_c > 1").join(lengths, "_n", "left_semi").select("_n", "_ph", F.lit(True).alias("_open")).coalesce(few_parts))
-    few = left.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    marked = rows.join(F.broadcast(left), ["_n", "_ph"], "left") if few else rows.withColumn("_open", F.lit(True))
+    left = settle_narrow(by_prefix.where("_c > 1").join(lengths, "_n", "left_semi").select("_n", "_ph", F.lit(True).alias("_open")))
+    few = broadcast_if_small(left)  # else full hashes are taken of all rows: the result is the same
+    marked = rows.withColumn("_open", F.lit(True)) if few is None else rows.join(few, ["_n", "_ph"], "left")
     digest = F.sha2(ascii_lower(F.col("_text")), 256)
     hashed = settle(
         marked.select(

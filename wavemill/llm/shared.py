@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Narrow rows that are sent to every executor, at most (some 60 MB); more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 T = TypeVar("T")
 #: Rows of narrow links that a task takes when rounds of contraction get small.
 ROWS_A_TASK = 50_000
@@ -44,12 +46,25 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
+def settle_narrow(df: DataFrame) -> DataFrame:
+    """:func:`settle` for rows of a few numbers: in an eighth of the shuffle's parts, so in fewer and larger files."""
+    return settle(df.coalesce(max(1, task_slots(df.sparkSession) // 8)))
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame | None:
+    """``df`` (settled before) marked for broadcast, if it has at most BROADCAST_ROWS rows; else None."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else None
+
+
 def skew_safe_left_join(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """``rows`` left join ``groups`` (one row per ``key``), safe when one key holds a third of the rows.
+    """``rows`` left join ``groups`` (one narrow row per ``key``), safe when one key holds a third of the rows.
 
-    Groups with at least a thousandth of all rows number at most a thousand, so they are broadcast;
-    what is left has no hot key and joins by shuffle.
+    Few groups are broadcast whole. Of many, those with at least a thousandth of all rows number at most a
+    thousand, so they are broadcast; what is left has no hot key and joins by shuffle.
     """
+    groups = settle_narrow(groups)
+    if (small := broadcast_if_small(groups)) is not None:
+        return rows.join(small, key, "left")
     hot = F.col(size) * F.lit(1000) >= F.lit(max(total, 1))
     carried = [c for c in groups.columns if c != key]
     few = groups.where(hot).select(F.col(key), *[F.col(c).alias(f"_hot_{c}") for c in carried])
@@ -60,9 +75,6 @@ def skew_safe_left_join(rows: DataFrame, groups: DataFrame, key: str, size: str,
     return out.select(*rows.columns, *[F.coalesce(f"_hot_{c}", f"_many_{c}").alias(c) for c in carried])
 
 
-_held: dict[tuple, object] = {}
-
-
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let Arrow batches hold at most ``rows`` rows in this session, unless it is set lower.
 
@@ -111,6 +123,9 @@ def apply_decisions(docs: DataFrame, decisions: DataFrame, id_col: str, text_col
         .where(~F.col("_any") | (F.col("_n") > 1))
         .select("_id", "_tk", "_any")
     )
+    acts = settle_narrow(acts)
+    small = broadcast_if_small(acts)
+    acts = acts if small is None else small
     columns = docs.columns
     keyed = docs.withColumn("_text_key", text_key(text_col))
     met = keyed.join(acts, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_tk")), "left")
@@ -130,7 +145,7 @@ def components(edges: DataFrame, max_rounds: int = 80) -> DataFrame:
     """
     slots = task_slots(edges.sparkSession)
     both = edges.where(F.col("u") != F.col("v")).select("u", "v")
-    both = settle(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    both = settle_narrow(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     names = both.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node"))
     for i in range(max_rounds):
         n = both.count()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.llm.golay import codewords
-from wavemill.llm.shared import bounded_batches, components, fresh_worker, require_columns, settle, skew_safe_left_join, task_slots
+from wavemill.llm.shared import bounded_batches, components, fresh_worker, require_columns, settle, settle_narrow, skew_safe_left_join, task_slots
 
 WORDS, DISTANCE, SEED = 3, 3, 42
 #: Fingerprints of one key that are compared in one task; larger keys are cut into blocks of this size.
@@ -161,9 +161,8 @@ def near_components(
 ) -> DataFrame:
     """id, fp, component_id (smallest id that links reach), kept (one row of each component), _text_key."""
     rows = settle(fingerprints(docs, id_col, text_col, words).withColumn("_row", F.monotonically_increasing_id()))
-    few = max(1, task_slots(docs.sparkSession) // 4)
     best = lambda c: F.min(F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("i"), F.col("_row").alias("r")))
-    distinct = settle(rows.groupBy("fp").agg(best(id_col).alias("best"), F.count(F.lit(1)).alias("size")).coalesce(few))
+    distinct = settle_narrow(rows.groupBy("fp").agg(best(id_col).alias("best"), F.count(F.lit(1)).alias("size")))
     roots = components(links(distinct, distance))
     known = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lead = known.groupBy("root").agg(F.min("best").alias("lead"), F.count(F.lit(1)).alias("fps"))
