@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from wavemill.llm.shared import ascii_lower, require_columns, task_slots
 
@@ -164,6 +165,6 @@ def filter_urls(
     )
     dealt = mine.unionByName(spread).repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "key", "rank", "path")
     kind = keyed.schema["id"].dataType.simpleString()
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    id_type = to_arrow_type(keyed.schema["id"].dataType)
     out = dealt.mapInArrow(_sweep(default, id_type), f"id {kind}, host string, path string, rule string, verdict string")
     return out.withColumnRenamed("id", id_col)
