@@ -141,3 +141,40 @@ def half_power_edges(spectrum: DataFrame, ids: tuple[str, ...] = ("record_id",))
     up = (F.col("_pp") <= F.col("_th")) & (F.col("power") > F.col("_th"))
     down = (F.col("_pp") > F.col("_th")) & (F.col("power") <= F.col("_th"))
     return met.groupBy(*ids).agg(F.min(F.when(up, at)).alias("rise"), F.max(F.when(down, at)).alias("fall"))
+
+
+def band_power(spectrum: DataFrame, low: Column | float, high: Column | float, ids: tuple[str, ...] = ("record_id",)) -> DataFrame:
+    """(ids, band_db): power of the bins x in [low, high] of a linear spectrum (ids, x, power)."""
+    inside = (F.col("x") >= low) & (F.col("x") <= high)
+    return spectrum.where(inside).groupBy(*ids).agg(power_db(F.sum("power"), 1e-12).alias("band_db"))
+
+
+def active_span(mask: DataFrame) -> DataFrame:
+    """(record_id, first, last): the outermost active blocks."""
+    on = mask.where("active")
+    return on.groupBy("record_id").agg(F.min("block").alias("first"), F.max("block").alias("last"))
+
+
+def frame_segments(recordings: DataFrame, offsets: DataFrame, length: int, lead: int = 2048, least: int = 1024) -> DataFrame:
+    """(record_id, start, count): a stretch around each recording's frame, cut at its ends; ones shorter than ``least`` are left out.
+
+    ``recordings``: record_id, num_samples. ``offsets``: record_id, offset.
+    """
+    met = recordings.select("record_id", "num_samples").join(offsets.select("record_id", "offset"), "record_id")
+    start = F.greatest(F.col("offset") - lead, F.lit(0)).cast("long")
+    out = met.select("record_id", start.alias("start"), F.least(F.lit(length).cast("long"), F.col("num_samples") - start).alias("count"))
+    return out.where(F.col("count") >= least)
+
+
+def add_noise(samples: DataFrame, snr_db: float, seed: int) -> DataFrame:
+    """``samples`` (record_id, ord, i, q) with white noise at ``snr_db`` below each recording's mean power.
+
+    Noise follows from (seed, record, place) by hashing, so it is the same whatever the partitioning. It belongs before
+    windowing and normalising, where it still has a level.
+    """
+    power = samples.groupBy("record_id").agg(F.avg(F.col("i").cast("double") * F.col("i") + F.col("q").cast("double") * F.col("q")).alias("_p"))
+    sigma = F.sqrt(F.col("_p") / (2 * 10 ** (snr_db / 10)))
+    uniform = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "record_id", "ord"), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+    radius, angle = sigma * F.sqrt(-2 * F.log(uniform(0))), uniform(1) * (2 * math.pi)
+    met = samples.join(power, "record_id")
+    return met.withColumns({"i": F.col("i") + radius * F.cos(angle), "q": F.col("q") + radius * F.sin(angle)}).drop("_p")

@@ -171,3 +171,26 @@ def sample_chunks(spark: SparkSession, d: str) -> DataFrame:
     from wavemill.plans.standin import recordings
 
     return signal.sample_chunks(recordings(spark, d), limit=40, chunks=4, block=4)
+
+
+@query("band_power", f"with {DFT}, sh as (select record_id, (k + 16) % 32 x, pw from dft) select record_id, round(10 * log10(sum(pw) + 1e-12), 5) band_db from sh where x between 8 and 23 group by 1")
+def band_power(spark: SparkSession, d: str) -> DataFrame:
+    s = signal.dft_power(vectors(spark, d), 32).select("record_id", signal.shifted_bin("bin", 32).alias("x"), "power")
+    return signal.band_power(s, 8, 23).withColumn("band_db", F.round("band_db", 5))
+
+
+@query("active_span", f"with {ENV} select record_id, min(block) first, max(block) as last from mask where active group by 1")
+def active_span(spark: SparkSession, d: str) -> DataFrame:
+    return signal.active_span(_mask(spark, d))
+
+
+@query(
+    "frame_segments",
+    f"""with {EV}, f as (select record_id, min(ord) o from ev where label = 'purchase' group by 1), s as (select r.record_id, greatest(o - 4, 0) s, num_samples n from f join rec r on r.record_id = f.record_id)
+select record_id, s as start, least(40, n - s) as "count" from s where least(40, n - s) >= 10""",
+)
+def frame_segments(spark: SparkSession, d: str) -> DataFrame:
+    from wavemill.plans.standin import recordings
+
+    first = samples(spark, d).where("label = 'purchase'").groupBy("record_id").agg(F.min("ord").alias("offset"))
+    return signal.frame_segments(recordings(spark, d), first, 40, 4, 10)

@@ -97,3 +97,22 @@ def sparkline(values: list[float]) -> str:
     low, high = min(values), max(values)
     levels = [0 if high == low else min(8, max(0, round((v - low) / (high - low) * 8))) for v in values]
     return "".join(" ▁▂▃▄▅▆▇█"[k] for k in levels)
+
+
+def colormap(values: list[float], anchors: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Colours of values in 0..1 (cut at the ends), interpolated between evenly spaced anchors."""
+    out = []
+    for v in values:
+        at = min(1.0, max(0.0, v)) * (len(anchors) - 1)
+        k = min(int(at), len(anchors) - 2)
+        out.append(tuple(round(a + (b - a) * (at - k)) for a, b in zip(anchors[k], anchors[k + 1])))
+    return out
+
+
+def half_blocks(rows: list[list[tuple[int, int, int]]]) -> str:
+    """Pixels as terminal text: two rows of pixels in a line, the upper as foreground, the lower as background."""
+    lines = []
+    for y in range(0, len(rows) - 1, 2):
+        cells = ("\x1b[38;2;%d;%d;%dm\x1b[48;2;%d;%d;%dm▀" % (*a, *b) for a, b in zip(rows[y], rows[y + 1]))
+        lines.append("".join(cells) + "\x1b[0m")
+    return "\n".join(lines)
