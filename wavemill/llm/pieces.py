@@ -35,7 +35,7 @@ _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Distinct words remembered in a worker, in two generations, and pairs of pieces.
 REMEMBERED, PAIRS = 400_000, 300_000
 #: Texts encoded together.
-ROWS = 1000
+ROWS = 500
 UNIGRAM, BPE = 1, 2
 
 
