@@ -32,11 +32,13 @@ from wavemill.llm.frames import Reader, Writer
 from wavemill.llm.shared import bounded_batches, held_in_worker, require_columns, shared_folder, task_slots
 
 END_ID = 2
+#: Bytes of files that one task reads, at least: small files are read together.
+READ_BYTES = 16 << 20
 #: Texts encoded together; more of them share more of what is looked up.
 ROWS = 2500
 #: Distinct stretches remembered in a worker, in two generations: the older is dropped when the newer is
 #: half of this, and what was used since is kept.
-REMEMBERED = 800_000
+REMEMBERED = 600_000
 #: Characters of texts that are encoded whole: the divider below, controls that pyarrow takes for white space but
 #: the tokenizer doesn't, the first character of its special tokens, and marks that
 #: compose with ASCII letters or come out of lower-casing.
@@ -82,42 +84,28 @@ class StretchEncoder:
         raw, starts, ends = ids.tobytes(), [0, *((cuts + 1) * 4).tolist()], [*(cuts * 4).tolist(), 4 * len(ids)]
         self.known.update(zip(stretches, [raw[i:j] for i, j in zip(starts, ends)]))
 
-    def _learn(self, new: list[str]) -> None:
-        """Remember ids of stretches; plain ones are made of those of their core and of their closing marks."""
-        known, older, cores, plain = self.known, self.older, set(), []
-        for w in new:
+    def _known(self, stretches: list[str]) -> list[bytes]:
+        """Ids of distinct stretches; those of plain ones are made of their core's and of their closing marks'."""
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
+        known, older, new, ends = self.known, self.older, set(), []
+        for w in stretches:
             core = w.rstrip(MARKS)
             if core != w and core and core[-1].isalnum():
                 tail = w[len(core) :]
-                plain.append((w, core, tail))
-                cores.add(core)
-                cores.add(tail)
             else:
-                cores.add(w)
-        cores -= known.keys()
-        for c in cores & older.keys():
-            known[c] = older[c]
-        cores -= older.keys()
-        todo = list(cores)
+                core, tail = w, ""
+            ends.append((core, tail))
+            for x in (core, tail) if tail else (core,):
+                if x not in known:
+                    if x in older:
+                        known[x] = older[x]
+                    else:
+                        new.add(x)
+        todo = list(new)
         for i in range(0, len(todo), 10_000):
             self._encoded(todo[i : i + 10_000])
-        for w, core, tail in plain:
-            known[w] = known[core] + known[tail]
-
-    def _known(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct stretches."""
-        if len(self.known) > REMEMBERED // 2:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        new = []
-        for w in words:
-            if w not in known:
-                if w in older:
-                    known[w] = older[w]
-                else:
-                    new.append(w)
-        self._learn(new)
-        return list(map(known.__getitem__, words))
+        return [known[core] + known[tail] if tail else known[core] for core, tail in ends]
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text. Texts with an UNSAFE character are encoded as they are, without the memory."""
@@ -192,8 +180,9 @@ def write_tokens(
         .repartitionByRange(files or task_slots(spark), F.col("id").asc_nulls_first())
         .sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
     )
-    # A row for each file: what the driver gets grows with the files, not with the documents.
-    dealt.mapInArrow(run, MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
+    # A row for each file: what the driver gets, and stores as one small file, grows with the files, not with the documents.
+    rows = [tuple(r) for r in dealt.mapInArrow(run, MANIFEST).collect()]
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
@@ -201,10 +190,12 @@ def read_tokens(manifest: DataFrame, folder: str, wanted: list[int] | None = Non
     """doc_id, start, ids for all documents, or the ``wanted`` ones. ``start``: ids of all documents before."""
     spark = manifest.sparkSession
     files = sorted(manifest.collect(), key=lambda r: (r.first_id is not None, r.first_id or 0, r.path))
-    rows, at = [], 0
-    for i, r in enumerate(files):
-        rows.append((r.path, at, r.bytes, i))
-        at += r.ids
+    rows, at, size, task = [], 0, 0, 0
+    for r in files:
+        rows.append((r.path, at, r.bytes, task))
+        at, size = at + r.ids, size + r.bytes
+        if size >= READ_BYTES:
+            size, task = 0, task + 1
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +220,7 @@ def read_tokens(manifest: DataFrame, folder: str, wanted: list[int] | None = Non
                         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), schema)], schema=schema)
 
     listed = spark.createDataFrame(rows, "path string, base long, bytes long, place int")
-    dealt = listed.repartitionById(max(1, len(rows)), F.col("place"))
+    dealt = listed.repartitionById(task + 1, F.col("place"))
     return dealt.mapInArrow(run, "doc_id long, start long, ids binary")
 
 
