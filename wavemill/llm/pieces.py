@@ -96,7 +96,6 @@ class PieceCoder:
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece has a mark behind other characters")
         self.scores = [sp.get_score(i) for i in range(n)]
-        self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
         self.most = max(map(len, self.ids))
         self.fits: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
