@@ -20,6 +20,7 @@ repeat an id are encoded each; an empty table gives an empty result; further col
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
@@ -31,9 +32,12 @@ from pyspark.sql import functions as F
 from wavemill.llm.shared import bounded_batches, held_in_worker, require_columns
 
 MARK = "▁"
-_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Words of a marked text; a line's end stands alone (no piece may hold one beside other characters).
+_WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+#: Closing marks, cut from a word where no piece has one behind a letter or digit.
+MARKS = ".,;:!?"
 #: Distinct words remembered in a worker, in two generations, and pairs of pieces.
-REMEMBERED, PAIRS = 400_000, 300_000
+REMEMBERED, PAIRS = 500_000, 400_000
 #: Texts encoded together.
 ROWS = 500
 UNIGRAM, BPE = 1, 2
@@ -95,8 +99,12 @@ class PieceCoder:
         self.ids = {p: i for i, p in enumerate(self.names) if i not in special}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece has a mark behind other characters")
+        if any("\n" in p and len(p) > 1 for p in self.ids):
+            raise ValueError("a piece has a line's end beside other characters")
+        joined = {b for p in self.ids for a, b in zip(p, p[1:]) if a.isalnum()}
+        self.marks = "".join(m for m in MARKS if m not in joined)
         self.scores = [sp.get_score(i) for i in range(n)]
-        self.most = max(map(len, self.ids))
+        self.back, self.piece_of = self._backward_trie()
         self.fits: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -133,25 +141,40 @@ class PieceCoder:
 
     # -- the forward pass
 
-    def _cell(self, word: str, end: int, cells: list[tuple[int, int, float]]) -> tuple[int, int, float]:
-        """The cell behind ``word[:end]``: the last piece (-1: a character outside), where it begins, the score."""
-        ids, best = self.ids, None
-        for begin in range(max(0, end - self.most), end):
-            k = ids.get(word[begin:end])
-            if k is None:
-                continue
-            if self.kind == BPE:
+    def _backward_trie(self) -> tuple[dict[int, int], list[int]]:
+        """Pieces read from their ends: (state, character) -> state, and the piece of each state or -1."""
+        step, piece_of = {}, [-1]
+        for p, k in self.ids.items():
+            state = 0
+            for c in reversed(p):
+                key = state << 21 | ord(c)
+                state = step.get(key, 0)
+                if not state:
+                    state = step[key] = len(piece_of)
+                    piece_of.append(-1)
+            piece_of[state] = k
+        return step, piece_of
+
+    def _cell(self, codes: list[int], end: int, cells: list[tuple[int, int, float]]) -> tuple[int, int, float]:
+        """The cell behind the first ``end`` characters: the last piece (-1: a character outside), where it begins, the score."""
+        step, piece_of, state, found = self.back, self.piece_of, 0, []
+        for begin in range(end - 1, -1, -1):
+            state = step.get(state << 21 | codes[begin])
+            if state is None:
+                break
+            if piece_of[state] >= 0:
+                found.append((piece_of[state], begin))
+        if self.kind == BPE:
+            for k, begin in reversed(found):
                 before = cells[begin][0] if begin else -2
                 if self._stands(k) if before < 0 else self._neighbours(before, k):
                     return k, begin, 0.0
-            else:
-                total = cells[begin][2] + self.scores[k]
-                if best is None or total > best[2]:
-                    best = k, begin, total
-        if self.kind == BPE or word[end - 1 : end] in ids:
-            return best or (-1, end - 1, 0.0)
+            return -1, end - 1, 0.0
+        best = max(((cells[b][2] + self.scores[k], -b, k) for k, b in found), default=None)
+        if found and found[0][1] == end - 1:  # the character itself is a piece
+            return best[2], -best[1], best[0]
         outside = cells[end - 1][2] + self.outside
-        return best if best is not None and best[2] >= outside else (-1, end - 1, outside)
+        return (best[2], -best[1], best[0]) if best is not None and best[0] >= outside else (-1, end - 1, outside)
 
     def _ids_of(self, word: str, cells: list[tuple[int, int, float]]) -> list[int]:
         out: list[int] = []
@@ -179,8 +202,9 @@ class PieceCoder:
             while keep < most and w[keep] == last[keep]:
                 keep += 1
             del cells[keep + 1 :]
+            codes = list(map(ord, w))
             for end in range(keep + 1, len(w) + 1):
-                cells.append(self._cell(w, end, cells))
+                cells.append(self._cell(codes, end, cells))
             last = w
             yield w, self._ids_of(w, cells)
 
@@ -198,8 +222,23 @@ class PieceCoder:
         new -= known.keys()
         for w in new & older.keys():
             known[w] = older[w]
-        for w, ids in self.walk(sorted(new - older.keys())):
-            known[w] = np.array(ids, "<i4").tobytes()
+        new -= older.keys()
+        marked, cores = [], set()
+        for w in new:
+            core = w.rstrip(self.marks)
+            if core != w and core and core[-1].isalnum():
+                marked.append((w, core, w[len(core) :]))
+                cores.add(core)
+                cores.add(w[len(core) :])
+            else:
+                cores.add(w)
+        cores -= known.keys()
+        for w in cores & older.keys():
+            known[w] = older[w]
+        for w, ids in self.walk(sorted(cores - older.keys())):
+            known[w] = struct.pack(f"<{len(ids)}i", *ids)
+        for w, core, tail in marked:
+            known[w] = known[core] + known[tail]
         return [b"".join(map(known.__getitem__, p)) for p in parts]
 
     @cached_property
