@@ -37,9 +37,9 @@ _WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 #: Closing marks, cut from a word where no piece has one behind a letter or digit.
 MARKS = ".,;:!?"
 #: Distinct words remembered in a worker, in two generations, and pairs of pieces.
-REMEMBERED, PAIRS = 500_000, 400_000
-#: Texts encoded together.
-ROWS = 500
+REMEMBERED, PAIRS = 800_000, 400_000
+#: Texts encoded together; more of them share more of what is looked up.
+ROWS = 2000
 UNIGRAM, BPE = 1, 2
 
 
@@ -81,7 +81,7 @@ def model_kind(data: bytes) -> tuple[int, str]:
 
 
 class PieceCoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=path)
@@ -106,6 +106,7 @@ class PieceCoder:
         self.scores = [sp.get_score(i) for i in range(n)]
         self.back, self.piece_of = self._backward_trie()
         self.fits: dict[int, bool] = {}
+        self.remembered = remembered
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.outside = min(self.scores) - 10.0  # what the library charges for an unknown character
@@ -215,7 +216,7 @@ class PieceCoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         parts = [self.words(t) for t in texts]
-        if len(self.known) > REMEMBERED // 2:
+        if len(self.known) > self.remembered // 2:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         new = set().union(*parts)
@@ -260,24 +261,29 @@ class PieceCoder:
         return out[1:] if self.names[ids[0]].startswith(MARK) else out
 
 
-def coder(path: str) -> PieceCoder:
-    return held_in_worker(PieceCoder, path)
+def coder(path: str, remembered: int = REMEMBERED) -> PieceCoder:
+    return held_in_worker(PieceCoder, path, remembered)
 
 
-def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
-    """id, ids (array<int>) and, if asked for, ``text``: what the ids decode to. No shuffle."""
+def encode_pieces(
+    docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False, remembered: int = REMEMBERED, rows: int = ROWS
+) -> DataFrame:
+    """id, ids (array<int>) and, if asked for, ``text``: what the ids decode to. No shuffle.
+
+    ``remembered`` words and ``rows`` texts at a time trade a worker's memory for time; results are the same.
+    """
     require_columns(docs, [id_col, text_col])
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, rows)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(model)
+        c = coder(model, remembered)
         for batch in batches:
-            for a in range(0, batch.num_rows, ROWS):
-                raws = c.encode(batch.column(1).slice(a, ROWS).to_pylist())
+            for a in range(0, batch.num_rows, rows):
+                raws = c.encode(batch.column(1).slice(a, rows).to_pylist())
                 values = np.frombuffer(b"".join(raws), "<i4")
                 bounds = np.concatenate(([0], np.cumsum([len(r) // 4 for r in raws]))).astype(np.int64)
-                columns = [batch.column(0).slice(a, ROWS), pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(values)).cast(pa.list_(pa.int32()))]
+                columns = [batch.column(0).slice(a, rows), pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(values)).cast(pa.list_(pa.int32()))]
                 if decoded:
                     columns.append(pa.array([c.decode(values[i:j].tolist()) for i, j in zip(bounds[:-1], bounds[1:])], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "ids", "text"][: len(columns)])
