@@ -18,7 +18,7 @@ null; an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from wavemill.llm.shared import bounded_batches, components, fresh_worker, requi
 WORDS, DISTANCE, SEED = 3, 3, 42
 #: Fingerprints of one key that are compared in one task; larger keys are cut into blocks of this size.
 BLOCK = 2048
-_LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
+LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 _CHUNK = 1 << 16
 
 
@@ -39,7 +39,7 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     """Majority of each bit over the XXH64 hashes of all shingles, repeats included."""
     from xxhash import xxh64_digest
 
-    parts = (text or "").encode().translate(_LOWER).split()
+    parts = (text or "").encode().translate(LOWER).split()
     n = len(parts)
     if not n:
         return 0
@@ -161,9 +161,14 @@ def near_components(
 ) -> DataFrame:
     """id, fp, component_id (smallest id that links reach), kept (one row of each component), _text_key."""
     rows = settle(fingerprints(docs, id_col, text_col, words).withColumn("_row", F.monotonically_increasing_id()))
+    return decide(rows, lambda distinct: components(links(distinct, distance)), id_col)
+
+
+def decide(rows: DataFrame, roots: DataFrame | Callable[[DataFrame], DataFrame], id_col: str) -> DataFrame:
+    """What :func:`near_components` returns, of ``rows`` (id, fp, _text_key, _row; settled) and the roots (node, root) of linked fp."""
     best = lambda c: F.min(F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("i"), F.col("_row").alias("r")))
     distinct = settle_narrow(rows.groupBy("fp").agg(best(id_col).alias("best"), F.count(F.lit(1)).alias("size")))
-    roots = components(links(distinct, distance))
+    roots = roots(distinct) if callable(roots) else roots
     known = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lead = known.groupBy("root").agg(F.min("best").alias("lead"), F.count(F.lit(1)).alias("fps"))
     groups = known.join(lead, "root").where("size > 1 or fps > 1").select("fp", "size", F.col("lead.i").alias("lead_id"), F.col("lead.r").alias("lead_row"))
