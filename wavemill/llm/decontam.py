@@ -6,8 +6,8 @@ heaviest pairs that so many missing shingles can take away are left out of the s
 loses nothing that verification would accept, and every passage above 1 is retrieved.
 
 Verification takes the passage's words: the item's five-word shingles found there must be ``SHARE`` of
-them, and both its question (all but the last sentence) and its answer (the last sentence) must have
-words in what was found. Passages are windows of two strides, a stride being a quarter longer than the
+them. What share of its question (all but the last sentence) and of its answer (the last sentence) was
+found is reported beside, and decides nothing. Passages are windows of two strides, a stride being a quarter longer than the
 longest item, so that any stretch as long as an item lies in one window.
 
 The benchmark, not the corpus, decides the size of the index: it is built in parts of bounded bytes, each
@@ -174,8 +174,7 @@ class Matcher:
                     covered[i : i + n] = [True] * n
             question = sum(covered[:cut]) / cut if cut else sum(covered) / len(item)
             answer = sum(covered[cut:]) / (len(item) - cut)
-            if question > 0 and answer > 0:
-                out.append((k, score, share, question, answer))
+            out.append((k, score, share, question, answer))
 
     def best(self, hits: list) -> list[tuple]:
         """One hit for each item of a text: the one with the largest share, then score."""
