@@ -7,7 +7,7 @@ import ctypes
 import gc
 import string
 import tempfile
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import TypeVar
 
 import pyarrow as pa
@@ -21,20 +21,33 @@ BROADCAST_ROWS = 1_000_000
 T = TypeVar("T")
 #: Rows of narrow links that a task takes when rounds of contraction get small.
 ROWS_A_TASK = 50_000
+#: Parts of a shuffle that narrow rows keep at least.
+NARROW_PARTS = 32
+#: Links that are few enough for one task to finish their components, counted in both directions.
+LAST_LINKS = 20_000
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in tests, a local one is set.
+    Where the session names none, a local one is set if Spark runs in this machine alone; on a cluster that is an error.
     """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="wavemill-")
-        spark.sparkContext.setCheckpointDir(found)
+        context.setCheckpointDir(found)
     return found
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
@@ -47,8 +60,12 @@ def ascii_lower(text: Column) -> Column:
 
 
 def settle_narrow(df: DataFrame) -> DataFrame:
-    """:func:`settle` for rows of a few numbers: in an eighth of the shuffle's parts, so in fewer and larger files."""
-    return settle(df.coalesce(max(1, task_slots(df.sparkSession) // 8)))
+    """:func:`settle` for rows of a few numbers: in fewer and larger files where the shuffle has very many parts.
+
+    It keeps NARROW_PARTS of them, and an eighth of more, so tasks stay as many as the input asks for.
+    """
+    slots = task_slots(df.sparkSession)
+    return settle(df.coalesce(max(min(slots, NARROW_PARTS), slots // 8)))
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame | None:
@@ -113,28 +130,45 @@ def text_key(text: str) -> Column:
 
 
 def apply_decisions(docs: DataFrame, decisions: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` that stay.
+    """The rows of ``docs`` that stay, with its columns and no other.
 
     ``decisions``: ``id_col``, ``_text_key`` (of :func:`text_key`) and ``kept``, a row for each row of
-    ``docs``. Of rows that share id and text, and of which one is kept, one stays. The only wide
-    shuffle is one join on (id, text key), which has no hot value unless whole rows repeat; rows
-    that need no action are not on its right side.
+    ``docs``. Of rows that share id and text, and of which one is kept, the one whose columns together
+    have the smallest hash stays; rows alike in all columns are the same row. Columns of ``docs`` may have any name:
+    they stay in one struct beside names of this function's own. The only wide shuffle is one
+    join on (id, text key), which has no hot value unless whole rows repeat; rows that need no
+    action are not on its right side.
     """
     acts = (
-        decisions.groupBy(F.col(id_col).alias("_id"), F.col("_text_key").alias("_tk"))
-        .agg(F.max("kept").alias("_any"), F.count(F.lit(1)).alias("_n"))
-        .where(~F.col("_any") | (F.col("_n") > 1))
-        .select("_id", "_tk", "_any")
+        decisions.groupBy(F.col(id_col).alias("id"), F.col("_text_key").alias("tk"))
+        .agg(F.max("kept").alias("any"), F.count(F.lit(1)).alias("n"))
+        .where(~F.col("any") | (F.col("n") > 1))
+        .select("id", "tk", "any")
     )
     acts = settle_narrow(acts)
     small = broadcast_if_small(acts)
-    acts = acts if small is None else small
-    columns = docs.columns
-    keyed = docs.withColumn("_text_key", text_key(text_col))
-    met = keyed.join(acts, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_tk")), "left")
-    plain = met.where(F.col("_any").isNull()).select(*columns)
-    single = met.where(F.col("_any")).dropDuplicates([id_col, "_text_key"]).select(*columns)
-    return plain.unionByName(single)
+    right = (acts if small is None else small).select(F.struct("id", "tk", "any").alias("act"))
+    left = docs.select(F.col(id_col).alias("row_id"), text_key(text_col).alias("row_tk"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    met = left.join(right, F.col("row_id").eqNullSafe(F.col("act.id")) & (F.col("row_tk") == F.col("act.tk")), "left")
+    plain = met.where(F.col("act").isNull()).select("row")
+    single = met.where(F.col("act.any")).groupBy("row_id", "row_tk").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    return plain.unionByName(single).select("row.*")
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(x, to) of all nodes of a bounded number of links (u, v), by union-find."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up.setdefault(y, y)
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            up[root(u)] = root(v)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["x", "to"])
 
 
 def components(edges: DataFrame, max_rounds: int = 80) -> DataFrame:
@@ -143,8 +177,8 @@ def components(edges: DataFrame, max_rounds: int = 80) -> DataFrame:
     ``edges``: long columns ``u`` and ``v``. Each round every node takes the neighbour (or itself)
     with the smallest hash of that round, edges are renamed and those within one node dropped, so
     the nodes shrink by a constant factor a round whatever the shape. Neighbours are reduced with
-    ``min``, which combines before the shuffle; nothing is collected. Roots are some node of the
-    component, not its smallest.
+    ``min``, which combines before the shuffle; nothing is collected. When LAST_LINKS or fewer are
+    left, one task joins them. Roots are some node of the component, not its smallest.
     """
     slots = task_slots(edges.sparkSession)
     both = edges.where(F.col("u") != F.col("v")).select("u", "v")
@@ -152,8 +186,9 @@ def components(edges: DataFrame, max_rounds: int = 80) -> DataFrame:
     names = both.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node"))
     for i in range(max_rounds):
         n = both.count()
-        if not n:
-            return names
+        if n <= LAST_LINKS:
+            last = both.coalesce(1).mapInArrow(_finish, "x long, to long")
+            return settle_narrow(names.join(last, F.col("root") == F.col("x"), "left").select("node", F.coalesce("to", "root").alias("root")))
         parts = max(1, min(slots, -(-n // ROWS_A_TASK)))
         rank = lambda c: F.struct(F.xxhash64(F.lit(i), F.col(c)).alias("h"), F.col(c).alias("x"))  # noqa: B023, E731
         step = settle(
