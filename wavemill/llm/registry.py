@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,7 @@ from wavemill.llm.pii import KINDS, find_personal_data
 from wavemill.llm.pieces import encode_pieces
 from wavemill.llm.secrets import BASE, scan_secrets, spans_text
 from wavemill.llm.shards import shard_documents
+from wavemill.llm.shared import shared_folder
 from wavemill.llm.simhash import near_components
 from wavemill.llm.tokens import new_folder, read_tokens, write_tokens
 from wavemill.llm.toxicity import HELD_OUT, fit, fold, score
@@ -134,7 +136,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op9_sharding")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = shard_documents(_documents(spark, sf_dir), 24)
+    rows, slot_map = shard_documents(_documents(spark, sf_dir), 24)
+    slot_map.store(spark, f"{shared_folder(spark).rstrip('/')}/slot-maps-{uuid.uuid4().hex}")
     return rows.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot"
     )
