@@ -4,10 +4,11 @@ Patterns propose candidate spans: strict ones (the base, which always stays when
 Four labelers vote on each candidate, for, against or not at all: the pattern's own validity, a gazetteer
 (top-level domains, reserved address blocks, issuer prefixes, calling codes), words just before the span,
 and the characters around it. Votes are counted over all candidates; expectation-maximisation estimates each
-labeler's reliability and each kind's rate from the counts, and a logistic classifier is trained on the
-resulting probabilities. It then decides on every candidate outside the base.
+labeler's reliability and each kind's rate from the counts. A logistic classifier of spans is trained on the
+resulting probabilities: it sees what the words around say and the span's own looks (length, groups of digits,
+letter case, neighbours), and so tells apart spans with equal votes. It then decides on every candidate outside the base.
 
-The driver holds counts of vote patterns only, at most 81 for each kind. Texts are matched where they are
+The driver holds counts of patterns of votes and looks only; how many there can be is fixed. Texts are matched where they are
 read and only spans are stored; nothing is shuffled but the counts.
 
 Positions come from ``split`` and ``regexp_extract_all`` with one pattern: what lies between the matches
@@ -15,12 +16,13 @@ and the matches, in turn. Patterns use possessive repeats, which Java runs witho
 only where a run starts (or the match before ended), so long runs cost linear time.
 
 Defined results: a null text counts as empty; offsets are code points, the end is exclusive; rows that
-repeat an id are judged each; an empty table gives an empty result; further columns are ignored.
+repeat an id, or have none, are judged each; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -61,6 +63,8 @@ CONTEXT = {
 AGAINST = r"(?i)(?:\bv(?:ersion|er)?\.?|section|isbn|issn|order|invoice|serial|build|release|chapter|figure)[\x20:#.]*$"
 #: Characters before a span that the context labeler reads.
 BEFORE = 30
+#: Matches whose places are summed up together.
+BLOCK = 64
 
 
 def _matches(text: Column, need: str, pattern: str) -> tuple[Column, Column]:
@@ -70,19 +74,48 @@ def _matches(text: Column, need: str, pattern: str) -> tuple[Column, Column]:
     return F.when(can, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none), F.when(can, F.split(text, pattern, -1)).otherwise(none)
 
 
-def _placed(found: Column, between: Column) -> Column:
-    """start, end and value of each match, in code points."""
+def _scan(size: Column, element: Callable[[Column], Column], zero: Column, step: Callable, result: Callable, kind: str) -> Column:
+    """Running fold of ``element(i)`` for i below ``size``: for each ``result(state before, element)``, of the given type.
+
+    Arrays grow by copying, so elements are gathered in blocks, and blocks in one array. What ``element`` looks into
+    must be a column, since an expression would be evaluated for each i.
+    """
+    none, nothing = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def one(acc: Column, i: Column) -> Column:
+        x = element(i)
+        return F.struct(step(acc["s"], x).alias("s"), F.concat(acc["out"], F.array(result(acc["s"], x))).alias("out"))
+
+    def block(acc: Column, at: Column) -> Column:
+        inner = F.aggregate(F.sequence(at, F.least(at + BLOCK, size) - 1), F.struct(acc["s"].alias("s"), none.alias("out")), one)
+        return F.aggregate(F.array(inner), acc, lambda a, i: F.struct(i["s"].alias("s"), F.concat(a["out"], F.array(i["out"])).alias("out")))
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(between, i))
-        value = F.get(found, i)
-        end = start + F.length(value)
-        span = F.struct(start.alias("start"), end.alias("end"), value.alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    starts = F.when(size > 0, F.sequence(F.lit(0), size - 1, F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(starts, F.struct(zero.alias("s"), nothing.alias("out")), block, lambda acc: F.flatten(acc["out"]))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-    places = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, zero, step, lambda acc: acc["out"])
+
+def _placed(found: Column, between: Column) -> Column:
+    """start, end, value, and the characters before and after, of each match; places in code points.
+
+    ``before`` reaches back BEFORE characters, but not behind the match before the last one.
+    """
+    text = lambda a, i: F.coalesce(F.get(a, i), F.lit(""))
+    gap = lambda i: F.length(text(between, i))
+
+    def span(at: Column, i: Column) -> Column:
+        value, tail = text(found, i), F.lit(BEFORE)
+        before = F.concat(F.right(text(between, i - 1), tail), F.right(text(found, i - 1), tail), F.right(text(between, i), tail))
+        start = at + gap(i)
+        return F.struct(
+            start.alias("start"),
+            (start + F.length(value)).alias("end"),
+            value.alias("value"),
+            F.right(before, tail).alias("before"),
+            F.substring(F.concat(F.substring(text(between, i + 1), 1, 1), F.substring(text(found, i + 1), 1, 1)), 1, 1).alias("after"),
+        )
+
+    kind = "struct<start:int,end:int,value:string,before:string,after:string>"
+    return _scan(F.size(found), lambda i: i, F.lit(0), lambda at, i: at + gap(i) + F.length(text(found, i)), span, kind)
 
 
 def _digits(value: Column) -> Column:
@@ -138,21 +171,39 @@ def _gazetteer(kind: str, value: Column) -> Column:
     return _vote(plus & known, plus & ~known)
 
 
-def _candidates(text: str, name: str) -> Column:
-    """array<struct<kind, start, end, base, votes>> of one pattern's matches in column ``text``."""
+def _looks(value: Column, left: Column, right: Column) -> Column:
+    """Five signs: length, groups of digits, case of letters, and the kinds of characters beside it."""
+    beside = lambda c: F.when(c == "", "^").when(c.rlike(r"^\s$"), "s").when(c.rlike("^[A-Za-z0-9]$"), "a").when(c.rlike(r"^[:=#(\"'<]$"), "o").otherwise("p")
+    groups = F.size(F.split(value, "[^0-9]+", -1)) - 1
+    return F.concat(
+        F.least(F.floor(F.length(value) / 4), F.lit(9)).cast("string"),
+        F.least(groups, F.lit(6)).cast("string"),
+        F.when(~value.rlike("[A-Za-z]"), "n").when(value.rlike("[A-Z]"), "u").otherwise("l"),
+        beside(left),
+        beside(right),
+    )
+
+
+def _candidates(name: str) -> Column:
+    """array<struct<kind, start, end, base, votes, looks>> of one pattern's matches."""
     kind, base, _, _ = PATTERNS[name]
-    body = F.col(text)
 
     def judged(s: Column) -> Column:
-        value = s["value"]
+        value, before = s["value"], s["before"]
         ok = valid(kind, value) if base else F.lit(True)
-        before = body.substr(F.greatest(s["start"] - BEFORE + 1, F.lit(1)), F.least(s["start"], F.lit(BEFORE)))
-        left, right = body.substr(s["start"], F.when(s["start"] > 0, 1).otherwise(0)), body.substr(s["end"] + 1, F.lit(1))
+        left, right = F.right(before, F.lit(1)), s["after"]
         joined = left.rlike("[A-Za-z0-9@/=_-]") | right.rlike("[A-Za-z0-9@/=_]")
         votes = F.concat(
-            _vote(ok, ~ok), _gazetteer(kind, value), _vote(before.rlike(CONTEXT[kind]), before.rlike(AGAINST)), _vote(~joined, joined)
+            _vote(ok, ~ok) if base else F.lit("-"), _gazetteer(kind, value), _vote(before.rlike(CONTEXT[kind]), before.rlike(AGAINST)), _vote(~joined, joined)
+        )
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            s["start"].cast("long").alias("start"),
+            s["end"].cast("long").alias("end"),
+            (ok if base else F.lit(False)).alias("base"),
+            votes.alias("votes"),
+            _looks(value, left, right).alias("looks"),
         )
-        return F.struct(F.lit(kind).alias("kind"), s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end"), (ok if base else F.lit(False)).alias("base"), votes.alias("votes"))
 
     spans = F.col(f"_{name}")
     if name == "card":  # most runs of digits are far too short to be a candidate
@@ -168,19 +219,19 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         found, between = _matches(F.col("_text"), need, pattern)
         out = out.withColumns({f"_{name}_m": found, f"_{name}_b": between})
     out = out.withColumns({f"_{n}": _placed(F.col(f"_{n}_m"), F.col(f"_{n}_b")) for n in PATTERNS})
-    return out.select(id_col, F.concat(*[_candidates("_text", n) for n in PATTERNS]).alias("found"))
+    return out.select(id_col, F.concat(*[_candidates(n) for n in PATTERNS]).alias("found"))
 
 
 @dataclass
 class LabelModel:
-    """Rates of each kind, reliabilities of each labeler, and the classifier's probability of each vote pattern."""
+    """Rates of each kind, reliabilities of each labeler, and the classifier's probability of each pattern."""
 
     rates: dict[str, float]
     reliability: dict[tuple[str, bool, str], float]  # (labeler, truth, vote) -> probability
-    accept: dict[str, float]  # kind:votes -> probability
+    accept: dict[str, float]  # kind:votes:looks -> probability
 
 
-def _logistic(rows: list[tuple[list[int], float, float]], size: int, rounds: int = 400, rate: float = 1.0) -> list[float]:
+def _logistic(rows: list[tuple[list[int], float, float]], size: int, rounds: int = 200, rate: float = 2.0) -> list[float]:
     """Weights of a logistic classifier on (features that are 1, target probability, weight) rows."""
     w, total = [0.0] * size, sum(n for _, _, n in rows) or 1.0
     for _ in range(rounds):
@@ -193,8 +244,11 @@ def _logistic(rows: list[tuple[list[int], float, float]], size: int, rounds: int
     return w
 
 
-def learn(counts: dict[tuple[str, str], int], rounds: int = 100) -> LabelModel:
-    """Expectation-maximisation over (kind, votes) counts, then the classifier on its probabilities."""
+def learn(patterns: dict[tuple[str, str, str], int], rounds: int = 100) -> LabelModel:
+    """Expectation-maximisation over counts of (kind, votes), then the classifier of (kind, votes, looks) on its probabilities."""
+    counts: dict[tuple[str, str], int] = {}
+    for (kind, votes, _), c in patterns.items():
+        counts[kind, votes] = counts.get((kind, votes), 0) + c
     rates = dict.fromkeys(KINDS, 0.5)
     rel: dict[tuple[str, bool, str], float] = {}
     for name in LABELERS:  # labelers are taken to be better than chance at first, which fixes what truth means
@@ -219,25 +273,43 @@ def learn(counts: dict[tuple[str, str], int], rounds: int = 100) -> LabelModel:
                     mass[key[1][j]] += c * (p[key] if truth else 1 - p[key])
                 for v in "10-":
                     rel[name, truth, v] = mass[v] / sum(mass.values())
-    place = {(j, v): i for i, (j, v) in enumerate((j, v) for j in range(len(LABELERS)) for v in "10-")}
-    kinds = {k: len(place) + i for i, k in enumerate(KINDS)}
-    on = lambda kind, votes: [*(place[j, v] for j, v in enumerate(votes)), kinds[kind]]
-    w = _logistic([(on(*key), true_of(*key), float(c)) for key, c in counts.items()], len(place) + len(kinds))
-    accept = {f"{k}:{v}": 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(w[i] for i in on(k, v)))))) for k, v in counts}
+    place: dict[tuple, int] = {}
+
+    def on(kind: str, votes: str, looks: str) -> list[int]:
+        # The shape labeler's vote is no sign of a span: it says which spans are base already.
+        signs = [(kind,), *((j, v) for j, v in enumerate(votes) if j), *((kind, j, v) for j, v in enumerate(looks))]
+        return [place.setdefault(x, len(place)) for x in signs]
+
+    rows = [(on(*key), true_of(*key[:2]), float(c)) for key, c in sorted(patterns.items())]
+    w = _logistic(rows, len(place))
+    accept = {":".join(k): 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(w[i] for i in on(*k)))))) for k in patterns}
     return LabelModel(rates, rel, accept)
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> tuple[DataFrame, LabelModel]:
     """(id, spans) of every document, spans an array of (kind, start, end, base) by start, then kind; and the model."""
     found = settle(candidates(docs, id_col, text_col))
-    counted = found.select(F.explode("found").alias("c")).groupBy("c.kind", "c.votes").count().collect()
-    model = learn({(r.kind, r.votes): r["count"] for r in counted})
+    counted = found.select(F.explode("found").alias("c")).groupBy("c.kind", "c.votes", "c.looks").count().collect()
+    model = learn({(r.kind, r.votes, r.looks): r["count"] for r in counted})
     taken = sorted(k for k, p in model.accept.items() if p >= threshold)
-    base = F.filter("found", lambda c: c["base"])
-    wider = F.filter("found", lambda c: ~c["base"] & F.concat_ws(":", c["kind"], c["votes"]).isin(taken) if taken else F.lit(False))
-    out = found.select(id_col, base.alias("base"), wider.alias("wider"))
-    apart = F.filter("wider", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    wanted = lambda c: F.concat_ws(":", c["kind"], c["votes"], c["looks"]).isin(taken) if taken else F.lit(False)
     rank = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
-    keyed = F.transform(F.concat("base", apart), lambda c: F.struct(c["start"].alias("start"), rank[c["kind"]].alias("rank"), c["end"].alias("end"), c["kind"].alias("kind"), c["base"].alias("base")))
-    ordered = F.transform(F.array_sort(keyed), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base")))
-    return out.select(id_col, ordered.alias("spans")), model
+    short = lambda c: F.struct(c["start"].alias("start"), rank[c["kind"]].alias("rank"), c["end"].alias("end"), c["kind"].alias("kind"), c["base"].alias("base"))
+    out = found.select(id_col, F.array_sort(F.transform(F.filter("found", lambda c: c["base"] | wanted(c)), short)).alias("found"))
+    # Spans outside the base that overlap one of the base are dropped: the base's furthest end before, and its next start.
+    kind = "struct<start:bigint,rank:int,end:bigint,kind:string,base:boolean,clash:boolean>"
+
+    def passed(name: str, zero: int, bound: Callable, clash: Callable) -> Column:
+        step = lambda s, c: F.when(c["base"], bound(s, c)).otherwise(s)
+        flag = lambda s, c: F.struct(*[c[f].alias(f) for f in ("start", "rank", "end", "kind", "base")], (clash(s, c) & ~c["base"]).alias("clash"))
+        return F.filter(_scan(F.size(name), lambda i: F.get(name, i), F.lit(zero).cast("long"), step, flag, kind), lambda c: ~c["clash"])
+
+    after = passed("found", -1, lambda s, c: F.greatest(s, c["end"]), lambda s, c: s > c["start"])
+    before = F.reverse(passed("_back", 1 << 60, lambda s, c: F.least(s, c["start"]), lambda s, c: s < c["end"]))
+    mixed = F.exists("found", lambda c: ~c["base"])
+    plain = F.transform("found", lambda c: F.struct(*[c[f].alias(f) for f in ("start", "rank", "end", "kind", "base")], F.lit(False).alias("clash")))
+    out = out.select(id_col, F.when(mixed, after).otherwise(plain).alias("_after"))
+    out = out.withColumn("_back", F.reverse("_after"))
+    out = out.select(id_col, F.when(F.exists("_after", lambda c: ~c["base"]), before).otherwise(F.col("_after")).alias("found"))
+    spans = F.transform("found", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base")))
+    return out.select(id_col, spans.alias("spans")), model
