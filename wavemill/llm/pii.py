@@ -276,8 +276,7 @@ def learn(patterns: dict[tuple[str, str, str], int], rounds: int = 100) -> Label
     place: dict[tuple, int] = {}
 
     def on(kind: str, votes: str, looks: str) -> list[int]:
-        # The shape labeler's vote is no sign of a span: it says which spans are base already.
-        signs = [(kind,), *((j, v) for j, v in enumerate(votes) if j), *((kind, j, v) for j, v in enumerate(looks))]
+        signs = [(kind,), *((j, v) for j, v in enumerate(votes)), *((kind, j, v) for j, v in enumerate(looks))]
         return [place.setdefault(x, len(place)) for x in signs]
 
     rows = [(on(*key), true_of(*key[:2]), float(c)) for key, c in sorted(patterns.items())]
