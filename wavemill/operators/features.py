@@ -9,63 +9,54 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.operators.signal import ACTIVE_SHARE, BLOCK, CHUNKS, FLAT_DB, SAMPLE_LIMIT, declared_band
+from wavemill.operators.signal import ACTIVE_SHARE, BLOCK, FLAT_DB, declared_band, sample_chunks
 from wavemill.sources.sigmf import annotations_of, read_range
 
 MEASURED = "record_id string, mean_power_db double, duty_cycle double, burst_start_frac double, est_offset_hz double, est_bw_hz double"
 
 
-def spread_chunks(n: int, limit: int = SAMPLE_LIMIT, chunks: int = CHUNKS) -> list[tuple[int, int]]:
-    """(start, count) of what is read of ``n`` samples: all, or whole blocks evenly over the recording."""
-    if n <= limit:
-        return [(0, n)]
-    size = max(BLOCK, limit // chunks // BLOCK * BLOCK)
-    step = (n - size) // (chunks - 1) // BLOCK * BLOCK
-    return [(k * step, size) for k in range(chunks)]
-
-
-def active_blocks(power: np.ndarray) -> np.ndarray:
+def activity(power: np.ndarray) -> np.ndarray:
+    """Which blocks are active, by their mean powers; none of fewer than two."""
     if len(power) < 2:
         return np.zeros(0, bool)
-    db = 10 * np.log10(power + 1e-30)
-    span = db.max() - db.min()
-    return np.ones(len(db), bool) if span < FLAT_DB else db > db.min() + ACTIVE_SHARE * span
-
-
-def spectrum(blocks: np.ndarray) -> np.ndarray | None:
-    """Mean power by frequency, 0 Hz in the middle, with a symmetric Hann window."""
-    if not len(blocks):
-        return None
-    z = np.fft.fftshift(np.fft.fft(blocks * np.hanning(BLOCK), axis=1), axes=1)
-    return (np.abs(z) ** 2).mean(axis=0)
+    level = np.log10(power + 1e-30)
+    low, high = np.min(level), np.max(level)
+    return level > low + ACTIVE_SHARE * (high - low) if 10 * (high - low) >= FLAT_DB else np.full(len(level), True)
 
 
-def band_of(active: np.ndarray | None, idle: np.ndarray | None, rate: float, share: float = 0.99) -> tuple[float, float] | None:
-    """(offset, width) in Hz of the band that holds ``share`` of what the active blocks have above the idle ones."""
-    if active is None or idle is None:
+def excess_spectrum(blocks: np.ndarray, active: np.ndarray) -> np.ndarray | None:
+    """What active blocks have above idle ones on average, by bin in the transform's own order; None where either is missing."""
+    share = np.stack([active, ~active]).astype(float)
+    if not share.any(axis=1).all():
         return None
-    excess = np.clip(active - idle, 0, None)
-    if not excess.sum() > 0:
-        return None
-    cum, n = np.cumsum(excess) / excess.sum(), len(excess)
-    low, high = np.searchsorted(cum, [(1 - share) / 2, (1 + share) / 2])
-    middle = (np.arange(n) * excess).sum() / excess.sum()
-    return float((middle - n / 2) * rate / n), float(max(1, high - low + 1) * rate / n)
-
-
-def measure_samples(chunks: list[np.ndarray], rate: float) -> tuple:
+    share /= share.sum(axis=1, keepdims=True)
+    found = np.zeros((2, BLOCK))
+    for a in range(0, len(blocks), 256):
+        bins = np.fft.fft(blocks[a : a + 256] * np.hanning(BLOCK))
+        found += share[:, a : a + 256] @ (bins.real**2 + bins.imag**2)
+    return np.maximum(found[0] - found[1], 0)
+
+
+def occupied(excess: np.ndarray | None, rate: float, share: float = 0.99) -> tuple[float | None, float | None]:
+    """(offset, width) in Hz of the band that holds ``share`` of the excess."""
+    if excess is None or excess.sum() <= 0:
+        return None, None
+    n = len(excess)
+    bins = np.fft.fftfreq(n, 1 / n)
+    held = np.cumsum(excess[np.argsort(bins)]) / excess.sum()
+    inside = np.count_nonzero((held >= (1 - share) / 2) & (held < (1 + share) / 2))
+    return float(bins @ excess / excess.sum() * rate / n), float((inside + 1) * rate / n)
+
+
+def measure_samples(x: np.ndarray, rate: float) -> tuple:
     """mean_power_db, duty_cycle, burst_start_frac, offset, bandwidth of what was read of a recording."""
-    x = np.concatenate(chunks) if chunks else np.zeros(0, np.complex64)
-    if not len(x):
-        return None, None, None, None, None
-    blocks = x[: len(x) // BLOCK * BLOCK].reshape(-1, BLOCK)
-    power = (np.abs(blocks.astype(np.complex128)) ** 2).mean(axis=1)
-    active = active_blocks(power)
+    x = x.astype(np.complex128)
+    blocks = x[: len(x) - len(x) % BLOCK].reshape(-1, BLOCK)
+    active = activity(np.mean(blocks.real**2 + blocks.imag**2, axis=1)) if len(blocks) else np.zeros(0, bool)
     if not len(active):
         return None, None, None, None, None
-    total = float(10 * np.log10((np.abs(x.astype(np.complex128)) ** 2).mean() + 1e-30))
-    band = band_of(spectrum(blocks[active]), spectrum(blocks[~active]), rate) or (None, None)
-    return total, float(active.mean()), float(np.flatnonzero(active)[0] / len(active)), *band
+    total = 10 * np.log10(np.mean(x.real**2 + x.imag**2) + 1e-30)
+    return float(total), float(np.mean(active)), int(np.argmax(active)) / len(active), *occupied(excess_spectrum(blocks, active), rate)
 
 
 def measure(recordings: DataFrame, labels: DataFrame | None = None, exclude: tuple[str, ...] = ("ref_tone",)) -> DataFrame:
@@ -79,15 +70,14 @@ def measure(recordings: DataFrame, labels: DataFrame | None = None, exclude: tup
         for pdf in parts:
             rows = []
             for r in pdf.itertuples():
-                chunks = []
-                for start, count in spread_chunks(int(r.num_samples)):
-                    i, q = read_range(r.data_path, r.datatype, start, count)
-                    chunks.append(i + 1j * q)
-                rows.append((r.record_id, *measure_samples(chunks, r.sample_rate)))
+                read = [read_range(r.data_path, r.datatype, int(c["start"]), int(c["count"])) for c in r.chunks]
+                rows.append((r.record_id, *measure_samples(np.concatenate([i + 1j * q for i, q in read]), r.sample_rate)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in MEASURED.split(", ")])
 
     ok = recordings.where("error is null")
-    found = ok.select("record_id", "data_path", "datatype", "num_samples", "sample_rate").mapInPandas(run, MEASURED)
+    # At most CHUNKS rows of each recording.
+    chunks = sample_chunks(ok).groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("start", "count"))).alias("chunks"))
+    found = ok.join(chunks, "record_id").select("record_id", "data_path", "datatype", "sample_rate", "chunks").mapInPandas(run, MEASURED)
     told = declared_band(annotations_of(ok), ok, exclude).withColumnRenamed("offset_hz", "told_offset").withColumnRenamed("bandwidth_hz", "told_bw")
     start = F.unix_micros("capture_time") / 1e6
     out = ok.join(found, "record_id", "left").join(told, "record_id", "left")

@@ -75,18 +75,23 @@ def unit_class_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return split.unit_class_conflicts(table(spark, d, "conversations").select(F.col("conv_id").alias("unit"), F.col("role").alias("label")))
 
 
-@query("balanced_split")
+BALANCED = f"""{OS},
+bal_k as (select *, row_number() over (partition by label, o_orderstatus order by md5('{SEED}:' || label || ':' || unit), unit) k,
+  count(*) over (partition by label, o_orderstatus) n, ('0x' || substr(md5('{SEED}:' || o_orderstatus), 1, 8))::bigint / 4294967296.0::double u from ou),
+bal_r as (select *, row_number() over (partition by label order by cast(least(floor((k - u) / n * 1099511627776.0::double), 1099511627775) as bigint),
+  md5('{SEED}:' || o_orderstatus), md5('{SEED}:' || label || ':' || unit), unit) rn from bal_k),
+bal as (select unit, r.label, o_orderstatus, case when rn <= c0 then 'train' when rn <= c0 + c1 then 'val' else 'test' end split from bal_r r join sp_c c on c.label = r.label)"""
+
+
+@query("balanced_split", f"with {BALANCED} select * from bal")
 def balanced_split(spark: SparkSession, d: str) -> DataFrame:
     return split.balanced_split(order_units(spark, d), RATIOS, SEED, "o_orderstatus").select("unit", "label", "o_orderstatus", "split")
 
 
-@query(
-    "balanced_split_sizes",
-    f"with {OS} select label, split, count(*) n from sp group by 1, 2",
-)
+@query("balanced_split_sizes", f"with {BALANCED} select label, o_orderstatus, split, count(*) n from bal group by all")
 def balanced_split_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """Balancing keeps each class's sizes: the twin counts the plain stratified split."""
-    return balanced_split(spark, d).groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
+    """Units of each class and value in each split: its share of the class, less or more than one."""
+    return balanced_split(spark, d).groupBy("label", "o_orderstatus", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
