@@ -1,9 +1,11 @@
 """Inverted index with block maxima: exact search that scores only blocks whose bound is high enough.
 
 Postings of each term are ordered by entry number and cut into blocks of ``block`` consecutive entries;
-of each block only the largest weight is looked at first. The sum of a query's block maxima bounds
-every score in the block (the condition of block-max WAND, taken for all blocks at once), so a block
-below the threshold is never scored.
+of each block only the largest weight is looked at first. A search above a threshold follows block-max WAND:
+terms are taken in the order of their largest weight, and those before the pivot, which together stay below the
+threshold, can't carry an entry alone. So only blocks of the other terms are candidates; the lists before
+the pivot are looked up at the candidates only, and skipped elsewhere. Then the sum of a block's maxima
+bounds every score in it, and blocks below the threshold are never scored.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ class BlockMaxIndex:
         self.part_start = np.concatenate((first, [len(part)]))
         self.part_block = self.entry[first] // block
         self.part_max = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.part_key = part[first]
         self.term_start = np.searchsorted(t[first], np.arange(n_terms + 1))
         self.term_max = np.zeros(n_terms)
         np.maximum.at(self.term_max, t, self.weight)
@@ -56,9 +59,21 @@ class BlockMaxIndex:
 
     def above(self, terms: np.ndarray, weights: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """All entries that score at least ``threshold`` (over 0), ascending."""
-        if not self.blocks or (self.term_max[terms] * weights).sum() < threshold:
+        if not self.blocks or not len(terms) or (self.term_max[terms] * weights).sum() < threshold:
             return []
-        parts, scale, bounds = self._parts(terms, weights)
+        most = self.term_max[terms] * weights
+        order = np.argsort(most, kind="stable")
+        pivot = int(np.searchsorted(np.cumsum(most[order]), threshold))  # terms before it stay below the threshold
+        carried, early = terms[order[pivot:]], terms[order[:pivot]]
+        parts, scale, bounds = self._parts(carried, weights[order[pivot:]])
+        blocks = np.flatnonzero(bounds)
+        if len(early) and len(blocks):
+            keys = early[:, None] * max(self.blocks, 1) + blocks[None, :]
+            at = np.minimum(np.searchsorted(self.part_key, keys), len(self.part_key) - 1)
+            met = self.part_key[at] == keys
+            more, w = at[met], np.broadcast_to(weights[order[:pivot]][:, None], keys.shape)[met]
+            np.add.at(bounds, self.part_block[more], self.part_max[more] * w)
+            parts, scale = np.concatenate((parts, more)), np.concatenate((scale, w))
         wanted = bounds >= threshold
         if not wanted.any():
             return []

@@ -10,8 +10,9 @@ them. What share of its question (all but the last sentence) and of its answer (
 found is reported beside, and decides nothing. Passages are windows of two strides, a stride being a quarter longer than the
 longest item, so that any stretch as long as an item lies in one window.
 
-The benchmark, not the corpus, decides the size of the index: it is built in parts of bounded bytes, each
-sent to the executors in turn. Defined results: a null or wordless text has no passage; items without
+Items of one word are looked up word by word, beside the index. The benchmark, not the corpus, decides the size
+of the index: it is built in parts of bounded bytes, one at a time on the driver, each sent to the executors in turn.
+Defined results: texts of any length are searched whole; a null or wordless text has no passage; items without
 words are never found; an item that is listed twice is reported under each id; rows that repeat an id
 are searched each; empty tables give empty results; further columns are ignored.
 """
@@ -70,6 +71,10 @@ class Matcher:
         self.width = len(self.vocabulary) + 1  # the last number stands for any other word
         self.stride = -(-5 * max(map(len, self.words), default=1) // 4)
         grams = [self._grams(np.array([self.vocabulary[x] for x in w], np.int64)) for w in self.words]
+        self.alone: dict[int, list[int]] = {}  # word -> items that are this word only
+        for k, w in enumerate(self.words):
+            if len(w) == 1:
+                self.alone.setdefault(self.vocabulary[w[0]], []).append(k)
         self.codes = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.int64)
         terms, entries, weights = [], [], []
         n, mean = len(grams), np.mean([len(g) for g in grams]) if grams else 1
@@ -78,6 +83,8 @@ class Matcher:
             frequency[np.searchsorted(self.codes, np.unique(g))] += 1
         rarity = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
         for k, g in enumerate(grams):
+            if not len(g):
+                continue
             code, tf = np.unique(g, return_counts=True)
             t = np.searchsorted(self.codes, code)
             w = rarity[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(g) / mean))
@@ -92,8 +99,6 @@ class Matcher:
         self.index = BlockMaxIndex(cat(terms).astype(np.int64), cat(entries), cat(weights), len(self.codes), n, block=8)
 
     def _grams(self, ids: np.ndarray) -> np.ndarray:
-        if len(ids) == 1:
-            return ids * self.width + self.width - 1  # an item of one word: that word before any other
         return ids[:-1] * self.width + ids[1:]
 
     def match(self, texts: Iterable[str | None]) -> list[list[tuple[int, float, float, float, float]]]:
@@ -118,17 +123,19 @@ class Matcher:
         get = self.vocabulary.get
         ids = np.fromiter((x for w in docs for x in map(get, w, repeat(other))), np.int64)
         bounds = np.concatenate(([0], np.cumsum([len(w) for w in docs])))
+        if self.alone:
+            spots = np.flatnonzero(np.isin(ids, np.fromiter(self.alone, np.int64)))
+            owner = np.searchsorted(bounds, spots, side="right") - 1
+            for d, word in sorted(set(zip(owner.tolist(), ids[spots].tolist()))):
+                out[places[d]] += [(k, 1.0, 1.0, 1.0, 1.0) for k in self.alone[word]]
+        if not len(self.codes):
+            return
         code = ids * self.width + np.concatenate((ids[1:], [other]))
         last = bounds[1:] - 1
         code[last] = ids[last] * self.width + other
-        singles = self.codes % self.width == other
         found = np.searchsorted(self.codes, code)
         found[found == len(self.codes)] = 0
-        hit = self.codes[found] == code
-        if singles.any():  # items of one word match wherever it stands
-            alone = self.codes[singles] // self.width
-            hit |= np.isin(ids, alone)
-        at = np.flatnonzero(hit)
+        at = np.flatnonzero(self.codes[found] == code)
         if not len(at):
             return
         doc = np.searchsorted(bounds, at, side="right") - 1
@@ -139,8 +146,6 @@ class Matcher:
         ends = np.concatenate((cuts[1:], [len(at)]))
         terms = found[at]
         bound = np.add.reduceat(self.index.term_max[terms], cuts)
-        if singles.any():
-            bound = np.full(len(cuts), np.inf)
         head = key[cuts]
         for j in range(len(cuts)):
             nxt = j + 1 < len(cuts) and head[j + 1] == head[j] + 1
@@ -155,9 +160,6 @@ class Matcher:
         passage = words[start:end]
         terms = np.unique(terms)
         got = self.index.above(terms, np.ones(len(terms)), 1.0)
-        if (self.codes % self.width == self.width - 1).any():
-            seen = set(passage)
-            got += [(k, 1.0) for k, w in enumerate(self.words) if len(w) == 1 and w[0] in seen and all(k != i for i, _ in got)]
         if not got:
             return
         grams = {n: shingles(passage, n) for n in {min(SHINGLE, len(self.words[k])) for k, _ in got}}
@@ -185,14 +187,15 @@ class Matcher:
         return [(self.ids[k], *rest) for k, *rest in sorted(kept.values())]
 
 
-def matchers(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list[Matcher]:
-    """Indexes of the whole benchmark, in parts of about PART_BYTES of text each."""
+def matchers(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator[Matcher]:
+    """Indexes of the whole benchmark, one after the other, in parts of about PART_BYTES of text each."""
     require_columns(benchmark, [item_col, text_col])
     rows = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).where("t is not null")
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
     part = F.pmod(F.xxhash64("i", "t"), F.lit(parts))
-    return [Matcher(sorted(((r.i, r.t) for r in rows.where(part == k).collect()), key=str)) for k in range(parts)]
+    for k in range(parts):
+        yield Matcher(sorted(((r.i, r.t) for r in rows.where(part == k).collect()), key=str))
 
 
 def find_contamination(

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from wavemill.llm.blockmax import BlockMaxIndex
 from wavemill.llm.shared import bounded_batches, held_in_worker, require_columns, settle
@@ -41,6 +42,8 @@ TERMS, LEAST_ODDS = 30_000, 1.5
 #: Rows of label 1 that a term must be in.
 LEAST_ROWS = 3
 NEIGHBOURS = 15
+#: Nearest examples that are shown with a score.
+EVIDENCE = 3
 #: Weight of the base rate beside the votes.
 DRAW = 0.05
 PREFIXES = (4, 5, 6)
@@ -119,7 +122,10 @@ class Model:
         return best, cosine
 
     def score(self, text: str | None) -> float:
-        best, cosine = self.nearest(text)
+        return self.vote(*self.nearest(text))
+
+    def vote(self, best: np.ndarray, cosine: np.ndarray) -> float:
+        """Score by the nearest examples and their cosines."""
         if not len(best):
             return self.termless
         y = self.labels[best]
@@ -217,7 +223,7 @@ def fit(
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and score of every document."""
+    """id, score and evidence (the nearest examples' ids, labels and cosines, EVIDENCE at most) of every document."""
     require_columns(docs, [id_col, text_col])
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -226,10 +232,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            scores = pa.array([m.score(t.as_py()) for t in batch.column(1)], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), scores], names=[id_col, "score"])
-
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, score double")
+            found = [m.nearest(t.as_py()) for t in batch.column(1)]
+            scores = pa.array([m.vote(*x) for x in found], pa.float64())
+            near = [list(zip(best[:EVIDENCE].tolist(), cosine[:EVIDENCE].tolist())) for best, cosine in found]
+            shown = [[{"id": m.examples[i][0], "label": m.examples[i][1], "cosine": c} for i, c in x] for x in near]
+            yield pa.RecordBatch.from_arrays([batch.column(0), scores, pa.array(shown, shape)], names=[id_col, "score", "evidence"])
+
+    shape = pa.list_(pa.struct([("id", to_arrow_type(docs.schema[id_col].dataType)), ("label", pa.int32()), ("cosine", pa.float64())]))
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(
+        run, f"`{id_col}` {kind}, score double, evidence array<struct<id:{kind},label:int,cosine:double>>"
+    )
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
