@@ -117,10 +117,16 @@ def pairs_apart(pairs: DataFrame, keys: DataFrame, key: str, id_col: str = "reco
 
 
 def window_overlap_leaks(windows: DataFrame, window: int, split: str = "split") -> DataFrame:
-    """(record_id, start, next_start) of neighbouring windows of a recording that share samples and are in different splits."""
-    w = Window.partitionBy("record_id").orderBy("start")
-    nxt = windows.withColumns({"next_start": F.lead("start").over(w), "_s": F.lead(split).over(w)})
-    return nxt.where((F.col("next_start") - F.col("start") < window) & (F.col("_s") != F.col(split))).select("record_id", "start", "next_start")
+    """(record_id, start, next_start) of all pairs of a recording's windows that share samples and are in different splits.
+
+    Windows meet in bins as long as a window, each with the next bin's too, so a recording is parted over its length.
+    """
+    bin_ = lambda c: F.floor(F.col(c) / window).cast("long")
+    left = windows.select("record_id", "start", F.col(split).alias("_s")).withColumn("_bin", F.explode(F.array(bin_("start"), bin_("start") + 1)))
+    right = windows.select("record_id", F.col("start").alias("next_start"), F.col(split).alias("_t")).withColumn("_bin", bin_("next_start"))
+    met = left.join(right, ["record_id", "_bin"])
+    apart = (F.col("next_start") > F.col("start")) & (F.col("next_start") < F.col("start") + window) & (F.col("_s") != F.col("_t"))
+    return met.where(apart).select("record_id", "start", "next_start")
 
 
 def duplicates(records: DataFrame, digest: str, id_col: str = "record_id") -> DataFrame:

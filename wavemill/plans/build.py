@@ -64,6 +64,8 @@ def plan(spark: SparkSession, recordings: DataFrame, c: BuildConfig) -> Plan:
     """Label and split by metadata alone. Refusals raise."""
     windows.check_params(c.window, c.stride)
     split.check_ratios(c.ratios)
+    if c.group_by and c.balance_by and c.group_by == c.balance_by:
+        raise BuildError(f"{c.group_by!r} can't group and balance at once: a value that stays whole in one split can't be spread over all")
     if c.label_source == "annotations":
         labeled = labels.label_windows_nested(recordings, c.window, c.stride, c.exclude, c.keep_unlabeled)
     elif c.label_source in ("dirname", "csv"):
@@ -108,6 +110,8 @@ def plan(spark: SparkSession, recordings: DataFrame, c: BuildConfig) -> Plan:
     if c.balance_by:
         if w := split.balance_warnings(records, "balance_group").first().warning:
             warnings.append(w)
+        unseen = split.unseen_groups(records, "balance_group").groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("balance_group").alias("first"))
+        warnings += [f"{r.split}: {r.n} values of {c.balance_by} never occur in train, {r.first!r} first" for r in unseen.orderBy("split").collect()]
         warnings += [f"{r.split}: no {c.balance_by} occurs with every class" for r in split.shortcut_groups(records, "balance_group").where("shortcut").orderBy("split").collect()]
     return Plan(recordings, labeled, records, warnings)
 

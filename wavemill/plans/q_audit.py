@@ -131,13 +131,15 @@ def twin_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "window_overlap_leaks",
-    """with w as (select user_id record_id, (row_number() over (partition by user_id order by ts, event_id) - 1) * 8 as start, case when event_id % 3 = 0 then 'val' else 'train' end split from events),
-n as (select *, lead(start) over o next_start, lead(split) over o s from w window o as (partition by record_id order by start)) select record_id, start, next_start from n where next_start - start < 16 and s <> split""",
+    """with w as (select user_id record_id, (row_number() over (partition by user_id order by ts, event_id) - 1) * 4 as start, event_type split from events)
+select a.record_id, a.start, b.start next_start from w a join w b on a.record_id = b.record_id and b.start > a.start and b.start < a.start + 16 and a.split <> b.split""",
 )
 def window_overlap_leaks(spark: SparkSession, d: str) -> DataFrame:
-    from wavemill.plans.standin import samples
+    """A window of 16 at a stride of 4: each window overlaps three behind it. Event types stand in for splits."""
+    from wavemill.plans.standin import samples, table
 
-    w = samples(spark, d).select("record_id", (F.col("ord") * 8).alias("start"), F.when(F.col("event_id") % 3 == 0, "val").otherwise("train").alias("split"))
+    kind = table(spark, d, "events").select("event_id", F.col("event_type").alias("split"))
+    w = samples(spark, d).join(kind, "event_id").select("record_id", (F.col("ord") * 4).alias("start"), "split")
     return audit.window_overlap_leaks(w, 16)
 
 
