@@ -13,7 +13,7 @@ RATIOS = (0.7, 0.15, 0.15)
 
 EV = """ev as (select user_id record_id, event_type label, value, event_id, row_number() over (partition by user_id order by ts, event_id) - 1 ord from events),
 rec as (select record_id, count(*) num_samples from ev group by 1),
-ann as (select record_id, ord sample_start, 10 sample_count, label from ev where event_id % 7 = 0),
+ann as (select record_id, ord sample_start, 1 + cast(floor(value / 100) as bigint) sample_count, label from ev),
 win as (select record_id, w window_ix, w * 8 as start, w * 8 + 8 centre from (select record_id, unnest(range(0, case when num_samples < 16 then 0 else (num_samples - 16) // 8 + 1 end)) w from rec)),
 lab as (select w.record_id, w.window_ix, count(a.label) matches, min(a.label) label0 from win w left join ann a
         on a.record_id = w.record_id and centre >= sample_start and centre < sample_start + sample_count group by 1, 2),
@@ -34,7 +34,9 @@ def recordings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def annotations(spark: SparkSession, d: str) -> DataFrame:
-    return samples(spark, d).where("event_id % 7 = 0").select("record_id", F.col("ord").alias("sample_start"), F.lit(10).cast("long").alias("sample_count"), "label")
+    """An annotation for each event, some longer than others, so that windows have none, one or several."""
+    count = (F.floor(F.col("value") / 100) + 1).cast("long").alias("sample_count")
+    return samples(spark, d).select("record_id", F.col("ord").alias("sample_start"), count, "label")
 
 
 def seconds(ts: Column) -> Column:
