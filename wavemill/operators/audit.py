@@ -6,6 +6,7 @@ from structure; ``SAMPLE`` passes only say that the recordings looked at showed
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +20,7 @@ LEAST_ROWS = 3
 #: Two recordings of a class are near duplicates when at least this long (s), at most this far apart (s), and of lengths within this share.
 DUPLICATE_LEAST_S, DUPLICATE_GAP_S, DUPLICATE_LENGTHS = 1.0, 120.0, 0.10
 AXES = (("carrier_offset_hz", "carrier offset"), ("mean_power_db", "mean power"), ("duration_samples", "recording length"), ("duty_cycle", "burst duty cycle"), ("burst_start_frac", "burst position"))
+TIME_AXIS = ("start", "capture time")
 
 
 def finding(rows: DataFrame, check: str, status: Column, detail: Column) -> DataFrame:
@@ -27,51 +29,60 @@ def finding(rows: DataFrame, check: str, status: Column, detail: Column) -> Data
 
 def report(findings: list[DataFrame]) -> DataFrame:
     """(ord, status, check, detail) of all checks in order."""
-    return reduce(DataFrame.unionByName, [f.withColumn("ord", F.lit(i)) for i, f in enumerate(findings)]).select("ord", "status", "check", "detail")
+    placed, at = [], 0
+    for f in findings:
+        further = "after" in f.columns  # findings of two places
+        placed.append(f.withColumn("ord", F.lit(at) + (F.col("after") if further else F.lit(0))).select("ord", "status", "check", "detail"))
+        at += 1 + further
+    return reduce(DataFrame.unionByName, placed)
 
 
 # -- pairs
 
 
-def nearest_labels(rows: DataFrame, value: str, label: str, idx: str = "idx", buckets: int | None = None) -> DataFrame:
-    """(idx, label, nearest): the class of each row's nearest other row on a scalar; ties go to the lowest idx.
+def separabilities(rows: DataFrame, values: Sequence[str], label: str, idx: str = "idx", buckets: int | None = None) -> DataFrame:
+    """(ord, n, accuracy, chance) of each column of ``values`` that has rows: how many rows' nearest other row on it is of their class.
 
-    Rows are reduced to distinct values first, so hot values cost one row. Values are then cut into ranges
-    of about equal size; neighbours are found within a range, and across its ends through a table of one row
-    for each range.
+    Ties go to the lowest idx, so all rows of one value but its first have that first one as nearest: counts by (value,
+    class) and the first two rows of each value are enough, and both are reduced before the shuffle, however many rows
+    share a value. Values are cut into ranges of about equal size; neighbours are found within a range, and across its
+    ends through a table of one row for each range. All columns go in one pass.
     """
     parts = buckets or max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    have = rows.where(F.col(value).isNotNull()).select(F.col(idx).alias("idx"), F.col(label).alias("label"), F.col(value).cast("double").alias("v"))
-    first = have.groupBy("v").agg(F.min(F.struct("idx", "label")).alias("f"))
-    second = have.join(first, "v").where(F.col("idx") != F.col("f.idx")).groupBy("v").agg(F.min(F.struct("idx", "label")).alias("s"))
-    values = first.join(second, "v", "left")
-    cuts = sorted(set(have.approxQuantile("v", [i / parts for i in range(1, parts)], 0.01))) if parts > 1 else []
+    columns = F.array(*[F.col(c).cast("double") for c in values])
+    long = rows.select(F.col(idx).alias("idx"), F.col(label).alias("label"), F.posexplode(columns).alias("ord", "v")).where("v is not null")
+    counts = long.groupBy("ord", "v", "label").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("ord", "v").orderBy("idx"))
+    pick = lambda k: F.max(F.when(F.col("_r") == k, F.struct("idx", "label")))
+    firsts = long.withColumn("_r", place).where("_r <= 2").groupBy("ord", "v").agg(pick(1).alias("f"), pick(2).alias("s"))
+    cuts = {}
+    if parts > 1:  # a row for each column
+        at = F.percentile_approx("v", [i / parts for i in range(1, parts)], 1000)
+        cuts = {r.ord: sorted(set(r.c)) for r in long.groupBy("ord").agg(at.alias("c")).collect()}
     bucket = F.lit(0)
-    for c in cuts:
-        bucket = bucket + (F.col("v") >= c).cast("int")
-    values = values.withColumn("b", bucket).withColumn("c", F.struct("v", F.col("f").alias("x")))
-    ends = values.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    over = Window.orderBy("b")  # a row for each range
-    ends = ends.select("b", F.lag("hi").over(over).alias("before"), F.lead("lo").over(over).alias("after"))
-    w = Window.partitionBy("b").orderBy("v")
-    near = values.join(F.broadcast(ends), "b").select(
-        "v", "f", "s", F.coalesce(F.lag("c").over(w), F.col("before")).alias("p"), F.coalesce(F.lead("c").over(w), F.col("after")).alias("n")
+    if cuts:
+        of = F.create_map(*[x for k, c in cuts.items() for x in (F.lit(k), F.array(*map(F.lit, c)))])
+        bucket = F.size(F.filter(F.element_at(of, F.col("ord")), lambda c: c <= F.col("v")))
+    firsts = firsts.withColumn("b", bucket).withColumn("c", F.struct("v", "f"))
+    ends = firsts.groupBy("ord", "b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    over = Window.partitionBy("ord").orderBy("b")  # a row for each range
+    ends = ends.select("ord", "b", F.lag("hi").over(over).alias("before"), F.lead("lo").over(over).alias("after"))
+    w = Window.partitionBy("ord", "b").orderBy("v")
+    met = firsts.join(F.broadcast(ends), ["ord", "b"]).select(
+        "ord", "v", "f", "s", F.coalesce(F.lag("c").over(w), F.col("before")).alias("p"), F.coalesce(F.lead("c").over(w), F.col("after")).alias("x")
     )
-    met = have.join(near, "v")
-    same = F.when(F.col("idx") == F.col("f.idx"), F.col("s")).otherwise(F.col("f"))
-    options = F.array(
-        F.when(same.isNotNull(), F.struct(F.lit(0.0).alias("d"), same["idx"].alias("i"), same["label"].alias("l"))),
-        F.when(F.col("p").isNotNull(), F.struct((F.col("v") - F.col("p.v")).alias("d"), F.col("p.x.idx").alias("i"), F.col("p.x.label").alias("l"))),
-        F.when(F.col("n").isNotNull(), F.struct((F.col("n.v") - F.col("v")).alias("d"), F.col("n.x.idx").alias("i"), F.col("n.x.label").alias("l"))),
-    )
-    return met.select("idx", "label", F.array_min(options)["l"].alias("nearest"))
+    other = lambda c, d: F.when(F.col(c).isNotNull(), F.struct(d.alias("d"), F.col(f"{c}.f.idx").alias("i"), F.col(f"{c}.f.label").alias("l")))
+    beside = F.array_min(F.array(other("p", F.col("v") - F.col("p.v")), other("x", F.col("x.v") - F.col("v"))))["l"]
+    own = F.when(F.col("s").isNotNull(), F.col("s.label")).otherwise(beside)
+    per = counts.join(met.select("ord", "v", F.col("f.label").alias("fl"), own.alias("own")), ["ord", "v"])
+    hit = F.when(F.col("label") == F.col("fl"), F.col("n") - 1 + F.when(F.col("own") == F.col("label"), 1).otherwise(0)).otherwise(0)
+    per = per.groupBy("ord", "label").agg(F.sum("n").alias("n"), F.sum(hit).alias("hit"))
+    return per.groupBy("ord").agg(F.sum("n").alias("n"), (F.sum("hit") / F.sum("n")).alias("accuracy"), (F.max("n") / F.sum("n")).alias("chance"))
 
 
 def separability(rows: DataFrame, value: str, label: str, idx: str = "idx") -> DataFrame:
     """One row: n, accuracy of the nearest other row's class, and chance, the largest class's share."""
-    near = nearest_labels(rows, value, label, idx)
-    per = near.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("nearest") == F.col("label")).alias("hit"))
-    return per.agg(F.sum("n").alias("n"), (F.sum("hit") / F.sum("n")).alias("accuracy"), (F.max("n") / F.sum("n")).alias("chance"))
+    return separabilities(rows, (value,), label, idx).agg(*[F.max(c).alias(c) for c in ("n", "accuracy", "chance")])
 
 
 def overlapping_pairs(spans: DataFrame, keys: tuple[str, ...] = (), bin_s: float = 3600.0, id_col: str = "record_id") -> DataFrame:
@@ -89,6 +100,29 @@ def overlapping_pairs(spans: DataFrame, keys: tuple[str, ...] = (), bin_s: float
     return met.select(*keys, F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
+def overlap_counts(spans: DataFrame, keys: tuple[str, ...] = (), bin_s: float = 3600.0) -> DataFrame:
+    """(keys, spans, pairs): how many pairs :func:`overlapping_pairs` has of each ``keys`` value, none of them made.
+
+    All pairs less those where one has ended before the other starts: a sum over distinct times of starts by ends so
+    far. Ends are counted within time bins and shifted by the bins before. Rows alike in all columns are spans of their own.
+    """
+    s = spans.select(*keys, F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end")).where("start is not null and end is not null")
+    point = (F.col("end") <= F.col("start")).cast("long")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    starts = F.struct(F.col("start").alias("t"), one.alias("s"), none.alias("e"), point.alias("z"))
+    stops = F.struct(F.greatest("start", "end").alias("t"), none.alias("s"), one.alias("e"), none.alias("z"))
+    times = s.select(*keys, F.explode(F.array(starts, stops)).alias("x")).groupBy(*keys, F.col("x.t").alias("t")).agg(*[F.sum(f"x.{c}").alias(c) for c in "sez"])
+    times = times.withColumn("bin", F.floor(F.col("t") / bin_s))
+    bins = times.groupBy(*keys, "bin").agg(F.sum("e").alias("e"))
+    before = F.sum("e").over(Window.partitionBy(*keys).orderBy("bin")) - F.col("e")
+    shift = bins.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("bin").alias("_bin"), before.alias("_before"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("bin") == F.col("_bin"))
+    ended = F.sum("e").over(Window.partitionBy(*keys, "bin").orderBy("t")) + F.col("_before")
+    placed = times.join(shift, same).select(*keys, "s", "z", ended.alias("ended"))
+    n, apart = F.sum("s"), F.sum(F.col("s") * F.col("ended") - F.expr("z * (z + 1) div 2"))
+    return placed.groupBy(*keys).agg(n.alias("spans"), (F.expr("sum(s) * (sum(s) - 1) div 2") - apart).alias("pairs"))
+
+
 def adjacent_overlaps(spans: DataFrame, keys: tuple[str, ...], id_col: str = "record_id") -> DataFrame:
     """As above, but only between spans next to each other in (start, end, id) order of one ``keys`` value."""
     w = Window.partitionBy(*keys).orderBy("start", "end", id_col)
@@ -152,25 +186,37 @@ def fingerprint(files: DataFrame, path: str = "path", size: str = "size") -> Dat
 # -- checks of a built dataset (records: record_id, split, label, ...)
 
 
-def check_disjoint(records: DataFrame) -> DataFrame:
+def check_disjoint(records: DataFrame, windows: dict[str, int] | None = None) -> DataFrame:
+    """``windows``: how many windows each split has. A split that has some but lists no recording can't be examined."""
     n = records.groupBy("record_id").agg(F.countDistinct("split").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("k") > 1).alias("bad"))
-    status = F.when(F.col("n") == 0, NOT_CHECKED).when(F.col("bad") > 0, LEAK).otherwise(PROOF)
-    return finding(n, "recording disjointness", status, F.concat(F.col("bad").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" recordings in more than one split")))
+    filled = [s for s, k in (windows or {}).items() if k]
+    seen = records.agg(F.collect_set(F.when(F.col("split").isin(*filled), F.col("split"))).alias("seen"))
+    n = n.crossJoin(seen)  # one row each
+    hidden = F.size("seen") < len(filled)
+    status = F.when((F.col("n") == 0) | hidden, NOT_CHECKED).when(F.col("bad") > 0, LEAK).otherwise(PROOF)
+    told = F.concat(F.col("bad").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" recordings in more than one split"))
+    return finding(n, "recording disjointness", status, F.when(hidden, F.concat(told, F.lit("; a split with windows lists no recording"))).otherwise(told))
+
+
+def check_cross_split_overlap(records: DataFrame, window: int, stride: int, windows: dict[str, int] | None = None) -> DataFrame:
+    base = check_disjoint(records, windows)
+    leak = F.when(F.col("status") == LEAK, F.lit(f"windows of a shared recording share {max(0, window - stride)} samples"))
+    detail = leak.when(F.col("status") == NOT_CHECKED, F.lit("recordings of a split are unknown")).otherwise(F.lit("windows of different recordings share no samples"))
+    return finding(base, "cross-split overlap", F.col("status"), detail)
 
 
-def check_cross_split_overlap(records: DataFrame, window: int, stride: int) -> DataFrame:
-    base = check_disjoint(records)
-    detail = F.when(F.col("status") == LEAK, F.lit(f"windows of a shared recording share {max(0, window - stride)} samples")).otherwise(F.lit("windows of different recordings share no samples"))
-    return finding(base, "cross-split overlap", F.col("status"), detail)
+def _timed(records: DataFrame) -> DataFrame:
+    return records.where("start is not null").agg(F.count(F.lit(1)).alias("timed"), F.countDistinct("start").alias("stamps"))
 
 
 def check_air_time(records: DataFrame, bin_s: float = 3600.0) -> DataFrame:
-    """Recordings on air at the same time must share a split. Fewer than two times, or a single distinct one, tell nothing."""
-    timed = records.where("start is not null")
-    pairs = overlapping_pairs(timed, bin_s=bin_s)
-    apart = pairs_apart(pairs, records, "split")
-    n = timed.agg(F.count(F.lit(1)).alias("timed"), F.countDistinct("start").alias("stamps"))
-    row = n.crossJoin(pairs.agg(F.count(F.lit(1)).alias("pairs"))).crossJoin(apart.agg(F.count(F.lit(1)).alias("apart")))
+    """Recordings on air at the same time must share a split. Fewer than two times, or a single distinct one, tell nothing.
+
+    Pairs are counted, over all and within each split; a recording listed twice is on air with itself.
+    """
+    within = overlap_counts(records, ("split",), bin_s).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("within"))
+    pairs = overlap_counts(records, (), bin_s).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+    row = _timed(records).crossJoin(pairs).crossJoin(within).withColumn("apart", F.col("pairs") - F.col("within"))  # one row each
     status = (
         F.when((F.col("timed") < 2) | (F.col("stamps") == 1), NOT_CHECKED)
         .when(F.col("apart") > 0, LEAK)
@@ -182,9 +228,7 @@ def check_air_time(records: DataFrame, bin_s: float = 3600.0) -> DataFrame:
 
 def check_time_overlap(records: DataFrame, bin_s: float = 3600.0) -> DataFrame:
     """The same for a folder, where nothing is split yet: any overlap is a leak to be."""
-    timed = records.where("start is not null")
-    n = timed.agg(F.count(F.lit(1)).alias("timed"), F.countDistinct("start").alias("stamps"))
-    row = n.crossJoin(overlapping_pairs(timed, bin_s=bin_s).agg(F.count(F.lit(1)).alias("pairs")))
+    row = _timed(records).crossJoin(overlap_counts(records, (), bin_s).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")))
     status = F.when((F.col("timed") < 2) | (F.col("stamps") == 1), NOT_CHECKED).when(F.col("pairs") > 0, LEAK).otherwise(SAMPLE)
     return finding(row, "recording time overlap", status, F.concat(F.col("pairs").cast("string"), F.lit(" overlapping pairs")))
 
@@ -227,24 +271,31 @@ def check_collections(records: DataFrame) -> DataFrame:
 
 def axis_scores(records: DataFrame, axes: tuple[tuple[str, str], ...] = AXES, label: str = "label", idx: str = "record_id") -> DataFrame:
     """(ord, axis, n, accuracy, chance, margin) of each scalar axis."""
-    known = records.where(F.col(label).isNotNull())
-    rows = [separability(known, c, label, idx).select(F.lit(i).alias("ord"), F.lit(name).alias("axis"), "n", "accuracy", "chance") for i, (c, name) in enumerate(axes)]
-    return reduce(DataFrame.unionByName, rows).withColumn("margin", F.col("accuracy") - F.col("chance"))
+    names = records.sparkSession.createDataFrame([(i, name) for i, (_, name) in enumerate(axes)], "ord int, axis string").coalesce(1)
+    found = separabilities(records.where(F.col(label).isNotNull()), [c for c, _ in axes], label, idx)
+    return names.join(found, "ord", "left").withColumn("margin", F.col("accuracy") - F.col("chance"))
 
 
 def check_axes(scores: DataFrame) -> DataFrame:
-    """A finding for each axis: a risk when it alone tells most classes, and more than chance does."""
+    """A finding for each axis: a risk when it alone tells most classes, and more than chance does.
+
+    Capture time, where it is among them, is a risk whatever chance does; its finding stands ``after`` the others.
+    """
     few = F.coalesce(F.col("n"), F.lit(0)) < LEAST_ROWS
-    status = F.when(few, NOT_CHECKED).when((F.col("accuracy") >= AXIS_RISK) & (F.col("accuracy") > F.col("chance")), RISK).otherwise(SAMPLE)
-    detail = F.when(few, "fewer than 3 recordings").otherwise(F.format_string("nearest neighbour %.1f %%, chance %.1f %%", F.col("accuracy") * 100, F.col("chance") * 100))
-    return scores.select(status.alias("status"), F.concat(F.lit("axis: "), F.col("axis")).alias("check"), detail.alias("detail"))
+    timed = F.col("axis") == TIME_AXIS[1]
+    status = F.when(few, NOT_CHECKED).when((F.col("accuracy") >= AXIS_RISK) & (timed | (F.col("accuracy") > F.col("chance"))), RISK).otherwise(SAMPLE)
+    chance = F.when(timed, "").otherwise(F.format_string(", chance %.1f %%", F.col("chance") * 100))
+    detail = F.when(few, F.when(timed, "fewer than 3 recordings with a time").otherwise("fewer than 3 recordings"))
+    detail = detail.otherwise(F.concat(F.format_string("nearest neighbour %.1f %%", F.col("accuracy") * 100), chance))
+    return scores.select(status.alias("status"), F.concat(F.lit("axis: "), F.col("axis")).alias("check"), detail.alias("detail"), timed.cast("int").alias("after"))
 
 
 def check_capture_time(records: DataFrame, label: str = "label", idx: str = "record_id") -> DataFrame:
-    s = separability(records.where(F.col(label).isNotNull()), "start", label, idx)
-    few = F.coalesce(F.col("n"), F.lit(0)) < LEAST_ROWS
-    status = F.when(few, NOT_CHECKED).when(F.col("accuracy") >= AXIS_RISK, RISK).otherwise(SAMPLE)
-    return finding(s, "axis: capture time", status, F.when(few, "fewer than 3 recordings with a time").otherwise(F.format_string("nearest neighbour %.1f %%", F.col("accuracy") * 100)))
+    return check_axes(axis_scores(records, (TIME_AXIS,), label, idx)).drop("after")
+
+
+def missing_axes(records: DataFrame, why: str) -> DataFrame:
+    return finding(records.agg(F.count(F.lit(1))), "class axes", F.lit(NOT_CHECKED), F.lit(why))
 
 
 def check_snr(features: DataFrame) -> DataFrame:
@@ -309,9 +360,12 @@ def exit_code(findings: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def audit_folder(records: DataFrame, window: int | None = None, stride: int | None = None, label_findings: DataFrame | None = None) -> DataFrame:
-    """Findings for a folder of recordings (record_id, label, start, end, error, digest and the features)."""
+    """Findings for a folder of recordings (record_id, label, start, end, error, digest and the features).
+
+    The table of recordings, a narrow row each, is kept while checks read it.
+    """
+    records = records.persist()
     readable = records.where("error is null")
-    scores = axis_scores(readable)
     found = [check_readable(records)]
     if label_findings is not None:
         found.append(label_findings)
@@ -321,25 +375,31 @@ def audit_folder(records: DataFrame, window: int | None = None, stride: int | No
         check_shared_timestamp(readable, built=False),
         check_duplicates(readable),
         finding(records.limit(1), "recording disjointness", F.lit(NOT_CHECKED), F.lit("nothing is split yet")),
-        check_axes(scores),
-        check_capture_time(readable),
+        check_axes(axis_scores(readable, (*AXES, TIME_AXIS))),
         check_snr(readable),
         check_difficulty(records),
     ]
     return report(found)
 
 
-def audit_dataset(records: DataFrame, window: int, stride: int, axes: tuple[tuple[str, str], ...] = AXES) -> DataFrame:
-    """Findings for a built dataset (record_id, split, label, start, end, collection and the features)."""
+def audit_dataset(
+    records: DataFrame, window: int, stride: int, axes: tuple[tuple[str, str], ...] = AXES, windows: dict[str, int] | None = None, no_axes: str | None = None
+) -> DataFrame:
+    """Findings for a built dataset (record_id, split, label, start, end, collection and the features).
+
+    ``windows``: of each split. ``no_axes``: why the recordings' scalars aren't known, where they aren't.
+    The table of recordings is kept while checks read it.
+    """
+    records = records.persist()
+    scored = [missing_axes(records, no_axes), check_capture_time(records)] if no_axes else [check_axes(axis_scores(records, (*axes, TIME_AXIS)))]
     return report(
         [
-            check_disjoint(records),
-            check_cross_split_overlap(records, window, stride),
+            check_disjoint(records, windows),
+            check_cross_split_overlap(records, window, stride, windows),
             check_air_time(records),
             check_shared_timestamp(records, built=True),
             check_collections(records),
-            check_axes(axis_scores(records, axes)),
-            check_capture_time(records),
+            *scored,
             check_snr(records),
             check_difficulty(records),
         ]
