@@ -6,12 +6,13 @@ import argparse
 import json
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from wavemill import __version__, get_session
-from wavemill.operators import audit, decide, features, labels, measure, split, stats
+from wavemill.operators import audit, decide, features, labels, measure, split, stats, windows
 from wavemill.plans import build as plans
-from wavemill.plans import report
+from wavemill.plans import measurement, report
 from wavemill.sources import dataset, sigmf, tables
 
 
@@ -19,6 +20,13 @@ def _numbers(text: str, kind=float) -> tuple:
     return tuple(kind(x) for x in text.split(","))
 
 
+def _seeds(text: str) -> tuple[int, ...]:
+    found = tuple(int(x) for x in text.split(",") if x.strip())
+    if not found or len(set(found)) < len(found):
+        raise ValueError(f"seeds must be different whole numbers, not {text!r}")
+    return found
+
+
 def _config(a: argparse.Namespace) -> plans.BuildConfig:
     return plans.BuildConfig(
         window=a.window, stride=a.stride, label_source=a.labels, label_csv=a.label_csv, dirname_level=a.dirname_level,
@@ -28,7 +36,7 @@ def _config(a: argparse.Namespace) -> plans.BuildConfig:
 
 
 def info(spark, a) -> int:
-    for r in sigmf.scan(spark, a.input).orderBy("record_id").collect():
+    for r in plans.some_recordings(sigmf.scan(spark, a.input), a.input).orderBy("record_id").toLocalIterator():
         print(f"{r.record_id}: {r.datatype}, {report.hertz(r.sample_rate)}, {r.num_samples} samples, {r.num_samples / r.sample_rate:.6f} s, centre {report.hertz(r.center_frequency)}, {len(r.annotations)} annotations")
         for x in r.annotations:
             print(f"  [{x.sample_start}, {x.sample_start + x.sample_count}) {x.label or '-'} {report.hertz(x.freq_lower_edge)}..{report.hertz(x.freq_upper_edge)}" + (" beyond end" if x.sample_start + x.sample_count > r.num_samples else ""))
@@ -36,10 +44,11 @@ def info(spark, a) -> int:
 
 
 def inspect(spark, a) -> int:
-    r = sigmf.scan(spark, a.input).first()
+    r = plans.some_recordings(sigmf.scan(spark, a.input), a.input).first()
     i, q = sigmf.read_range(r.data_path, r.datatype, a.start, a.count)
     freq, times, db = features.spectrogram(i, q, a.nfft, r.sample_rate)
     print(f"{r.record_id}: {len(times)} frames of {a.nfft}, peak at {report.hertz(float(freq[int(db.mean(axis=1).argmax())]))} from the centre")
+    print(report.heatmap(freq, times, db))
     print(report.sparkline([float(x) for x in (10 ** (db / 10)).mean(axis=0)[:: max(1, len(times) // 60)]]))
     return 0
 
@@ -62,6 +71,9 @@ def show_stats(spark, a) -> int:
         print(f"{r.label}: train {r.train}, val {r.val}, test {r.test} recordings")
     for r in stats.offset_signs(rows, "carrier_offset_hz").orderBy("split").collect():
         print(f"{r.split}: {r.negative} negative, {r.positive} other offsets" + (", all on one side" if r.one_sided else ""))
+    if m["config"].get("group_by"):
+        g = rows.groupBy("unit").count().agg(F.count(F.lit(1)).alias("n"), F.max("count").alias("most")).first()
+        print(f"{g.n} groups by {m['config']['group_by']}, the largest of {g.most} recordings")
     print(f"{dataset.dataset_bytes(spark, a.dataset)} bytes")
     return 0
 
@@ -80,57 +92,89 @@ def train(spark, a) -> int:
 
 
 def _folder(spark, a):
-    recordings = sigmf.scan(spark, a.input, strict=False)
+    """The folder's table of recordings, what its label table leaves open (else None), and the scan."""
+    recordings = plans.some_recordings(sigmf.scan(spark, a.input, strict=False), a.input)
     named = recordings.where("error is null")
+    checked = None
     if a.labels == "dirname":
         lab = labels.label_by_dirname(named, a.dirname_level).select("record_id", "label")
     elif a.labels == "csv":
-        lab = labels.lookup(named, tables.read_label_csv(spark, a.label_csv), "filename", "label").select("record_id", "label")
+        if not a.label_csv:
+            raise plans.BuildError("label source csv needs a file")
+        told = labels.lookup(named, tables.read_label_csv(spark, a.label_csv), "filename", "label")
+        lab = told.select("record_id", "label")
+        used = labels.dominant_label(windows.window_starts(told.where("label is not null"), a.window, a.stride, ("record_id", "label")))
+        checked = audit.check_label_table(labels.lost_labels(lab, used), told.where("matched_by is null"))
     else:
         lab = labels.dominant_label(labels.label_windows_nested(named, a.window, a.stride)).select("record_id", "label")
     rows = features.measure(recordings, lab)
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{sigmf.DATA}").load(a.input)
-    digests = content.select(F.col("path").alias("data_path"), audit.partial_digest(F.col("content")).alias("digest"))
-    rows = rows.join(recordings.select("record_id", "data_path").join(digests, "data_path").select("record_id", "digest"), "record_id", "left")
+    digests = sigmf.range_digests(named)
+    rows = rows.join(named.select("record_id", "data_path").join(digests, "data_path").select("record_id", "digest"), "record_id", "left")
     bad = recordings.where("error is not null").select("record_id", "error")
-    return rows.unionByName(bad, allowMissingColumns=True).cache()
+    return rows.unionByName(bad, allowMissingColumns=True).persist(), checked, recordings
 
 
-def run_audit(spark, a) -> int:
+def _built(spark, a, m: dict):
+    """Findings of a built dataset. Its recordings are looked for where it was built from, then beside the dataset."""
+    rows = plans.manifest_records(spark, m)
+    source, here = m["config"]["input"].rstrip("/"), a.input.rstrip("/")
+    above = here.rpartition("/")[0] or "."
+    beside = f"{above}/{source.rpartition('/')[2]}"
     try:
-        m = tables.read_manifest(spark, a.input)
-    except Exception as e:  # a folder of recordings has no manifest; a manifest that is refused is an error
-        if isinstance(e, tables.TableError):
-            raise
-        m = None
+        found = plans.locate_sources(spark, rows, [source, here, beside]).persist()
+        have = features.measure(found, rows.select("record_id", "label")).drop("label", "carrier_offset_hz")
+        n, met = rows.count(), found.count()
+    except plans.BuildError:
+        n, met = rows.count(), 0
+    lost = None if met == n else f"{n - met} of {n} source recordings not found; looked in {source}, {here}, {beside}"
+    if not met:
+        have = spark.createDataFrame([], f"record_id string, start double, end double, collection string, occupied_bw_hz double, sample_rate double, {features.SCALARS}")
+    sizes = {s: v["count"] for s, v in m["splits"].items()}
+    return audit.audit_dataset(rows.join(have, "record_id", "left"), m["config"]["window"], m["config"]["stride"], windows=sizes, no_axes=lost, partly=bool(met))
+
+
+def run_audit(spark, a) -> int:
+    m = tables.read_manifest(spark, a.input) if tables.exists(spark, f"{a.input.rstrip('/')}/manifest.json") else None
+    mark = None
     if m:
-        rows = plans.manifest_records(spark, m)
-        have = features.measure(sigmf.scan(spark, m["config"]["input"]), rows.select("record_id", "label")).drop("label", "carrier_offset_hz")
-        found = audit.audit_dataset(rows.join(have, "record_id", "left"), m["config"]["window"], m["config"]["stride"])
+        found = _built(spark, a, m)
+        detail = f"{sum(v['count'] for v in m['splits'].values())} windows of {m['config']['window']} at stride {m['config']['stride']}"
     else:
-        found = audit.audit_folder(_folder(spark, a), a.window, a.stride)
+        rows, checked, recordings = _folder(spark, a)
+        found = audit.audit_folder(rows, a.window, a.stride, checked)
+        detail = f"{rows.count()} recordings"
+        if a.json:
+            mark = audit.fingerprint(recordings.select("path", F.col("num_samples").alias("size"))).first()[0]
     found = found.cache()
-    print(report.findings_json(found, "built" if m else "folder", a.input) if a.json else report.findings_text(found))
+    print(report.findings_json(found, "built" if m else "folder", a.input, detail=detail, fingerprint=mark) if a.json else report.findings_text(found))
     return audit.exit_code(found, a.strict).first()[0]
 
 
 def measure_leakage(spark, a) -> int:
-    rows = _folder(spark, a)
-    found = audit.audit_folder(rows, a.window, a.stride).cache()
+    split_seeds, train_seeds = _seeds(a.split_seeds), _seeds(a.train_seeds)
+    rows, checked, recordings = _folder(spark, a)
+    found = audit.audit_folder(rows, a.window, a.stride, checked).cache()
     usable = rows.where("error is null")
     keyed = plans.group_units(spark, usable, a.group_by) if a.group_by else usable.withColumn("unit", F.col("record_id"))
     pairs = audit.overlapping_pairs(usable)
     short = keyed.groupBy("label").agg(F.countDistinct("unit").alias("n")).where(F.col("n") < sum(r > 0 for r in _numbers(a.split)))
     d = decide.decide(found, audit.verdict(audit.axis_scores(usable)), audit.near_duplicates(usable), audit.pairs_apart(pairs, keyed, "unit"), short, grouped=bool(a.group_by), force=a.force).cache()
-    print(report.decision_text(d, a.force), end="")
-    if d.first().status != decide.MEASURE:
+    go = d.first().status == decide.MEASURE
+    strides = measure.STRIDES if a.sweep else (a.stride,)
+    seconds = None
+    if go:
+        rate, each = measure.probe(spark, a.window), len(split_seeds) * len(train_seeds)
+        usual = recordings.where("error is null")
+        seconds = sum(decide.work_estimate(decide.predicted_windows(usual, a.window, s, _numbers(a.split)), rate, each).first().seconds for s in strides)
+    print(report.decision_json(d, a.force, seconds) if a.json else report.decision_text(d, a.force), end="\n" if a.json else "")
+    if not go:
         return 1
-    c = _config(a)
-    p = plans.plan(spark, sigmf.scan(spark, a.input), c)
-    table = plans.window_table(p, c).drop("split").cache()
-    runs = measure.run_grid(table, p.records.select("record_id", "label"), c.ratios, _numbers(a.split_seeds, int), _numbers(a.train_seeds, int)).withColumn("stride", F.lit(a.stride))
-    out = stats.paired_inflation(runs, ("stride",))
-    print(report.inflation_table(out, "stride"))
+    if a.dry_run:
+        return 0
+    if not a.json:
+        print(f"about {seconds:.0f} s of training")
+    runs = measurement.measure_strides(spark, a.input, _config(a), strides, split_seeds, train_seeds, a.log)
+    print(report.inflation_table(stats.paired_inflation(runs, ("stride",)), "stride"))
     return 0
 
 
@@ -176,6 +220,10 @@ def parser() -> argparse.ArgumentParser:
     c = command("measure-leakage", measure_leakage, "input")
     building(c)
     c.add_argument("--force", action="store_true")
+    c.add_argument("--json", action="store_true", help="the decision as JSON")
+    c.add_argument("--dry-run", action="store_true", help="decide and estimate only")
+    c.add_argument("--sweep", action="store_true", help=f"strides {', '.join(map(str, measure.STRIDES))} instead of --stride")
+    c.add_argument("--log", help="file of finished runs; an interrupted grid goes on from it")
     c.add_argument("--split-seeds", default=",".join(map(str, measure.SPLIT_SEEDS)))
     c.add_argument("--train-seeds", default=",".join(map(str, measure.TRAIN_SEEDS)))
     command("version", lambda spark, a: print(json.dumps({"wavemill": __version__})) or 0)
@@ -188,7 +236,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         return a.run(None, a)
     try:
         return a.run(spark or get_session(), a)
-    except (ValueError, IndexError) as e:
+    except (ValueError, IndexError, AnalysisException) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
 

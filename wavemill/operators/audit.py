@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavemill.functions.columns import overlap_fraction
+
 LEAK, RISK, PROOF, SAMPLE, NOT_CHECKED = "LEAK", "RISK", "PASS/proof", "PASS/sample", "NOT CHECKED"
 STATUSES = (LEAK, RISK, PROOF, SAMPLE, NOT_CHECKED)
 #: Share of recordings that one scalar must classify to be a risk, or a ceiling.
@@ -329,7 +331,8 @@ def check_predicted_overlap(rows: DataFrame, window: int | None, stride: int | N
         return finding(one, "predicted overlap", F.lit(NOT_CHECKED), F.lit("no window and stride given"))
     if stride >= window:
         return finding(one, "predicted overlap", F.lit(PROOF), F.lit("windows don't overlap"))
-    return finding(one, "predicted overlap", F.lit(RISK), F.lit(f"neighbouring windows share {window - stride} of {window} samples"))
+    shared = F.format_string(f"neighbouring windows share {window - stride} of {window} samples (%.1f %%)", 100 * overlap_fraction(window, stride))
+    return finding(one, "predicted overlap", F.lit(RISK), shared)
 
 
 def check_duplicates(records: DataFrame, digest: str = "digest") -> DataFrame:
@@ -383,15 +386,16 @@ def audit_folder(records: DataFrame, window: int | None = None, stride: int | No
 
 
 def audit_dataset(
-    records: DataFrame, window: int, stride: int, axes: tuple[tuple[str, str], ...] = AXES, windows: dict[str, int] | None = None, no_axes: str | None = None
+    records: DataFrame, window: int, stride: int, axes: tuple[tuple[str, str], ...] = AXES, windows: dict[str, int] | None = None, no_axes: str | None = None, partly: bool = False
 ) -> DataFrame:
     """Findings for a built dataset (record_id, split, label, start, end, collection and the features).
 
-    ``windows``: of each split. ``no_axes``: why the recordings' scalars aren't known, where they aren't.
+    ``windows``: of each split. ``no_axes``: why the recordings' scalars aren't known, where they aren't; ``partly``: some are.
     The table of recordings is kept while checks read it.
     """
     records = records.persist()
-    scored = [missing_axes(records, no_axes), check_capture_time(records)] if no_axes else [check_axes(axis_scores(records, (*axes, TIME_AXIS)))]
+    scored = [missing_axes(records, no_axes)] if no_axes else []
+    scored.append(check_axes(axis_scores(records, (*axes, TIME_AXIS))) if partly or not no_axes else check_capture_time(records))
     return report(
         [
             check_disjoint(records, windows),

@@ -14,6 +14,9 @@ from wavemill.sources.sigmf import annotations_of, read_range
 
 MEASURED = "record_id string, mean_power_db double, duty_cycle double, burst_start_frac double, est_offset_hz double, est_bw_hz double"
 
+#: What the audit's axes read.
+SCALARS = "mean_power_db double, duration_samples double, duty_cycle double, burst_start_frac double"
+
 
 def activity(power: np.ndarray) -> np.ndarray:
     """Which blocks are active, by their mean powers; none of fewer than two."""

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import platform
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Collection, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill.operators.split import SPLITS, stratified_split, window_level_deal
+from wavemill.operators.decide import EPOCHS
+from wavemill.operators.split import SPLITS, assign_splits, window_level_deal
 from wavemill.operators.stats import per_class_accuracy
 
 SPLIT_SEEDS, TRAIN_SEEDS = (11, 22, 33, 44, 55), (0, 1, 2)
 STRIDES = (1024, 768, 512, 256, 128)
+ARMS = ("recording", "window")
 
 
 def environment(spark: SparkSession) -> dict[str, str]:
@@ -54,7 +57,7 @@ def window_features(windows: DataFrame) -> DataFrame:
     return windows.withColumn("features", array_to_vector(F.array(*[F.coalesce(p, F.lit(0.0)) for p in parts], *[F.get("i", F.lit(k)) for k in range(8)])))
 
 
-def train_and_evaluate(windows: DataFrame, seed: int = 0, iterations: int = 20) -> DataFrame:
+def train_and_evaluate(windows: DataFrame, seed: int = 0, iterations: int = EPOCHS) -> DataFrame:
     """(label, n, accuracy) of each class of the test split. ``windows``: label, split, i, q.
 
     A forest of fixed size stands in for a convolutional net, which Spark has no trainer for; accuracies of the
@@ -79,31 +82,54 @@ def accuracy(per_class: DataFrame) -> float:
     return float(r.h / r.n) if r and r.n else 0.0
 
 
+def probe(spark: SparkSession, window: int, windows: int = 256) -> float:
+    """Seconds that training takes for one window and tree, of a small training on ``windows`` made-up windows."""
+    value = lambda j: F.transform(F.sequence(F.lit(1), F.lit(window)), lambda k: F.hash(k, F.col("id"), F.lit(j)) / F.lit(2.0**31))
+    rows = spark.range(2 * windows).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("label"), F.when(F.col("id") < windows, SPLITS[0]).otherwise(SPLITS[2]).alias("split"), value(0).alias("i"), value(1).alias("q"))
+    rows = rows.persist()
+    rows.count()
+    began = time.monotonic()
+    accuracy(train_and_evaluate(rows, iterations=EPOCHS))
+    rows.unpersist()
+    return (time.monotonic() - began) / (windows * EPOCHS)
+
+
 def run_grid(
     windows: DataFrame,
     records: DataFrame,
     ratios: Sequence[float],
     split_seeds: Sequence[int] = SPLIT_SEEDS,
     train_seeds: Sequence[int] = TRAIN_SEEDS,
-    on_run=None,
+    on_run: Callable[[dict], None] | None = None,
+    done: Collection[tuple[str, int, int]] = (),
+    balanced: bool = False,
 ) -> DataFrame:
     """Runs of both arms over one table of windows: (strategy, split_seed, train_seed, test_accuracy, train_windows, test_windows).
 
-    ``windows``: record_id, window_ix, label, i, q. ``records``: record_id, label (the dominant one). The arms are
-    two assignments of the same windows; nothing is built twice. ``on_run`` gets each finished run.
+    ``windows``: record_id, window_ix, label, i, q. ``records``: record_id, label (the dominant one), and unit and
+    balance_group where recordings are grouped or balanced. The arms are two assignments of the same windows; nothing
+    is built twice. ``on_run`` gets each finished run; those of ``done`` (strategy, split seed, training seed) aren't made.
     """
     spark, runs = windows.sparkSession, []
+    if "unit" not in records.columns:
+        records = records.withColumn("unit", F.col("record_id").cast("string"))
     for s in split_seeds:
-        units = records.select(F.col("record_id").cast("string").alias("unit"), "label")
-        plan = stratified_split(units, ratios, s).select(F.col("unit").alias("_u"), "split")
-        honest = windows.join(plan, F.col("record_id").cast("string") == F.col("_u")).drop("_u")
+        todo = {a: [t for t in train_seeds if (a, s, t) not in done] for a in ARMS}
+        if not any(todo.values()):
+            continue
+        plan = assign_splits(records, ratios, s, balanced).select(F.col("record_id").alias("_r"), "split")
+        honest = windows.join(plan, F.col("record_id") == F.col("_r")).drop("_r")
         dealt = window_level_deal(honest.select("record_id", "window_ix", "label", "split"), s)
         leaky = windows.join(dealt.select("record_id", "window_ix", "split"), ["record_id", "window_ix"])
-        for strategy, rows in (("recording", honest), ("window", leaky)):
+        for strategy, rows in zip(ARMS, (honest, leaky)):
+            if not todo[strategy]:
+                continue
             sizes = {r.split: r["count"] for r in rows.groupBy("split").count().collect()}
-            for t in train_seeds:
-                run = (strategy, s, t, accuracy(train_and_evaluate(rows, t)), sizes.get(SPLITS[0], 0), sizes.get(SPLITS[2], 0))
+            for t in todo[strategy]:
+                run = {"strategy": strategy, "split_seed": s, "train_seed": t, "test_accuracy": accuracy(train_and_evaluate(rows, t, EPOCHS))}
+                run |= {"train_windows": sizes.get(SPLITS[0], 0), "test_windows": sizes.get(SPLITS[2], 0)}
                 runs.append(run)
                 if on_run:
                     on_run(run)
-    return spark.createDataFrame(runs, "strategy string, split_seed int, train_seed int, test_accuracy double, train_windows long, test_windows long")
+    schema = "strategy string, split_seed int, train_seed int, test_accuracy double, train_windows long, test_windows long"
+    return spark.createDataFrame([tuple(r.values()) for r in runs], schema)

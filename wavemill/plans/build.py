@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
@@ -44,10 +45,14 @@ class Plan:
     warnings: list[str]
 
 
+def some_recordings(recordings: DataFrame, root: str) -> DataFrame:
+    if recordings.isEmpty():
+        raise BuildError(f"no recordings below {root}")
+    return recordings
+
+
 def group_units(spark: SparkSession, recordings: DataFrame, spec: str) -> DataFrame:
     """``recordings`` with ``unit`` by ``path:<pattern>``, ``csv:<file>`` or ``collection``."""
-    import re
-
     kind, _, rest = spec.partition(":")
     if kind == "path" and rest:
         return recordings.withColumn("unit", columns.group_by_pattern("record_id", rest, re.compile(rest).groups))
@@ -86,7 +91,7 @@ def plan(spark: SparkSession, recordings: DataFrame, c: BuildConfig) -> Plan:
         declared = labels.lookup(recordings, tables.read_label_csv(spark, c.label_csv), "filename", "label")
         if lost := [r.label for r in labels.lost_labels(declared, dominant, c.exclude).orderBy("label").limit(4).collect()]:
             raise BuildError(f"labels of the table that no recording got: {', '.join(lost)}")
-    warnings: list[str] = []
+    warnings = metadata_warnings(recordings, c)
     records = group_units(spark, records, c.group_by) if c.group_by else records.withColumn("unit", F.col("record_id"))
     first = labels.labelling_annotation("annotations", "label", c.exclude)
     records = records.withColumn("_a", first)
@@ -99,12 +104,7 @@ def plan(spark: SparkSession, recordings: DataFrame, c: BuildConfig) -> Plan:
     else:
         records = records.withColumn("balance_group", F.lit(None).cast("string"))
     records = records.select("record_id", "label", "windows", "unit", "balance_group", "carrier_offset_hz")
-    if c.balance_by:
-        units = split.unit_labels(records).join(split.unit_balance_values(records, "unit", "balance_group"), "unit")
-        dealt = split.balanced_split(units, c.ratios, c.seed, "balance_group").select("unit", "split")
-        records = records.join(dealt, "unit")
-    else:
-        records = split.grouped_split(records, c.ratios, c.seed)
+    records = split.assign_splits(records, c.ratios, c.seed, balanced=bool(c.balance_by))
     if c.group_by and (w := split.grouping_warnings(records).first().warning):
         warnings.append(w)
     if c.balance_by:
@@ -116,6 +116,19 @@ def plan(spark: SparkSession, recordings: DataFrame, c: BuildConfig) -> Plan:
     return Plan(recordings, labeled, records, warnings)
 
 
+def metadata_warnings(recordings: DataFrame, c: BuildConfig) -> list[str]:
+    """Annotations behind the end of their recording, and a directory level whose names only count where a higher one tells more."""
+    out = []
+    late = labels.beyond_end(sigmf.annotations_of(recordings), recordings).agg(F.count(F.lit(1)).alias("n"), F.min("record_id").alias("first")).first()
+    if late.n:
+        out.append(f"{late.n} annotations end behind the last sample, {late.first} first")
+    if c.label_source == "dirname":
+        levels = labels.enumeration_levels(labels.directory_levels(recordings))
+        if advice := labels.dirname_level_advice(levels, c.dirname_level).first():
+            out.append(f"directories {advice.chosen} above the recordings are only numbered; level {advice.better} may be the class")
+    return out
+
+
 def window_table(p: Plan, c: BuildConfig) -> DataFrame:
     """Labelled windows with their samples: the split joins metadata rows, then only these windows are read."""
     wanted = p.labeled.where("label is not null").join(p.records.select("record_id", "split"), "record_id")
@@ -127,7 +140,7 @@ def window_table(p: Plan, c: BuildConfig) -> DataFrame:
 
 def build(spark: SparkSession, root: str, out: str, c: BuildConfig) -> dict:
     """Scan ``root``, write the dataset to ``out``, return its manifest."""
-    recordings = sigmf.scan(spark, root)
+    recordings = some_recordings(sigmf.scan(spark, root), root)
     p = plan(spark, recordings, c)
     kept = [r.asDict() for r in p.records.orderBy("record_id").collect()]  # a row for each recording: the manifest lists them
     if not kept:
@@ -164,5 +177,28 @@ def manifest_records(spark: SparkSession, manifest: dict) -> DataFrame:
     return spark.createDataFrame(rows, "record_id string, split string, label string, windows long, carrier_offset_hz double, balance_group string, unit string")
 
 
+def locate_sources(spark: SparkSession, ids: DataFrame, roots: Sequence[str]) -> DataFrame:
+    """Readable recordings below ``roots`` by the ``record_id`` that ``ids`` has for them, wherever the folder was moved.
+
+    A recording answers to each end of its path that begins behind a slash, so ids meet paths by equal keys. The first
+    root that has an id wins; an id that fits several recordings of one root is left out, as is one that fits none.
+    """
+    found = None
+    for rank, root in enumerate(dict.fromkeys(r.rstrip("/") for r in roots)):
+        if not tables.exists(spark, root):
+            continue
+        rows = sigmf.scan(spark, root, strict=False).where("error is null").withColumn("rank", F.lit(rank))
+        found = rows if found is None else found.unionByName(rows)
+    if found is None:
+        raise BuildError(f"none of these folders exists: {', '.join(roots)}")
+    parts = F.split(F.regexp_replace("path", re.escape(sigmf.META) + "$", ""), "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
+    spread = found.withColumnRenamed("record_id", "_own").withColumn("record_id", F.explode(ends)).join(ids.select("record_id").distinct(), "record_id")
+    best = spread.groupBy("record_id").agg(F.min("rank").alias("rank"))
+    spread = spread.join(best, ["record_id", "rank"])
+    sure = spread.groupBy("record_id").agg(F.countDistinct("path").alias("n")).where("n = 1").select("record_id")
+    return spread.join(sure, "record_id").drop("rank", "_own")
+
+
 def exclude_list(given: Sequence[str] | None) -> tuple[str, ...]:
     return labels.excluded_labels(given)

@@ -6,8 +6,11 @@ import json
 import textwrap
 from datetime import datetime, timezone
 
+import numpy as np
 from pyspark.sql import DataFrame
 
+from wavemill import __version__
+
 WIDTH = 78
 CAVEATS = (
     "A pass says what was examined, not that the data are clean.",
@@ -36,15 +39,28 @@ def findings_text(findings: DataFrame, title: str = "leakage audit", verdict: st
     return "\n".join(out + [""] + list(CAVEATS)) + "\n"
 
 
-def findings_json(findings: DataFrame, mode: str, source: str, verdict: dict | None = None) -> str:
+def next_step(statuses: list[str]) -> str:
+    """What to do about findings: the gravest kind decides."""
+    if "LEAK" in statuses:
+        return "don't train: group what leaks, build again, audit again"
+    if "RISK" in statuses:
+        return "look at each risk; balance or group by it, or measure what it costs with measure-leakage"
+    return "supply what the unchecked items need" if "NOT CHECKED" in statuses else "nothing found that keeps from training"
+
+
+def findings_json(findings: DataFrame, mode: str, source: str, verdict: dict | None = None, detail: str | None = None, fingerprint: str | None = None) -> str:
+    """``detail`` and ``fingerprint``: of the input, null where the caller doesn't know them."""
     rows = _rows(findings)
     count = lambda f: sum(f(r.status) for r in rows)
     return json.dumps(
         {
             "tool": "wavemill",
+            "tool_version": __version__,
             "generated": datetime.now(timezone.utc).isoformat(),
             "mode": mode,
             "input": source,
+            "input_detail": detail,
+            "fingerprint": fingerprint,
             "checks": [{"status": r.status, "check": r.check, "detail": r.detail} for r in rows],
             "summary": {
                 "leak": count(lambda s: s == "LEAK"),
@@ -54,6 +70,7 @@ def findings_json(findings: DataFrame, mode: str, source: str, verdict: dict | N
             },
             "did_not_check": [r.check for r in rows if r.status == "NOT CHECKED"],
             "verdict": verdict,
+            "next": next_step([r.status for r in rows]),
             "caveats": list(CAVEATS),
         },
         ensure_ascii=False,
@@ -67,6 +84,12 @@ def decision_text(decision: DataFrame, forced: bool = False) -> str:
     return "\n".join(head + [f"{r.status}" + (f" (category {r.category}: {r.reason})" if r.category else "")]) + "\n"
 
 
+def decision_json(decision: DataFrame, forced: bool = False, estimate_s: float | None = None) -> str:
+    r = decision.first()
+    body = {"tool": "wavemill", "tool_version": __version__, "status": r.status, "category": r.category, "reason": r.reason}
+    return json.dumps(body | {"forced": bool(forced and r.category), "estimated_seconds": estimate_s}, indent=1)
+
+
 def _pp(x: float | None) -> str:
     return "(not estimated)" if x is None else f"{100 * x:.1f}"
 
@@ -116,3 +139,26 @@ def half_blocks(rows: list[list[tuple[int, int, int]]]) -> str:
         cells = ("\x1b[38;2;%d;%d;%dm\x1b[48;2;%d;%d;%dm▀" % (*a, *b) for a, b in zip(rows[y], rows[y + 1]))
         lines.append("".join(cells) + "\x1b[0m")
     return "\n".join(lines)
+
+
+#: Colours from weak to strong.
+ANCHORS = [(20, 10, 60), (40, 70, 140), (30, 140, 130), (120, 190, 80), (250, 230, 60)]
+
+
+def _pooled(x: np.ndarray, rows: int, cols: int) -> np.ndarray:
+    """The largest value of each cell of a grid at most ``rows`` by ``cols``."""
+    for axis, n in ((0, rows), (1, cols)):
+        n = min(n, x.shape[axis])
+        x = np.maximum.reduceat(x, np.arange(n) * x.shape[axis] // n, axis=axis)
+    return x
+
+
+def heatmap(freq: np.ndarray, times: np.ndarray, db: np.ndarray, rows: int = 32, cols: int = 72) -> str:
+    """A spectrogram as terminal text, highest frequency on top, with the ends of both axes. Strong is the 99.5th percentile, weak the 5th."""
+    low, high = np.percentile(db, (5, 99.5))
+    x = _pooled(db[::-1], rows - rows % 2, cols)
+    x = x[: len(x) - len(x) % 2]
+    share = (x - low) / (high - low) if high > low else np.zeros_like(x)
+    body = half_blocks([colormap([float(v) for v in line], ANCHORS) for line in share])
+    bottom = f"{times[0] * 1e3:.2f} ms"
+    return f"{hertz(float(freq[-1]))}\n{body}\n{hertz(float(freq[0]))}\n{bottom}{f'{times[-1] * 1e3:.2f} ms':>{max(1, x.shape[1] - len(bottom))}}"
