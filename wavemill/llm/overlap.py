@@ -6,10 +6,12 @@ met hash buckets first. Of two sets with a share s, the first n - ceil(s n) + 1
 prefixes only those shingles are kept that two sets have, and only sets that keep as many as any partner
 demands: sets that merely share a passage leave here, before anything but hashes has moved.
 
-What is left is verified in turns. Each set first meets the best known set among its shingles (the one
-whose shingles most sets have, as the least changed copy does), then the best of those that are not linked to it yet, and at
-last only pairs without a link through others are met, less those whose sizes or places in the order rule
-a link out. Shingles that many sets have are cut into blocks, and each pair of blocks is met in a task of its own.
+What is left is verified in turns. Each set first meets the best known set among its
+shingles (the one whose shingles most sets have, as the least changed copy does), then the best of those that are not linked to
+it yet. At last, all sets of different classes that share a shingle meet: each has a home, of its open shingles the one that most
+sets have, and each pair of homes that meet in a shingle is one tile, so a pair of sets meets once and not in each shingle it
+shares. Large tiles are cut into blocks, and each pair of blocks is met in a task of its own. It has the sets themselves and
+returns a spanning forest of verified links, never all pairs.
 
 Only distinct sets are keyed, so equal ones cost one row; shingles are told apart by 64-bit hashes. Defined
 results: a text without words has one shingle of its own kind, so all such texts are linked; a text of fewer
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.llm.shared import bounded_batches, broadcast_if_small, components, fresh_worker, require_columns, settle, task_slots
+from wavemill.llm.shared import bounded_batches, broadcast_if_small, components, fresh_worker, require_columns, settle, settle_narrow, task_slots
 from wavemill.llm.simhash import BLOCK, LOWER, SEED, decide
 
 WORDS, LEAST = 5, 0.8
@@ -35,6 +37,8 @@ LONGER = 0.1
 BUCKETS = 1 << 16
 #: Cells of a set's histogram: the sum of the lesser counts of two sets is at least what they share.
 CELLS = 128
+#: Shingles of a block of sets, at most, but for a set that has more (8 MB).
+BLOCK_SHINGLES = 1 << 20
 #: Pairs of one text that are verified in one task.
 PAIRS_A_TASK = 1024
 #: Bits of the sieve of common shingles, at most (16 MB).
@@ -103,17 +107,18 @@ def may_be_similar(n: np.ndarray, m: np.ndarray, most: np.ndarray, least: float)
 
 
 def _sets(docs: DataFrame, text_col: str, words: int) -> DataFrame:
-    """fp, set and cells (its histogram), a row for each row of ``docs``."""
+    """fp and set, a row for each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             found = [shingle_set(t.as_py(), words) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([_name(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())), pa.array([histogram(s) for s in found], pa.binary())],
-                names=["fp", "set", "cells"],
+                [pa.array([_name(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))],
+                names=["fp", "set"],
             )
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "fp long, set array<long>, cells binary")
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "fp long, set array<long>")
 
 
 def _with_both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -129,6 +134,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """(u, v): the pairs (a, b) of ``pairs`` that are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             x, y = batch.column(2), batch.column(3)
             keep = [_similar(x[i].values.to_numpy(), y[i].values.to_numpy(), least) for i in range(batch.num_rows)]
@@ -164,7 +170,7 @@ def _star_pairs(met: DataFrame, least: float, turn: int) -> DataFrame:
     order = F.xxhash64(F.lit(turn), "root").cast("double") if turn else -F.col("known")
     best = F.min(F.struct(order.alias("k"), F.col("fp").alias("a"), F.col("root").alias("r"), F.col("n").alias("m"), F.col("pos").alias("p")))
     lead = met.groupBy("key").agg(best.alias("lead"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key", "lead")
-    most = F.least(F.col("n") - F.col("pos"), F.col("lead.m") - F.col("lead.p"), "n", "lead.m")  # as in _open_pairs
+    most = F.least(F.col("n") - F.col("pos"), F.col("lead.m") - F.col("lead.p"), "n", "lead.m")  # in the first shared shingle no more than what follows can be shared
     possible = (F.col("root") != F.col("lead.r")) & (most >= F.lit(least / (1 + least)) * (F.col("n") + F.col("lead.m")) - _EPS)
     pairs = met.join(lead, "key").where(possible).groupBy(F.col("fp").alias("b")).agg(F.min(F.struct("lead.k", "lead.a")).alias("to"))
     return settle(pairs.select(F.col("to.a").alias("a"), "b"))
@@ -174,45 +180,80 @@ def _rooted(met: DataFrame, roots: DataFrame) -> DataFrame:
     return met.drop("root").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
-def _open_pairs(met: DataFrame, sets: DataFrame, least: float, block: int) -> DataFrame:
-    """(a, b) of ``met`` (key, fp, n, pos, root) that share a key, have different roots, and may be similar.
+def _tiles(met: DataFrame, block: int) -> DataFrame:
+    """a, b, p, q (a tile: two homes, two blocks of it), fp, root, home and mine (its home and block), for :func:`_tile_links`.
 
-    Histograms come along, so what sizes, places or histograms rule out never leaves the task that meets it.
+    Of ``met`` (key, fp, n, root): any two sets that share a key and have different roots have a tile in common.
     """
     sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
-    tiles = met.join(sizes.select("key", F.ceil(F.col("rows") / block).cast("int").alias("blocks")), "key").join(sets.select("fp", "cells"), "fp")
-    mine = F.pmod(F.xxhash64("fp", "key"), F.col("blocks")).cast("int")
-    tiles = tiles.withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    tile = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile")
-    tiles = tiles.select(tile, "key", "fp", F.col("n").cast("long"), F.col("pos").cast("long"), "root", "cells")
-    dealt = tiles.repartition(task_slots(met.sparkSession), "tile").sortWithinPartitions("tile", "key")
-
-    def pairs_of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        *numbers, cells = zip(*rows)
-        fp, n, pos, root = (np.array(c, np.int64) for c in numbers)
-        cells = np.frombuffer(b"".join(cells), np.uint16).reshape(-1, CELLS)
-        full = cells[:, 0] == 65535
-        for i in range(len(fp) - 1):
-            # A pair is met in its first shared shingle too, where no more than what follows can be shared.
-            most = np.minimum(n[i + 1 :] - pos[i + 1 :], n[i] - pos[i])
-            at = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & may_be_similar(n[i], n[i + 1 :], most, least))
-            if len(at):
-                most = np.where(full[at] | full[i], n[at], np.minimum(cells[at], cells[i]).sum(1, dtype=np.int64))
-                at = at[may_be_similar(n[i], n[at], most, least)]
-                u, v = np.minimum(fp[at], fp[i]), np.maximum(fp[at], fp[i])
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["a", "b"])
+    opened = settle(met.join(sizes.select("key", "rows"), "key").select("key", "fp", "n", "root", "rows"))
+    homes = opened.groupBy("fp").agg(F.max(F.struct("rows", "key"))["key"].alias("home"), F.first("n").alias("n"), F.first("root").alias("root"))
+    homes = settle_narrow(homes)
+    placed = opened.select("key", "fp").join(homes.select("fp", "home"), "fp")
+    others = placed.select("key", F.col("home").alias("other")).distinct()
+    tiles = placed.join(others, "key").select(F.least("home", "other").alias("a"), F.greatest("home", "other").alias("b"), "fp").distinct()
+    tiles = settle_narrow(tiles.join(homes, "fp"))
+    counted = tiles.groupBy("a", "b").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    blocks = F.greatest(F.ceil(F.col("rows") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    tiles = tiles.join(counted.where("r0 < r1").select("a", "b", blocks.alias("blocks")), ["a", "b"])
+    tiles = tiles.withColumn("mine", F.pmod(F.xxhash64("fp", "a", "b"), F.col("blocks")).cast("int"))
+    tiles = tiles.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return tiles.select("a", "b", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "fp", "root", "home", "mine")
+
+
+def _tile_links(fp: np.ndarray, root: np.ndarray, home: np.ndarray, mine: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links that connect what is similar in a tile: sets of different homes if it has two, and of different blocks if it has two."""
+    n = np.array([len(s) for s in sets], np.int64)
+    cells = np.frombuffer(b"".join(map(histogram, sets)), np.uint16).reshape(-1, CELLS)
+    full = cells[:, 0] == 65535
+    ids = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32), np.cumsum(n)[:-1])
+    marked = np.zeros(int(n.sum()), bool)
+    label = np.unique(root, return_inverse=True)[1]
+    homes, blocks = home.min() != home.max(), mine.min() != mine.max()
+    out = []
+    for i in range(len(fp) - 1):
+        meets = (label[i + 1 :] != label[i]) & may_be_similar(n[i], n[i + 1 :], n[i + 1 :], least)
+        if homes:
+            meets &= home[i + 1 :] != home[i]
+        if blocks:
+            meets &= mine[i + 1 :] != mine[i]
+        at = i + 1 + np.flatnonzero(meets)
+        if len(at):
+            most = np.where(full[at] | full[i], n[at], np.minimum(cells[at], cells[i]).sum(1, dtype=np.int64))
+            marked[ids[i]] = True
+            for j in at[may_be_similar(n[i], n[at], most, least)].tolist():
+                if label[j] != label[i]:
+                    both = np.count_nonzero(marked[ids[j]])
+                    if both >= least * (n[i] + n[j] - both) - _EPS:
+                        out.append((int(fp[i]), int(fp[j])))
+                        label[label == label[j]] = label[i]
+            marked[ids[i]] = False
+    return out
+
+
+def _open_links(met: DataFrame, sets: DataFrame, least: float, block: int) -> DataFrame:
+    """(u, v): verified links between sets of ``met`` (key, fp, n, root), enough to connect all that share a key and are similar."""
+    tiles = _tiles(met, block).join(sets.select("fp", "set"), "fp").select("a", "b", "p", "q", "fp", "root", "home", "mine", "set")
+    dealt = tiles.repartition(task_slots(met.sparkSession), "a", "b", "p", "q").sortWithinPartitions("a", "b", "p", "q")
+
+    def links_of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        *numbers, sets = zip(*rows)
+        found = _tile_links(*(np.array(c, np.int64) for c in numbers), sets, least) if len(rows) > 1 else []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["u", "v"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         at, held = None, []
         for batch in batches:
-            for tile, key, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if (tile, key) != at:
-                    yield from pairs_of(held) if len(held) > 1 else ()
-                    at, held = (tile, key), []
-                held.append(row)
-        yield from pairs_of(held) if len(held) > 1 else ()
+            for i, (a, b, p, q, *row) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:8]))):
+                if (a, b, p, q) != at:
+                    yield from links_of(held) if held else ()
+                    at, held = (a, b, p, q), []
+                held.append((*row, batch.column(8)[i].values.to_numpy().view(np.uint64)))
+        yield from links_of(held) if held else ()
 
-    return settle(dealt.mapInArrow(compare, "a long, b long").distinct())
+    return settle_narrow(dealt.mapInArrow(compare, "u long, v long").distinct())
 
 
 def similar_components(
@@ -255,6 +296,7 @@ def similar_components(
         """(key, fp) of all prefixes; with a ``sieve`` (key, fp, n, pos) of what it lets through."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fresh_worker()
             for batch in batches:
                 keys, fps, sizes, places = [], [], [], []
                 for t in batch.column(0):
@@ -284,16 +326,13 @@ def similar_components(
     needed = settle(met.select("fp").distinct())
     small = broadcast_if_small(needed)
     sets = _sets(docs, text_col, words).join(needed if small is None else small, "fp", "left_semi")
-    sets = settle(sets.groupBy("fp").agg(F.first("set").alias("set"), F.first("cells").alias("cells")))
-    links, rooted = None, met.withColumn("root", F.col("fp"))
+    sets = settle(sets.groupBy("fp").agg(F.first("set").alias("set")))
+    linked, rooted = None, met.withColumn("root", F.col("fp"))
     for turn in range(TURNS):
         pairs = _star_pairs(rooted, least, turn)
         found = _verified(pairs, sets, least)
+        linked = found if linked is None else linked.union(found)
+        rooted = settle(_rooted(met, components(linked)))
         if turn and found.count() * 10 < pairs.count():
-            links = links.union(found)  # few are left to link: now pair by pair
-            break
-        links = found if links is None else links.union(found)
-        roots = components(links)
-        rooted = settle(_rooted(met, roots))
-    more = _verified(_open_pairs(rooted, sets, least, block), sets, least)
-    return decide(rows, components(links.union(more)), id_col)
+            break  # few are left to link
+    return decide(rows, components(linked.union(_open_links(rooted, sets, least, block))), id_col)
