@@ -6,7 +6,9 @@ met hash buckets first. Of two sets with a share s, the first n - ceil(s n) + 1
 prefixes only those shingles are kept that two sets have, and only sets that keep as many as any partner
 demands: sets that merely share a passage leave here, before anything but hashes has moved.
 
-What is left is verified in turns. Each set first meets the best known set among its
+What is left gets SimHash fingerprints of its shingles. Those within 11 bits are found by Golay-code keys
+(:func:`wavemill.llm.simhash.links`), and each pair found is verified. Fingerprints lose a part of the similar pairs, whatever
+the bits, so an exact check follows between the classes that they leave. Each set first meets the best known set among its
 shingles (the one whose shingles most sets have, as the least changed copy does), then the best of those that are not linked to
 it yet. At last, all sets of different classes that share a shingle meet: each has a home, of its open shingles the one that most
 sets have, and each pair of homes that meet in a shingle is one tile, so a pair of sets meets once and not in each shingle it
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.llm.shared import bounded_batches, broadcast_if_small, components, fresh_worker, require_columns, settle, settle_narrow, task_slots
-from wavemill.llm.simhash import BLOCK, LOWER, SEED, decide
+from wavemill.llm.simhash import BLOCK, LOWER, SEED, WIDE, decide, links, majority
 
 WORDS, LEAST = 5, 0.8
 #: How many shingles, as a share of all, prefixes are longer than one common shingle needs.
@@ -107,18 +109,28 @@ def may_be_similar(n: np.ndarray, m: np.ndarray, most: np.ndarray, least: float)
 
 
 def _sets(docs: DataFrame, text_col: str, words: int) -> DataFrame:
-    """fp and set, a row for each row of ``docs``."""
+    """fp, set and sim (its fingerprint), a row for each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh_worker()
         for batch in batches:
             found = [shingle_set(t.as_py(), words) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([_name(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))],
-                names=["fp", "set"],
+                [pa.array([_name(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())), pa.array([majority(s) for s in found], pa.int64())],
+                names=["fp", "set", "sim"],
             )
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "fp long, set array<long>")
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "fp long, set array<long>, sim long")
+
+
+def fingerprint_pairs(sets: DataFrame, distance: int = WIDE, block: int = BLOCK) -> DataFrame:
+    """(a, b): pairs of ``sets`` (fp, sim; settled) whose fingerprints are equal or linked within ``distance``."""
+    named = sets.select("sim", "fp")
+    lead = settle_narrow(named.groupBy("sim").agg(F.min("fp").alias("a")))
+    equal = named.join(lead, "sim").where("fp != a").select("a", F.col("fp").alias("b"))
+    near = settle_narrow(links(lead.select(F.col("sim").alias("fp")), distance, block))
+    first, second = lead.withColumnRenamed("sim", "u"), lead.select(F.col("sim").alias("v"), F.col("a").alias("b"))
+    return settle_narrow(equal.union(near.join(first, "u").join(second, "v").select("a", "b")))
 
 
 def _with_both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -257,7 +269,7 @@ def _open_links(met: DataFrame, sets: DataFrame, least: float, block: int) -> Da
 
 
 def similar_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST, block: int = BLOCK
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST, block: int = BLOCK, distance: int = WIDE
 ) -> DataFrame:
     """id, fp (of the shingle set), component_id (smallest id that links reach), kept (one row of each component), _text_key."""
     require_columns(docs, [id_col, text_col])
@@ -326,13 +338,14 @@ def similar_components(
     needed = settle(met.select("fp").distinct())
     small = broadcast_if_small(needed)
     sets = _sets(docs, text_col, words).join(needed if small is None else small, "fp", "left_semi")
-    sets = settle(sets.groupBy("fp").agg(F.first("set").alias("set")))
-    linked, rooted = None, met.withColumn("root", F.col("fp"))
+    sets = settle(sets.groupBy("fp").agg(F.first("set").alias("set"), F.first("sim").alias("sim")))
+    linked = _verified(fingerprint_pairs(sets, distance, block), sets, least)
+    rooted = settle(_rooted(met.withColumn("root", F.col("fp")), components(linked)))
     for turn in range(TURNS):
         pairs = _star_pairs(rooted, least, turn)
         found = _verified(pairs, sets, least)
-        linked = found if linked is None else linked.union(found)
+        linked = linked.union(found)
         rooted = settle(_rooted(met, components(linked)))
-        if turn and found.count() * 10 < pairs.count():
+        if found.count() * 10 < pairs.count():
             break  # few are left to link
     return decide(rows, components(linked.union(_open_links(rooted, sets, least, block))), id_col)

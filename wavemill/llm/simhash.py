@@ -6,6 +6,10 @@ some segment is equal in both, and the next one (in a ring) differs in at most 2
 segment, the keys (segment itself, codeword near the next segment), at most 24 in all; fingerprints that
 share a key are compared bit by bit, which makes the links exact.
 
+Wider distances, up to 11, have five segments of 13 bits (the last of 12): four of them can't all differ in 3 or more, so two
+differ in at most 2 each, and the keys are the pairs of codewords of two segments, some 280 in all. Of these links a task
+returns the nearest first, for a check that follows.
+
 Only distinct fingerprints are keyed, so exact copies cost one row. Keys that many fingerprints share
 are cut into blocks, and each pair of blocks is compared in a task of its own; a task returns a spanning
 forest of its links, never all pairs. Components come from randomised contraction.
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import string
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +36,11 @@ from wavemill.llm.shared import bounded_batches, components, fresh_worker, requi
 WORDS, DISTANCE, SEED = 3, 3, 42
 #: Fingerprints of one key that are compared in one task; larger keys are cut into blocks of this size.
 BLOCK = 2048
+#: The widest distance for which keys of two segments are complete, and the bits of the segments.
+WIDE, WIDE_BITS = 11, (13, 13, 13, 13, 12)
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 _CHUNK = 1 << 16
+_TIES = 0x9E3779B97F4A7C15
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -59,6 +67,15 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(ends)).tobytes(), "big")
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Fingerprint (as a signed long) of hashes (uint64) that are at hand."""
+    ones = np.zeros(64, np.int64)
+    for a in range(0, len(hashes), _CHUNK):
+        part = np.ascontiguousarray(hashes[a : a + _CHUNK]).view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big", signed=True)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """id, fp (the fingerprint as a signed long) and _text_key, without a shuffle."""
     require_columns(docs, [id_col, text_col])
@@ -89,6 +106,20 @@ def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(keys)
 
 
+def wide_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the fingerprint, key) pairs of ``fps`` (uint64) for distances up to WIDE."""
+    found, low = [], 0
+    for bits in WIDE_BITS:
+        found.append(codewords((fps >> np.uint64(low) & np.uint64((1 << bits) - 1)).astype(np.int64)))
+        low += bits
+    places, keys = [], []
+    for k, ((x, x_real), (y, y_real)) in enumerate(combinations(found, 2)):
+        at, i, j = np.nonzero(x_real[:, :, None] & y_real[:, None, :])
+        places.append(at)
+        keys.append((np.int64(k) << 24) | (x[at, i].astype(np.int64) << 12) | y[at, j].astype(np.int64))
+    return np.concatenate(places), np.concatenate(keys)
+
+
 def _forest(fps: list[int], distance: int) -> list[tuple[int, int]]:
     """Links of a spanning forest of ``fps`` (distinct, signed) by Hamming distance."""
     n, out = len(fps), []
@@ -113,16 +144,51 @@ def _forest(fps: list[int], distance: int) -> list[tuple[int, int]]:
     return out
 
 
+def _nearest_forest(fps: list[int], distance: int) -> list[tuple[int, int]]:
+    """Links of a spanning forest as of :func:`_forest`, with the least sum of distances.
+
+    Ties are broken by a hash of the differing bits, so keys that hold the same fingerprints mostly give the same links.
+    """
+    n, out = len(fps), []
+    if n <= 16:
+        near = []
+        for i in range(n):
+            for j in range(i + 1, n):
+                x = (fps[i] ^ fps[j]) & 0xFFFFFFFFFFFFFFFF
+                if (d := x.bit_count()) <= distance:
+                    near.append((d, x * _TIES & 0xFFFFFFFFFFFFFFFF, i, j))
+        up = list(range(n))
+        for _, _, i, j in sorted(near):
+            if up[i] != up[j]:
+                up = [up[i] if r == up[j] else r for r in up]
+                out.append((fps[i], fps[j]))
+        return out
+    a = np.array(fps, np.int64).view(np.uint64)
+    most = np.iinfo(np.uint64).max
+    far, to, left, at = np.full(n, most, np.uint64), np.zeros(n, np.int64), np.ones(n, bool), 0
+    for _ in range(n - 1):
+        left[at], far[at] = False, most
+        x = a ^ a[at]
+        d = np.bitwise_count(x).astype(np.uint64) << np.uint64(56) | x * np.uint64(_TIES) >> np.uint64(8)
+        nearer = left & (d < far)
+        far[nearer], to[nearer] = d[nearer], at
+        at = int(far.argmin())
+        if far[at] >> np.uint64(56) <= distance:
+            out.append((fps[to[at]], fps[at]))
+    return out
+
+
 def links(distinct: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
-    """(u, v) links between the fingerprints of ``distinct`` (fp), enough to connect all within ``distance`` (3 at most)."""
-    if not 0 <= distance <= 3:
-        raise ValueError("the keys hold for distances up to 3")
+    """(u, v) links between the fingerprints of ``distinct`` (fp), enough to connect all within ``distance`` (WIDE at most)."""
+    if not 0 <= distance <= WIDE:
+        raise ValueError(f"the keys hold for distances up to {WIDE}")
+    keys_of, forest, step = (fuzzy_keys, _forest, 20_000) if distance <= 3 else (wide_keys, _nearest_forest, 1_000)
 
     def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 20_000):
-                fps = batch.column(0).slice(a, 20_000).to_numpy(zero_copy_only=False)
-                at, keys = fuzzy_keys(fps.view(np.uint64))
+            for a in range(0, batch.num_rows, step):
+                fps = batch.column(0).slice(a, step).to_numpy(zero_copy_only=False)
+                at, keys = keys_of(fps.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[at])], names=["key", "fp"])
 
     keyed = distinct.select("fp").mapInArrow(key_rows, "key long, fp long")
@@ -143,13 +209,13 @@ def links(distinct: DataFrame, distance: int = DISTANCE, block: int = BLOCK) ->
         for batch in batches:
             for tile, key, fp in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if (tile, key) != at:
-                    out += _forest(held, distance) if len(held) > 1 else []
+                    out += forest(held, distance) if len(held) > 1 else []
                     at, held = (tile, key), []
                     if len(out) > 50_000:
                         yield batch_of(out)
                         out = []
                 held.append(fp)
-        out += _forest(held, distance) if len(held) > 1 else []
+        out += forest(held, distance) if len(held) > 1 else []
         if out:
             yield batch_of(out)
 
