@@ -22,7 +22,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -106,6 +106,7 @@ class PieceCoder:
         self.scores = [sp.get_score(i) for i in range(n)]
         self.back, self.piece_of = self._backward_trie()
         self.fits: dict[int, bool] = {}
+        self.whole: dict[int, bool] = {}
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -135,10 +136,12 @@ class PieceCoder:
             ok = self.fits[key] = self._merge(a + b) == [a, b]
         return ok
 
-    @lru_cache(maxsize=65536)  # noqa: B019 one coder lives in a worker
     def _stands(self, k: int) -> bool:
-        """Whether merging the piece's characters gives the piece."""
-        return self._merge(self.names[k]) == [self.names[k]]
+        """Whether merging the piece's characters gives the piece. The coder remembers it itself: a cache of the class would keep the coder alive."""
+        ok = self.whole.get(k)
+        if ok is None:
+            ok = self.whole[k] = self._merge(self.names[k]) == [self.names[k]]
+        return ok
 
     # -- the forward pass
 
