@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from wavemill.llm.decontam import find_contamination
 from wavemill.llm.exact import exact_dedup
+from wavemill.llm.licenses import names, scan_licenses, scan_sql
+from wavemill.llm.merkle import FIELDS, folded, leaf_digest, merkle_proofs, merkle_sql, proof_text
+from wavemill.llm.negatives import mine_hard_negatives
 from wavemill.llm.pii import KINDS, find_personal_data
 from wavemill.llm.pieces import encode_pieces
 from wavemill.llm.secrets import BASE, scan_secrets, spans_text
 from wavemill.llm.shards import shard_documents
-from wavemill.llm.shared import shared_folder
+from wavemill.llm.shared import ascii_lower, shared_folder
 from wavemill.llm.simhash import near_components
 from wavemill.llm.tokens import new_folder, read_tokens, write_tokens
 from wavemill.llm.toxicity import HELD_OUT, fit, fold, score
@@ -146,3 +149,45 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_decontamination")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@_query("op11_license_scan", scan_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(_documents(spark, sf_dir)).withColumn("_base", F.filter("found", lambda f: f["base"]))
+    starts = F.transform("_base", lambda f: f["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("_base").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        names(F.col("_base")).alias("base_labels"),
+        names(F.col("found")).alias("labels"),
+        F.round(F.coalesce(F.array_max(F.transform("found", lambda f: f["share"])), F.lit(0.0)), 6).alias("score"),
+    )
+
+
+@_query("op12_merkle_manifest", merkle_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = leaf_digest([ascii_lower(F.col(c)) if c == "text" else F.col(c) for c in FIELDS])
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, lowered)
+    rows = merkle_proofs(_documents(spark, sf_dir), carried={"tampered": tampered})
+    rows = rows.withColumn("folded_root", folded(F.coalesce("tampered", "leaf"), F.col("path")))
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(proof_text(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@_query(
+    "op13_hard_negatives",
+    """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end::bigint label, list_transform(embedding, lambda e: floor(256 * e::double)) x
+           from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0),
+s as (select a.vec_id anchor_id, b.vec_id, a.label = b.label same, list_inner_product(a.x, b.x)::bigint score from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, vec_id positive_id, score positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (select p.*, s.vec_id negative_id, s.score negative_score, row_number() over (partition by anchor_id, positive_id order by score desc, s.vec_id) k
+      from p join s using (anchor_id) where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score)
+select anchor_id, positive_id, k::int rank, negative_id, positive_score, negative_score from n where k <= 3""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return mine_hard_negatives(rows, F.col("vec_id") % 50 == 0)

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import TypeVar
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -211,3 +211,24 @@ def require_columns(df: DataFrame, names: Sequence[str]) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
+
+
+def places(df: DataFrame, order: Sequence[str], group: str | None = None) -> DataFrame:
+    """``df`` with ``place``, each row's number from 0 in the order of some columns, and ``n``, how many rows there are; both within ``group``.
+
+    Rows are dealt by ranges of (group, order), so that a group of any size takes as many tasks as its rows need; each range is
+    numbered by itself and shifted by the rows of its group before it. The table of shifts has a row for each group of a
+    range. ``df`` should be cheap to read twice; ``order`` tells rows apart, or rows alike may change places; groups aren't null.
+    """
+    keys = [*([group] if group else []), *order]
+    dealt = df.repartitionByRange(task_slots(df.sparkSession), *keys).sortWithinPartitions(*keys)
+    dealt = settle(dealt.withColumn("_at", F.monotonically_increasing_id()))
+    dealt = dealt.withColumn("_part", F.shiftright("_at", 33)).withColumn("_group", F.col(group) if group else F.lit(0))
+    parts = settle_narrow(dealt.groupBy("_group", "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows")))
+    whole = Window.partitionBy("_group")
+    before = F.sum("_rows").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = parts.select("_group", "_part", F.col("_first"), F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_rows").over(whole).alias("n"))
+    shifts = settle_narrow(shifts)
+    small = broadcast_if_small(shifts)
+    met = dealt.join(shifts if small is None else small, ["_group", "_part"])
+    return met.withColumn("place", F.col("_at") - F.col("_first") + F.col("_before")).select(*df.columns, "place", "n")
