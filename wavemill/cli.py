@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from wavemill import __version__, get_session
-from wavemill.operators import audit, decide, features, labels, measure, split, stats, windows
+from wavemill.operators import audit, convnet, decide, features, labels, measure, split, stats, windows
 from wavemill.plans import build as plans
 from wavemill.plans import measurement, report
 from wavemill.sources import dataset, sigmf, tables
@@ -84,9 +84,16 @@ def _windows(spark, root: str):
 
 
 def train(spark, a) -> int:
-    per = measure.train_and_evaluate(_windows(spark, a.dataset), a.seed)
+    def told(e: convnet.Epoch) -> None:
+        held = "" if e.val_accuracy is None else f", val accuracy {100 * e.val_accuracy:.1f} %"
+        print(f"epoch {e.epoch}: loss {e.train_loss:.4f}, train accuracy {100 * e.train_accuracy:.1f} %{held}")
+
+    rows = _windows(spark, a.dataset)
+    found = convnet.train(rows, a.seed, a.epochs, a.batch_size, rate=a.learning_rate, on_epoch=told)
+    print(f"{found.net.parameters} parameters, classes {', '.join(found.net.classes)}")
+    per = stats.per_class_accuracy(convnet.predict(rows.where(F.col("split") == split.SPLITS[2]), found.net), "label", "prediction")
     for r in per.orderBy("label").collect():
-        print(f"class {r.label:g}: {100 * r.accuracy:.1f} % of {r.n}")
+        print(f"class {r.label}: {100 * r.accuracy:.1f} % of {r.n}")
     print(f"test accuracy {100 * measure.accuracy(per):.2f} %")
     return 0
 
@@ -213,6 +220,9 @@ def parser() -> argparse.ArgumentParser:
     command("stats", show_stats, "dataset")
     c = command("train", train, "dataset")
     c.add_argument("--seed", type=int, default=0)
+    c.add_argument("--epochs", type=int, default=convnet.EPOCHS)
+    c.add_argument("--batch-size", type=int, default=convnet.BATCH)
+    c.add_argument("--learning-rate", type=float, default=convnet.RATE)
     c = command("audit", run_audit, "input")
     building(c)
     c.add_argument("--json", action="store_true")
