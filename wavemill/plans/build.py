@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill.functions import columns
-from wavemill.operators import labels, split, stats, windows
+from wavemill.operators import labels, split, stats, sweep, windows
 from wavemill.sources import dataset, sigmf, tables
 
 
+#: Annotations of a recording that each of its windows is held against; recordings with more are swept.
+FEW_ANNOTATIONS = 64
+
+
 class BuildError(ValueError):
     """A dataset that can't be built as asked."""
 
@@ -65,6 +69,19 @@ def group_units(spark: SparkSession, recordings: DataFrame, spec: str) -> DataFr
     raise BuildError(f"group by path:<pattern>, csv:<file> or collection, not {spec!r}")
 
 
+def label_by_annotations(recordings: DataFrame, window: int, stride: int, exclude: Sequence[str] | None = None, keep_unlabeled: bool = False, few: int = FEW_ANNOTATIONS) -> DataFrame:
+    """Windows labelled by the annotations nested in each recording.
+
+    Up to ``few`` annotations are looked through for each window where the recording is; recordings with more are swept.
+    Both give the same rows.
+    """
+    long = recordings.where(F.size("annotations") > few)
+    if long.isEmpty():
+        return labels.label_windows_nested(recordings, window, stride, exclude, keep_unlabeled)
+    nested = labels.label_windows_nested(recordings.where(F.coalesce(F.size("annotations"), F.lit(0)) <= few), window, stride, exclude, keep_unlabeled)
+    return nested.unionByName(sweep.label_windows_sweep(windows.window_starts(long, window, stride), sigmf.annotations_of(long), exclude, keep_unlabeled))
+
+
 def plan(spark: SparkSession, recordings: DataFrame, c: BuildConfig) -> Plan:
     """Label and split by metadata alone. Refusals raise."""
     windows.check_params(c.window, c.stride)
@@ -72,7 +89,7 @@ def plan(spark: SparkSession, recordings: DataFrame, c: BuildConfig) -> Plan:
     if c.group_by and c.balance_by and c.group_by == c.balance_by:
         raise BuildError(f"{c.group_by!r} can't group and balance at once: a value that stays whole in one split can't be spread over all")
     if c.label_source == "annotations":
-        labeled = labels.label_windows_nested(recordings, c.window, c.stride, c.exclude, c.keep_unlabeled)
+        labeled = label_by_annotations(recordings, c.window, c.stride, c.exclude, c.keep_unlabeled)
     elif c.label_source in ("dirname", "csv"):
         if c.label_source == "dirname":
             named = labels.label_by_dirname(recordings, c.dirname_level)

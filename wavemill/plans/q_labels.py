@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill.functions import columns
-from wavemill.operators import labels, split, windows
+from wavemill.operators import labels, split, sweep, windows
 from wavemill.plans.catalogue import query, table
 from wavemill.plans.standin import EV, STRIDE, WINDOW, annotations, recordings, samples
 
@@ -42,6 +42,11 @@ def label_windows_interval(spark: SparkSession, d: str) -> DataFrame:
     return _labeled(spark, d)
 
 
+@query("label_windows_sweep", f"with {EV} select * from labeled")
+def label_windows_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return sweep.label_windows_sweep(windows.window_starts(recordings(spark, d), WINDOW, STRIDE), annotations(spark, d), ranges=7)
+
+
 @query("label_windows_nested", f"with {EV} select * from labeled")
 def label_windows_nested(spark: SparkSession, d: str) -> DataFrame:
     a = annotations(spark, d).groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("sample_start", "sample_count", "label"))).alias("annotations"))
