@@ -13,14 +13,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from wavemill.operators import order
+
 META, DATA = ".sigmf-meta", ".sigmf-data"
 #: datatype: numpy type of one value, divisor. Fixed values of the format.
 DATATYPES = {"cf32_le": ("<f4", 1.0), "ci16_le": ("<i2", 32768.0), "ci8": ("i1", 128.0)}
+#: Bytes of samples that a task reads, and that are held at once.
+TASK_BYTES, BATCH_BYTES = 128 << 20, 16 << 20
 _TREE = "struct<global:map<string,string>,captures:array<map<string,string>>,annotations:array<map<string,string>>>"
 
 
@@ -154,28 +159,82 @@ def range_digests(files: DataFrame, part: int = 1 << 20) -> DataFrame:
     return files.select("data_path").mapInPandas(run, "data_path string, digest string")
 
 
-def read_windows(windows: DataFrame, window: int) -> DataFrame:
+def planned_by_bytes(rows: DataFrame, size: Column, start: Column, count: Column, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """``rows`` (data_path, ...) dealt to tasks that read about ``task_bytes`` each, sorted by (data_path, ``start``).
+
+    Files are cut into stretches of ``task_bytes``; a row belongs to the stretch in which it starts. A stretch costs what lies between
+    its first and last sample. Stretches in order of file and place are packed into tasks by a running sum of costs, so small files share
+    a task and a large one is read by many. Tasks number what there is to read over ``task_bytes``; adaptive execution doesn't merge
+    them, for it would go by the size of the rows, not of what they stand for.
+    """
+    keyed = rows.withColumns({"_start": start.cast("long"), "_stretch": F.floor(start * size / task_bytes).cast("long")})
+    ends = F.max((start + count) * size) - F.min(start * size)
+    stretches = order.ranges(keyed.groupBy("data_path", "_stretch").agg(F.greatest(ends, F.lit(1)).cast("long").alias("_cost")), ["data_path", "_stretch"])
+    carried = order.before(stretches.groupBy("_part").agg(F.sum("_cost").alias("_before")).withColumn("_all", F.lit(0)), ["_before"], "_all")  # a row for each range
+    within = F.coalesce(F.sum("_cost").over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    task = F.floor((F.col("_before") + F.col("_within")) / task_bytes).cast("int")
+    dealt = stretches.withColumn("_within", within).join(F.broadcast(carried.select("_part", "_before")), "_part").select(F.col("data_path").alias("_p"), F.col("_stretch").alias("_s"), task.alias("_task"))
+    dealt = order.settle(dealt)
+    tasks = (dealt.agg(F.max("_task")).first()[0] or 0) + 1
+    met = keyed.join(dealt, (F.col("data_path") == F.col("_p")) & (F.col("_stretch") == F.col("_s")))
+    met = met.repartitionById(tasks, "_task").sortWithinPartitions("data_path", "_start")
+    return met.select(*rows.columns)
+
+
+class RunReader:
+    """Reads stretches of recordings in order; of what the next one shares with the one before, nothing is read again."""
+
+    def __init__(self) -> None:
+        self.key, self.start, self.i, self.q = None, 0, np.zeros(0, np.float32), np.zeros(0, np.float32)
+        self.bytes = 0
+
+    def read(self, path: str, datatype: str, start: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+        have = self.start + len(self.i) - start if self.key == (path, datatype) and self.start <= start else 0
+        kept = max(0, min(have, count))
+        old = slice(start - self.start, start - self.start + kept)
+        if kept < count:
+            i, q = read_range(path, datatype, start + kept, count - kept)
+            self.bytes += len(i) * 2 * np.dtype(DATATYPES[datatype][0]).itemsize
+            if kept:
+                i, q = np.concatenate((self.i[old], i)), np.concatenate((self.q[old], q))
+            self.key, self.start, self.i, self.q = (path, datatype), start, i, q
+            return i, q
+        return self.i[old], self.q[old]
+
+
+def read_windows(windows: DataFrame, window: int, task_bytes: int = TASK_BYTES) -> DataFrame:
     """``windows`` (record_id, data_path, datatype, start, ...) with i and q of ``window`` samples from start.
 
-    Rows are sorted by file and start within a partition; neighbouring windows are read in one go.
+    Tasks follow the bytes to read (:func:`planned_by_bytes`). Within a task neighbouring windows are read in one go, BATCH_BYTES
+    of samples at most, and no sample is read twice, however much windows overlap. A window behind the end of its recording raises.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in windows.schema) + ", i array<float>, q array<float>"
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            out_i: list = [None] * len(pdf)
-            out_q: list = [None] * len(pdf)
-            for (path, kind), rows in pdf.reset_index(drop=True).groupby(["data_path", "datatype"], sort=False):
-                order = rows.sort_values("start")
-                starts, at = order["start"].to_numpy(), order.index.to_numpy()
-                cut = np.flatnonzero(np.diff(starts) > 4 * window) + 1
-                for group, places in zip(np.split(starts, cut), np.split(at, cut)):
-                    i, q = read_range(path, kind, int(group[0]), int(group[-1] - group[0]) + window)
-                    for s, p in zip(group - group[0], places):
-                        out_i[p], out_q[p] = i[s : s + window], q[s : s + window]
-            yield pdf.assign(i=out_i, q=out_q)
-
-    return windows.sortWithinPartitions("data_path", "start").mapInPandas(run, schema)
+    rows = max(1, BATCH_BYTES // (8 * window))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = RunReader()
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                paths, kinds, starts = (batch.column(c).to_pylist() for c in ("data_path", "datatype", "start"))
+                i, q = np.empty((2, len(starts), window), np.float32)
+                first = 0
+                for k in range(1, len(starts) + 1):
+                    if k < len(starts) and paths[k] == paths[first] and kinds[k] == kinds[first] and starts[k - 1] <= starts[k] <= starts[k - 1] + window and (starts[k] - starts[first] + window) * 8 <= BATCH_BYTES:
+                        continue
+                    x, y = reader.read(paths[first], kinds[first], starts[first], starts[k - 1] - starts[first] + window)
+                    if len(x) < starts[k - 1] - starts[first] + window:
+                        raise RecordingError(f"{paths[first]}: a window from {starts[k - 1]} is behind its end")
+                    for j in range(first, k):
+                        s = starts[j] - starts[first]
+                        i[j], q[j] = x[s : s + window], y[s : s + window]
+                    first = k
+                offsets = pa.array(np.arange(len(starts) + 1) * window, pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(v.reshape(-1))) for v in (i, q)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=[*batch.schema.names, "i", "q"])
+
+    dealt = planned_by_bytes(windows, _bytes_per_sample(F.col("datatype")), F.col("start"), F.lit(window), task_bytes)
+    return dealt.mapInArrow(run, schema)
 
 
 class SampleSource(DataSource):
