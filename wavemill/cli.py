@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from wavemill import __version__, get_session
-from wavemill.operators import audit, convnet, decide, features, labels, measure, split, stats, windows
+from wavemill.operators import audit, convnet, decide, features, labels, measure, spectrum, split, stats, windows
 from wavemill.plans import build as plans
 from wavemill.plans import measurement, report
 from wavemill.sources import dataset, sigmf, tables
@@ -44,12 +44,23 @@ def info(spark, a) -> int:
 
 
 def inspect(spark, a) -> int:
-    r = plans.some_recordings(sigmf.scan(spark, a.input), a.input).first()
-    i, q = sigmf.read_range(r.data_path, r.datatype, a.start, a.count)
-    freq, times, db = features.spectrogram(i, q, a.nfft, r.sample_rate)
-    print(f"{r.record_id}: {len(times)} frames of {a.nfft}, peak at {report.hertz(float(freq[int(db.mean(axis=1).argmax())]))} from the centre")
-    print(report.heatmap(freq, times, db))
-    print(report.sparkline([float(x) for x in (10 ** (db / 10)).mean(axis=0)[:: max(1, len(times) // 60)]]))
+    one = plans.some_recordings(sigmf.scan(spark, a.input), a.input).limit(1)
+    r = one.first()
+    count = r.num_samples - a.start if a.count is None else min(a.count, r.num_samples - a.start)
+    if a.start < 0 or a.nfft < 2 or count < a.nfft:
+        raise ValueError(f"{max(count, 0)} samples from {a.start} are fewer than nfft {a.nfft}")
+    seen = spark.createDataFrame([(r.record_id, r.data_path, r.datatype, count)], "record_id string, data_path string, datatype string, num_samples long")
+    runs = spectrum.frame_runs(seen, a.nfft).withColumn("start", F.col("start") + a.start)
+    cells = spectrum.spectrogram(sigmf.planned_by_bytes(runs, sigmf.bytes_per_sample(F.col("datatype")), F.col("start"), F.col("count")), sigmf.read_range, a.nfft, 32).collect()
+    pixels = [[-240.0] * (max(c.col for c in cells) + 1) for _ in range(max(c.row for c in cells) + 1)]
+    for c in cells:
+        pixels[c.row][c.col] = c.db
+    half, means = r.sample_rate / 2, [sum(line) / len(line) for line in pixels]
+    best = half - (means.index(max(means)) + 0.5) * r.sample_rate / len(pixels)
+    print(f"{r.record_id}: {count} samples, frames of {a.nfft}, strongest around {report.hertz(best)} from the centre")
+    print(report.heatmap(pixels, (-half, half), (a.start / r.sample_rate, (a.start + count) / r.sample_rate)))
+    levels = spectrum.power_levels(seen, sigmf.read_range, a.start).orderBy("bucket").collect()
+    print(report.sparkline([x.db for x in levels]))
     return 0
 
 
@@ -214,7 +225,7 @@ def parser() -> argparse.ArgumentParser:
     command("info", info, "input")
     c = command("inspect", inspect, "input")
     c.add_argument("--start", type=int, default=0)
-    c.add_argument("--count", type=int, default=65536)
+    c.add_argument("--count", type=int, help="samples to show; all of the recording if not given")
     c.add_argument("--nfft", type=int, default=256)
     building(command("build", build, "input", "output"))
     command("stats", show_stats, "dataset")

@@ -2,85 +2,42 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.operators.signal import ACTIVE_SHARE, BLOCK, FLAT_DB, declared_band, sample_chunks
-from wavemill.sources.sigmf import annotations_of, read_range
-
-MEASURED = "record_id string, mean_power_db double, duty_cycle double, burst_start_frac double, est_offset_hz double, est_bw_hz double"
+from wavemill.functions.columns import power_db
+from wavemill.operators import order, spectrum
+from wavemill.operators.signal import BLOCK, active_mask, declared_band, duty_cycle, sample_chunks
+from wavemill.sources.sigmf import annotations_of, bytes_per_sample, planned_by_bytes, read_range
 
 #: What the audit's axes read.
 SCALARS = "mean_power_db double, duration_samples double, duty_cycle double, burst_start_frac double"
 
 
-def activity(power: np.ndarray) -> np.ndarray:
-    """Which blocks are active, by their mean powers; none of fewer than two."""
-    if len(power) < 2:
-        return np.zeros(0, bool)
-    level = np.log10(power + 1e-30)
-    low, high = np.min(level), np.max(level)
-    return level > low + ACTIVE_SHARE * (high - low) if 10 * (high - low) >= FLAT_DB else np.full(len(level), True)
-
-
-def excess_spectrum(blocks: np.ndarray, active: np.ndarray) -> np.ndarray | None:
-    """What active blocks have above idle ones on average, by bin in the transform's own order; None where either is missing."""
-    share = np.stack([active, ~active]).astype(float)
-    if not share.any(axis=1).all():
-        return None
-    share /= share.sum(axis=1, keepdims=True)
-    found = np.zeros((2, BLOCK))
-    for a in range(0, len(blocks), 256):
-        bins = np.fft.fft(blocks[a : a + 256] * np.hanning(BLOCK))
-        found += share[:, a : a + 256] @ (bins.real**2 + bins.imag**2)
-    return np.maximum(found[0] - found[1], 0)
-
-
-def occupied(excess: np.ndarray | None, rate: float, share: float = 0.99) -> tuple[float | None, float | None]:
-    """(offset, width) in Hz of the band that holds ``share`` of the excess."""
-    if excess is None or excess.sum() <= 0:
-        return None, None
-    n = len(excess)
-    bins = np.fft.fftfreq(n, 1 / n)
-    held = np.cumsum(excess[np.argsort(bins)]) / excess.sum()
-    inside = np.count_nonzero((held >= (1 - share) / 2) & (held < (1 + share) / 2))
-    return float(bins @ excess / excess.sum() * rate / n), float((inside + 1) * rate / n)
-
-
-def measure_samples(x: np.ndarray, rate: float) -> tuple:
-    """mean_power_db, duty_cycle, burst_start_frac, offset, bandwidth of what was read of a recording."""
-    x = x.astype(np.complex128)
-    blocks = x[: len(x) - len(x) % BLOCK].reshape(-1, BLOCK)
-    active = activity(np.mean(blocks.real**2 + blocks.imag**2, axis=1)) if len(blocks) else np.zeros(0, bool)
-    if not len(active):
-        return None, None, None, None, None
-    total = 10 * np.log10(np.mean(x.real**2 + x.imag**2) + 1e-30)
-    return float(total), float(np.mean(active)), int(np.argmax(active)) / len(active), *occupied(excess_spectrum(blocks, active), rate)
-
-
 def measure(recordings: DataFrame, labels: DataFrame | None = None, exclude: tuple[str, ...] = ("ref_tone",)) -> DataFrame:
     """Feature table of ``recordings`` (of :func:`wavemill.sources.sigmf.scan`), with ``label`` of ``labels`` (record_id, label).
 
     A declared band wins over the estimated one; a width of 0 counts as none. At most 2 000 000 samples of a
-    recording are read, one recording at a time in a task.
+    recording are read, in tasks planned by bytes; its chunks may be read by several.
     """
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = []
-            for r in pdf.itertuples():
-                read = [read_range(r.data_path, r.datatype, int(c["start"]), int(c["count"])) for c in r.chunks]
-                rows.append((r.record_id, *measure_samples(np.concatenate([i + 1j * q for i, q in read]), r.sample_rate)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in MEASURED.split(", ")])
-
     ok = recordings.where("error is null")
-    # At most CHUNKS rows of each recording.
-    chunks = sample_chunks(ok).groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("start", "count"))).alias("chunks"))
-    found = ok.join(chunks, "record_id").select("record_id", "data_path", "datatype", "sample_rate", "chunks").mapInPandas(run, MEASURED)
+    files = ok.select("record_id", "data_path", "datatype")
+    chunks = planned_by_bytes(sample_chunks(ok).join(files, "record_id"), bytes_per_sample(F.col("datatype")), F.col("start"), F.col("count"))
+    powers = order.settle(spectrum.read_powers(chunks, read_range))
+    block = F.col("chunk") * F.size("powers")  # chunks of a recording are equally long
+    envelope = powers.select("record_id", block.alias("_b"), F.posexplode("powers").alias("_k", "power")).select("record_id", (F.col("_b") + F.col("_k")).alias("block"), "power")
+    mask = active_mask(envelope)
+    level = powers.groupBy("record_id").agg(power_db(F.sum("energy") / F.sum("samples")).alias("mean_power_db"))
+    duty = duty_cycle(mask)
+    # Recordings with both kinds of blocks are read again, as sums of spectra; flags go back to their chunks, at most SAMPLE_LIMIT / BLOCK of a recording.
+    flags = mask.join(duty.where("duty_cycle > 0 and duty_cycle < 1").select("record_id"), "record_id").groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("block", "active"))).alias("_f"))
+    first = powers.select("record_id", "chunk", block.alias("_b"), F.size("powers").alias("_n")).join(flags, "record_id")
+    gated = first.where("_n > 0").select("record_id", "chunk", F.transform(F.slice("_f", F.col("_b") + 1, F.col("_n")), lambda x: x["active"]).alias("active"))
+    sums = spectrum.read_gated(chunks.join(gated, ["record_id", "chunk"]), read_range)
+    bands = spectrum.excess(spectrum.merged(sums, BLOCK)).join(ok.select("record_id", "sample_rate"), "record_id")
+    bands = bands.select("record_id", spectrum.band_of("excess", F.col("sample_rate")).alias("_band")).select("record_id", F.col("_band.offset_hz").alias("est_offset_hz"), F.col("_band.bandwidth_hz").alias("est_bw_hz"))
+    found = duty.join(level, "record_id").join(bands, "record_id", "left")
     told = declared_band(annotations_of(ok), ok, exclude).withColumnRenamed("offset_hz", "told_offset").withColumnRenamed("bandwidth_hz", "told_bw")
     start = F.unix_micros("capture_time") / 1e6
     out = ok.join(found, "record_id", "left").join(told, "record_id", "left")
@@ -105,15 +62,3 @@ def measure(recordings: DataFrame, labels: DataFrame | None = None, exclude: tup
         "collection",
         "error",
     )
-
-
-def spectrogram(i: np.ndarray, q: np.ndarray, nfft: int, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(frequencies, times, dB): periodic Hann, half overlap, scaled by the window's sum, 0 Hz in the middle."""
-    x = np.asarray(i, np.float64) + 1j * np.asarray(q, np.float64)
-    if len(x) < nfft:
-        raise ValueError(f"{len(x)} samples are fewer than nfft {nfft}")
-    hop = nfft // 2
-    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(nfft) / nfft)
-    starts = np.arange(0, len(x) - nfft + 1, hop)
-    z = np.fft.fftshift(np.fft.fft(x[starts[:, None] + np.arange(nfft)] * w, axis=1), axes=1).T / w.sum()
-    return (np.arange(nfft) - nfft // 2) * rate / nfft, (nfft / 2 + starts) / rate, 20 * np.log10(np.abs(z) + 1e-12)

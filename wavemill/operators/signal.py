@@ -51,25 +51,11 @@ def sample_chunks(recordings: DataFrame, limit: int = SAMPLE_LIMIT, chunks: int
 
 
 def dft_power(vectors: DataFrame, n: int, ids: tuple[str, ...] = ("record_id",), i: str = "i", q: str = "q") -> DataFrame:
-    """(ids, bin, power) of the n-point discrete transform of complex arrays, bins in natural order.
+    """(ids, bin, power) of the n-point discrete transform of complex arrays, bins in natural order."""
+    from wavemill.operators.spectrum import spectra
 
-    Twiddle factors are literals of the plan and each bin is a fold over the array, so nothing is joined.
-    """
-    cos = F.array(*[F.lit(math.cos(2 * math.pi * k / n)) for k in range(n)])
-    sin = F.array(*[F.lit(math.sin(2 * math.pi * k / n)) for k in range(n)])
-    samples = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda m: F.struct(m.alias("m"), F.get(i, m).cast("double").alias("a"), F.get(q, m).cast("double").alias("b")))
-
-    def power(k: Column) -> Column:
-        def add(acc: Column, s: Column) -> Column:
-            at = (k * s["m"] % n).cast("int")
-            c, d = F.get(cos, at), F.get(sin, at)
-            return F.struct((acc["re"] + s["a"] * c + s["b"] * d).alias("re"), (acc["im"] + s["b"] * c - s["a"] * d).alias("im"))
-
-        zero = F.struct(F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))
-        return F.aggregate(samples, zero, add, lambda z: z["re"] * z["re"] + z["im"] * z["im"])
-
-    bins = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), power)
-    return vectors.select(*ids, F.posexplode(bins).alias("bin", "power"))
+    out = spectra(vectors, n, ids, i, q).select(*ids, F.posexplode("power").alias("_x", "power"))
+    return out.select(*ids, ((F.col("_x") + n - n // 2) % n).alias("bin"), "power")
 
 
 def shifted_bin(k: Column | str, n: int) -> Column:
@@ -78,27 +64,6 @@ def shifted_bin(k: Column | str, n: int) -> Column:
     return (k + n // 2) % n
 
 
-def occupied_band(spectrum: DataFrame, sample_rate: Column | float, n: int, share: float = 0.99, ids: tuple[str, ...] = ("record_id",)) -> DataFrame:
-    """(ids, offset_hz, bandwidth_hz) of the band that holds ``share`` of an excess spectrum (ids, bin, excess), bins shifted.
-
-    Without any excess both are null.
-    """
-    fs = sample_rate if isinstance(sample_rate, Column) else F.lit(float(sample_rate))
-    w = Window.partitionBy(*ids).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = Window.partitionBy(*ids)
-    e = spectrum.withColumn("excess", F.greatest("excess", F.lit(0.0)))
-    cum = e.withColumn("_c", F.sum("excess").over(w)).withColumn("_t", F.sum("excess").over(total)).withColumn("_f", F.col("_c") / F.when(F.col("_t") > 0, F.col("_t")))
-    tail = (1 - share) / 2
-    out = cum.groupBy(*ids).agg(
-        F.min(F.when(F.col("_f") >= tail, F.col("bin"))).alias("_lo"),
-        F.min(F.when(F.col("_f") >= 1 - tail, F.col("bin"))).alias("_hi"),
-        (F.sum(F.col("bin") * F.col("excess")) / F.when(F.sum("excess") > 0, F.sum("excess"))).alias("_mid"),
-    )
-    return out.select(
-        *ids, ((F.col("_mid") - n / 2) * fs / n).alias("offset_hz"), (F.greatest(F.lit(1), F.col("_hi") - F.col("_lo") + 1) * fs / n).alias("bandwidth_hz")
-    ).withColumn("bandwidth_hz", F.when(F.col("offset_hz").isNotNull(), F.col("bandwidth_hz")))
-
-
 def declared_band(annotations: DataFrame, recordings: DataFrame, exclude: tuple[str, ...] = ("ref_tone",)) -> DataFrame:
     """(record_id, offset_hz, bandwidth_hz): medians over annotations with both edges; those without a label count."""
     keep = ~F.coalesce("label", F.lit("")).isin(*exclude) & F.col("freq_lower_edge").isNotNull() & F.col("freq_upper_edge").isNotNull()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill.operators import signal, windows
+from wavemill.operators import signal, spectrum, windows
 from wavemill.plans.catalogue import query, table
 from wavemill.plans.standin import EV, VECTORS, samples, vectors
 
@@ -98,11 +98,52 @@ select record_id, round((sum(bin * ex) / sum(ex) - 16) * 1000 / 32, 4) offset_hz
 round(greatest(1, min(bin) filter (where f >= (1 + 0.99::double) / 2) - min(bin) filter (where f >= (1 - 0.99::double) / 2) + 1) * 1000 / 32, 4) bandwidth_hz from c group by 1""",
 )
 def occupied_band(spark: SparkSession, d: str) -> DataFrame:
-    p = signal.dft_power(vectors(spark, d), 32)
-    mean = p.groupBy("record_id").agg(F.avg("power").alias("m"))
-    excess = p.join(mean, "record_id").select("record_id", signal.shifted_bin("bin", 32).alias("bin"), (F.col("power") - F.col("m")).alias("excess"))
-    out = signal.occupied_band(excess, 1000.0, 32)
-    return out.select("record_id", F.round("offset_hz", 4).alias("offset_hz"), F.round("bandwidth_hz", 4).alias("bandwidth_hz"))
+    p = spectrum.spectra(vectors(spark, d), 32)
+    mean = F.aggregate("power", F.lit(0.0), lambda s, x: s + x) / 32
+    out = p.withColumn("_m", mean).select("record_id", spectrum.band_of(F.transform("power", lambda x: F.greatest(x - F.col("_m"), F.lit(0.0))), 1000.0).alias("b"))
+    return out.select("record_id", F.round("b.offset_hz", 4).alias("offset_hz"), F.round("b.bandwidth_hz", 4).alias("bandwidth_hz"))
+
+
+GATED = """g as (select event_id // 2048 record_id, event_id % 2048 // 64 as block, event_id % 64 n, case when event_id // 256 % 2 = 0 then 10 else 1 end g, value, event_id % 100 c from events),
+x as (select record_id, block, n, g * value a, (g * c)::double b, g * g * (value * value + c * c) p from g),
+env as (select record_id, block, avg(p) power from x group by 1, 2 having count(*) = 64),
+db as (select *, 10 * log10(power + 1e-30) db from env), sp as (select record_id, min(db) lo, max(db) hi from db group by 1 having count(*) >= 2),
+mask as (select db.record_id, block, case when hi - lo < 6 then true else db > lo + 0.35::double * (hi - lo) end active from db join sp on sp.record_id = db.record_id),
+w as (select record_id, block, active, n, a * (0.5 - 0.5 * cos(2 * pi() * n / 63)) a, b * (0.5 - 0.5 * cos(2 * pi() * n / 63)) b from x join mask using (record_id, block)),
+kk as (select unnest(range(0, 64)) k),
+f as (select record_id, block, active, k, power(sum(a * cos(2 * pi() * k * n / 64) + b * sin(2 * pi() * k * n / 64)), 2) + power(sum(b * cos(2 * pi() * k * n / 64) - a * sin(2 * pi() * k * n / 64)), 2) pw from w, kk group by 1, 2, 3, 4),
+m as (select record_id, active, (k + 32) % 64 as bin, count(*) blocks, avg(pw) pw from f group by 1, 2, 3)"""
+
+
+def _gated(spark: SparkSession, d: str) -> DataFrame:
+    """Mean Hann spectra of active and idle 64-sample blocks of events, as the audit has them of recordings.
+
+    Events by number are the samples of recordings 2048 long, in bursts of 256.
+    """
+    e, g = F.col("event_id"), F.when(F.expr("event_id div 256") % 2 == 0, 10).otherwise(1)
+    x = table(spark, d, "events").select(F.expr("event_id div 2048").alias("record_id"), (e % 2048).alias("ord"), (g * F.col("value")).alias("a"), (g * (e % 100)).cast("double").alias("b"))
+    mask = signal.active_mask(signal.power_envelope(x, 64, F.col("a") * F.col("a") + F.col("b") * F.col("b"))).select("record_id", "block", "active")
+    blocks = x.groupBy("record_id", F.floor(F.col("ord") / 64).cast("long").alias("block")).agg(F.array_sort(F.collect_list(F.struct("ord", "a", "b"))).alias("z"))  # 64 rows
+    blocks = blocks.join(mask, ["record_id", "block"]).select("record_id", "active", F.transform("z", lambda s: s["a"]).alias("i"), F.transform("z", lambda s: s["b"]).alias("q"))
+    return spectrum.merged(spectrum.gated_sums(blocks, 64), 64)
+
+
+@query("hann_periodogram", f"with {GATED} select record_id, active, cast(bin as integer) as bin, blocks, round(log10(pw + 1), 6) level from m")
+def hann_periodogram(spark: SparkSession, d: str) -> DataFrame:
+    out = _gated(spark, d).select("record_id", "active", "blocks", F.posexplode("power").alias("bin", "p"))
+    return out.select("record_id", "active", "bin", "blocks", F.round(F.log10(F.col("p") + 1), 6).alias("level"))
+
+
+@query(
+    "gated_band",
+    f"""with {GATED}, e as (select n.record_id, n.bin, greatest(n.pw - o.pw, 0) ex from m n join m o on n.active and not o.active and n.record_id = o.record_id and n.bin = o.bin),
+c as (select *, sum(ex) over (partition by record_id order by bin rows unbounded preceding) / sum(ex) over (partition by record_id) f from e)
+select record_id, round((sum(bin * ex) / sum(ex) - 32) * 1000 / 64, 4) offset_hz,
+round(greatest(1, min(bin) filter (where f >= (1 + 0.99::double) / 2) - min(bin) filter (where f >= (1 - 0.99::double) / 2) + 1) * 1000 / 64, 4) bandwidth_hz from c group by 1""",
+)
+def gated_band(spark: SparkSession, d: str) -> DataFrame:
+    out = spectrum.excess(_gated(spark, d)).select("record_id", spectrum.band_of("excess", 1000.0).alias("b"))
+    return out.select("record_id", F.round("b.offset_hz", 4).alias("offset_hz"), F.round("b.bandwidth_hz", 4).alias("bandwidth_hz"))
 
 
 def _pool(how: str) -> str:

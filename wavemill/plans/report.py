@@ -145,20 +145,21 @@ def half_blocks(rows: list[list[tuple[int, int, int]]]) -> str:
 ANCHORS = [(20, 10, 60), (40, 70, 140), (30, 140, 130), (120, 190, 80), (250, 230, 60)]
 
 
-def _pooled(x: np.ndarray, rows: int, cols: int) -> np.ndarray:
-    """The largest value of each cell of a grid at most ``rows`` by ``cols``."""
-    for axis, n in ((0, rows), (1, cols)):
-        n = min(n, x.shape[axis])
-        x = np.maximum.reduceat(x, np.arange(n) * x.shape[axis] // n, axis=axis)
-    return x
-
-
-def heatmap(freq: np.ndarray, times: np.ndarray, db: np.ndarray, rows: int = 32, cols: int = 72) -> str:
-    """A spectrogram as terminal text, highest frequency on top, with the ends of both axes. Strong is the 99.5th percentile, weak the 5th."""
-    low, high = np.percentile(db, (5, 99.5))
-    x = _pooled(db[::-1], rows - rows % 2, cols)
-    x = x[: len(x) - len(x) % 2]
-    share = (x - low) / (high - low) if high > low else np.zeros_like(x)
-    body = half_blocks([colormap([float(v) for v in line], ANCHORS) for line in share])
-    bottom = f"{times[0] * 1e3:.2f} ms"
-    return f"{hertz(float(freq[-1]))}\n{body}\n{hertz(float(freq[0]))}\n{bottom}{f'{times[-1] * 1e3:.2f} ms':>{max(1, x.shape[1] - len(bottom))}}"
+#: Percentiles of the pixels between which colours are spread. Fixed values.
+CLIP = (5.0, 99.0)
+
+
+def heatmap(pixels: list[list[float]], freq: tuple[float, float], times: tuple[float, float], labels: int = 5) -> str:
+    """Pixels in dB as terminal text, highest frequency on top, a label every few lines and at both ends of time.
+
+    Colours go by the pixels' own percentiles, after pooling: of maxima nearly all would be above those of what they were pooled from.
+    """
+    x = np.asarray(pixels[: len(pixels) - len(pixels) % 2], float)
+    low, high = np.percentile(x, CLIP)
+    share = (x - low) / (high - low if high > low else 1.0)
+    lines = half_blocks([colormap([float(v) for v in line], ANCHORS) for line in share]).split("\n")
+    step = max(1, len(lines) // labels)
+    height = (freq[1] - freq[0]) / len(lines)
+    told = [f"{hertz(freq[1] - (k + 0.5) * height) if k % step == 0 else '':>12} {line}" for k, line in enumerate(lines)]
+    ends = [f"{t * 1e3:.2f} ms" for t in times]
+    return "\n".join([*told, f"{'':13}{ends[0]}{ends[1]:>{max(1, x.shape[1] - len(ends[0]))}}"])

@@ -33,7 +33,7 @@ class RecordingError(ValueError):
     """A recording that can't be read as asked."""
 
 
-def _bytes_per_sample(datatype: Column) -> Column:
+def bytes_per_sample(datatype: Column) -> Column:
     return F.element_at(F.create_map(*[x for k, (t, _) in DATATYPES.items() for x in (F.lit(k), F.lit(2 * np.dtype(t).itemsize))]), datatype)
 
 
@@ -61,7 +61,7 @@ def scan(spark: SparkSession, root: str, strict: bool = True) -> DataFrame:
     base = re.sub(r"^file:/+", "/", (single.rsplit("/", 1)[0] if one else root).rstrip("/")) + "/"
     g = F.col("t.global")
     datatype, rate = g["core:datatype"], F.expr("try_cast(t.global['core:sample_rate'] as double)")
-    size = _bytes_per_sample(datatype)
+    size = bytes_per_sample(datatype)
     first = F.get("t.captures", F.lit(0))
     error = (
         F.when(F.col("t").isNull() | g.isNull(), "metadata are not valid JSON with a global object")
@@ -169,7 +169,10 @@ def planned_by_bytes(rows: DataFrame, size: Column, start: Column, count: Column
     """
     keyed = rows.withColumns({"_start": start.cast("long"), "_stretch": F.floor(start * size / task_bytes).cast("long")})
     ends = F.max((start + count) * size) - F.min(start * size)
-    stretches = order.ranges(keyed.groupBy("data_path", "_stretch").agg(F.greatest(ends, F.lit(1)).cast("long").alias("_cost")), ["data_path", "_stretch"])
+    stretches = order.settle(keyed.groupBy("data_path", "_stretch").agg(F.greatest(ends, F.lit(1)).cast("long").alias("_cost")))
+    if (stretches.agg(F.sum("_cost")).first()[0] or 0) <= task_bytes:
+        return keyed.repartitionById(1, F.lit(0)).sortWithinPartitions("data_path", "_start").select(*rows.columns)
+    stretches = order.ranges(stretches, ["data_path", "_stretch"])
     carried = order.before(stretches.groupBy("_part").agg(F.sum("_cost").alias("_before")).withColumn("_all", F.lit(0)), ["_before"], "_all")  # a row for each range
     within = F.coalesce(F.sum("_cost").over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     task = F.floor((F.col("_before") + F.col("_within")) / task_bytes).cast("int")
@@ -233,7 +236,7 @@ def read_windows(windows: DataFrame, window: int, task_bytes: int = TASK_BYTES)
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(v.reshape(-1))) for v in (i, q)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=[*batch.schema.names, "i", "q"])
 
-    dealt = planned_by_bytes(windows, _bytes_per_sample(F.col("datatype")), F.col("start"), F.lit(window), task_bytes)
+    dealt = planned_by_bytes(windows, bytes_per_sample(F.col("datatype")), F.col("start"), F.lit(window), task_bytes)
     return dealt.mapInArrow(run, schema)
 
 
