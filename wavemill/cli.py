@@ -65,7 +65,7 @@ def inspect(spark, a) -> int:
 
 
 def build(spark, a) -> int:
-    m = plans.build(spark, a.input, a.output, _config(a))
+    m = plans.build(spark, a.input, a.output, _config(a), a.files)
     for w in m["warnings"]:
         print(f"warning: {w}")
     s = m["stats"]
@@ -89,17 +89,12 @@ def show_stats(spark, a) -> int:
     return 0
 
 
-def _windows(spark, root: str):
-    rows = dataset.read_dataset(spark, root)
-    return rows.select("record_id", "window_ix", "label", "split", F.get("x", F.lit(0)).alias("i"), F.get("x", F.lit(1)).alias("q"))
-
-
 def train(spark, a) -> int:
     def told(e: convnet.Epoch) -> None:
         held = "" if e.val_accuracy is None else f", val accuracy {100 * e.val_accuracy:.1f} %"
         print(f"epoch {e.epoch}: loss {e.train_loss:.4f}, train accuracy {100 * e.train_accuracy:.1f} %{held}")
 
-    rows = _windows(spark, a.dataset)
+    rows = plans.built_windows(spark, a.dataset)
     found = convnet.train(rows, a.seed, a.epochs, a.batch_size, rate=a.learning_rate, on_epoch=told)
     print(f"{found.net.parameters} parameters, classes {', '.join(found.net.classes)}")
     per = stats.per_class_accuracy(convnet.predict(rows.where(F.col("split") == split.SPLITS[2]), found.net), "label", "prediction")
@@ -227,7 +222,9 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--start", type=int, default=0)
     c.add_argument("--count", type=int, help="samples to show; all of the recording if not given")
     c.add_argument("--nfft", type=int, default=256)
-    building(command("build", build, "input", "output"))
+    c = command("build", build, "input", "output")
+    building(c)
+    c.add_argument("--files", choices=(plans.PARQUET, plans.ARRAYS), default=plans.PARQUET)
     command("stats", show_stats, "dataset")
     c = command("train", train, "dataset")
     c.add_argument("--seed", type=int, default=0)

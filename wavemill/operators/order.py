@@ -61,28 +61,38 @@ def _mix(x: np.ndarray, key: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def permute(place: np.ndarray, n: int, seed: int, epoch: int = 0) -> np.ndarray:
-    """The position of each place of 0 .. n-1 in the order of ``epoch``: a permutation by arithmetic alone.
-
-    A Feistel network over the next even number of bits, walked on until the result is below ``n``, which takes
-    fewer than four steps on average.
-    """
+def _walk(x: np.ndarray, n: int, seed: int, epoch: int, back: bool) -> np.ndarray:
     if n <= 1:
-        return np.zeros(len(place), np.int64)
+        return np.zeros(len(x), np.int64)
     half = np.uint64(max(1, ((n - 1).bit_length() + 1) // 2))
     mask = np.uint64((1 << int(half)) - 1)
     base = int(_mix(np.array([seed & 0xFFFFFFFF], np.uint64), 0x9E3779B97F4A7C15 + 0x1000003 * epoch)[0])
-    x = np.asarray(place, np.int64).astype(np.uint64)
+    x = np.asarray(x, np.int64).astype(np.uint64)
     todo = np.arange(len(x))
+    keys = [base + 0x632BE59BD9B4E019 * (r + 1) for r in range(ROUNDS)]
     while len(todo):
         left, right = x[todo] >> half, x[todo] & mask
-        for r in range(ROUNDS):
-            left, right = right, left ^ (_mix(right, base + 0x632BE59BD9B4E019 * (r + 1)) & mask)
+        for key in reversed(keys) if back else keys:
+            left, right = (right ^ (_mix(left, key) & mask), left) if back else (right, left ^ (_mix(right, key) & mask))
         x[todo] = (left << half) | right
         todo = todo[x[todo] >= np.uint64(n)]
     return x.astype(np.int64)
 
 
+def permute(place: np.ndarray, n: int, seed: int, epoch: int = 0) -> np.ndarray:
+    """The position of each place of 0 .. n-1 in the order of ``epoch``: a permutation by arithmetic alone.
+
+    A Feistel network over the next even number of bits, walked on until the result is below ``n``, which takes
+    fewer than four steps on average.
+    """
+    return _walk(place, n, seed, epoch, back=False)
+
+
+def unpermute(position: np.ndarray, n: int, seed: int, epoch: int = 0) -> np.ndarray:
+    """The place at each position: :func:`permute` backwards."""
+    return _walk(position, n, seed, epoch, back=True)
+
+
 def position(place: Column | str, n: int, seed: int, epoch: int = 0) -> Column:
     """:func:`permute` as a column."""
 

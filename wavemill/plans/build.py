@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from wavemill.functions import columns
 from wavemill.operators import labels, split, stats, sweep, windows
-from wavemill.sources import dataset, sigmf, tables
+from wavemill.sources import dataset, shards, sigmf, tables
 
 
 #: Annotations of a recording that each of its windows is held against; recordings with more are swept.
 FEW_ANNOTATIONS = 64
+#: Kinds of files that a dataset is written as.
+PARQUET, ARRAYS = "parquet", "arrays"
 
 
 class BuildError(ValueError):
@@ -146,48 +148,63 @@ def metadata_warnings(recordings: DataFrame, c: BuildConfig) -> list[str]:
     return out
 
 
-def window_table(p: Plan, c: BuildConfig) -> DataFrame:
-    """Labelled windows with their samples: the split joins metadata rows, then only these windows are read."""
+def window_table(p: Plan, c: BuildConfig, items: bool = False) -> DataFrame:
+    """Labelled windows with their samples: the split joins metadata rows, then only these windows are read.
+
+    With ``items`` they are numbered, before they are read.
+    """
     wanted = p.labeled.where("label is not null").join(p.records.select("record_id", "split"), "record_id")
+    more = ["item"] if items else []
+    wanted = dataset.numbered(wanted) if items else wanted
     paths = p.recordings.select("record_id", "data_path", "datatype")
     rows = wanted.join(paths, "record_id").withColumn("start", F.col("window_ix") * c.stride)
-    read = sigmf.read_windows(rows.select("record_id", "window_ix", "start", "label", "split", "data_path", "datatype"), c.window).drop("data_path", "datatype")
+    read = sigmf.read_windows(rows.select("record_id", "window_ix", "start", "label", "split", *more, "data_path", "datatype"), c.window).drop("data_path", "datatype")
     return windows.normalize(read) if c.normalize else read
 
 
-def build(spark: SparkSession, root: str, out: str, c: BuildConfig) -> dict:
-    """Scan ``root``, write the dataset to ``out``, return its manifest."""
+def build(spark: SparkSession, root: str, out: str, c: BuildConfig, files: str = PARQUET) -> dict:
+    """Scan ``root``, write the dataset to ``out``, as Parquet or as array shards, and return its manifest."""
+    if files not in (PARQUET, ARRAYS):
+        raise BuildError(f"files are {PARQUET} or {ARRAYS}, not {files!r}")
     recordings = some_recordings(sigmf.scan(spark, root), root)
     p = plan(spark, recordings, c)
     kept = [r.asDict() for r in p.records.orderBy("record_id").collect()]  # a row for each recording: the manifest lists them
     if not kept:
         survey = labels.annotation_survey(sigmf.annotations_of(recordings)).collect()
         raise BuildError("no labelled windows; annotation labels: " + (", ".join(f"{r.label} ({r.n})" for r in survey) or "none"))
-    rows = windows.represent(window_table(p, c), c.representation).drop("i", "q")
-    dataset.write_dataset(rows, out, 8 * c.window)
     names = {r["label"]: r["index"] for r in stats.label_map(p.labeled).collect()}
-    counts = {s: {} for s in split.SPLITS}
+    rows = windows.represent(window_table(p, c, items=True), c.representation)
+    records = {s: [{"id": r["record_id"], "label": r["label"], "windows": r["windows"], "carrier_offset_hz": r["carrier_offset_hz"], "balance_group": r["balance_group"], "group": r["unit"]} for r in kept if r["split"] == s] for s in split.SPLITS}
+    manifest = {"config": asdict(c) | {"input": root}, "label_map": names, "stats": labels.labeling_stats(p.labeled).first().asDict(), "warnings": p.warnings}
+    if files == ARRAYS:
+        part = lambda k: F.col(f"x.{'iq'[k]}") if c.representation == "complex" else F.get("x", F.lit(k))
+        rows = rows.select("record_id", "window_ix", "split", "item", "label", part(0).alias("i"), part(1).alias("q"))
+        return shards.write_shards(rows, out, manifest | {"splits": {s: {"records": v} for s, v in records.items()}}, c.representation)
+    dataset.write_dataset(rows.drop("i", "q"), out, 8 * c.window)
+    counts: dict[str, dict] = {s: {} for s in split.SPLITS}
     for r in spark.read.parquet(f"{out.rstrip('/')}/windows").groupBy("split", "label").count().collect():
         counts[r.split][r.label] = r["count"]
-    stat = labels.labeling_stats(p.labeled).first().asDict()
-    manifest = {
-        "config": asdict(c) | {"input": root},
-        "label_map": names,
-        "stats": stat,
-        "warnings": p.warnings,
-        "splits": {
-            s: {
-                "count": sum(counts[s].values()),
-                "labels": counts[s],
-                "records": [{"id": r["record_id"], "label": r["label"], "windows": r["windows"], "carrier_offset_hz": r["carrier_offset_hz"], "balance_group": r["balance_group"], "group": r["unit"]} for r in kept if r["split"] == s],
-            }
-            for s in split.SPLITS
-        },
-    }
+    manifest["splits"] = {s: {"count": sum(counts[s].values()), "labels": counts[s], "records": records[s]} for s in split.SPLITS}
     tables.write_manifest(spark, out, manifest)
     return manifest
 
 
+def built_windows(spark: SparkSession, root: str, splits: Sequence[str] = split.SPLITS) -> DataFrame:
+    """(record_id, window_ix, label, split, i, q) of a built dataset in either kind of files; array shards know items, not recordings."""
+    told = tables.read_manifest(spark, root)
+    if not any("shards" in v for v in told["splits"].values()):
+        rows = dataset.read_dataset(spark, root)
+        return rows.select("record_id", "window_ix", "label", "split", F.get("x", F.lit(0)).alias("i"), F.get("x", F.lit(1)).alias("q")).where(F.col("split").isin(*splits))
+    found = None
+    for s in splits:
+        if told["splits"].get(s, {}).get("count"):
+            rows = shards.read_shards(spark, root, s).select(F.lit(s).alias("record_id"), F.col("item").alias("window_ix"), "label", "split", "i", "q")
+            found = rows if found is None else found.unionByName(rows)
+    if found is None:
+        raise dataset.DatasetError(f"{', '.join(splits)}: empty")
+    return found
+
+
 def manifest_records(spark: SparkSession, manifest: dict) -> DataFrame:
     """(record_id, split, label, windows, carrier_offset_hz, balance_group, unit) that a manifest lists."""
     rows = [(r["id"], s, r["label"], r["windows"], r["carrier_offset_hz"], r["balance_group"], r["group"]) for s, v in manifest["splits"].items() for r in v["records"]]

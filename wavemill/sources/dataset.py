@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavemill.operators import order
 from wavemill.operators.split import SPLITS
 from wavemill.sources.tables import read_manifest
 
@@ -18,22 +19,37 @@ class DatasetError(ValueError):
 def numbered(windows: DataFrame) -> DataFrame:
     """``windows`` with ``item``, their place from 0 in the split by (record_id, window_ix).
 
-    Counted for each recording and shifted by the recordings before, so only the list of recordings is
-    ordered as a whole.
+    Keys alone are dealt by ranges and numbered there, so neither a split nor a recording is ordered in one task. It belongs before
+    samples are read; rows that have them are shuffled once more.
     """
-    per = windows.groupBy("split", "record_id").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("split").orderBy("record_id").rowsBetween(Window.unboundedPreceding, -1))
-    shift = per.select("split", "record_id", F.coalesce(before, F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("split", "record_id").orderBy("window_ix"))
-    return windows.withColumn("_k", place).join(shift, ["split", "record_id"]).withColumn("item", F.col("_before") + F.col("_k") - 1).drop("_k", "_before")
+    keys = ["split", "record_id", "window_ix"]
+    rows = order.ranges(windows.select(*keys), keys)
+    per = rows.groupBy("split", "_part").agg(F.count(F.lit(1)).alias("_before"), F.min("_at").alias("_first"))
+    shift = order.before(per, ["_before"], "split").select("split", "_part", "_before", "_first")
+    found = rows.join(F.broadcast(shift), ["split", "_part"]).select(*keys, (F.col("_at") - F.col("_first") + F.col("_before")).alias("item"))  # a row for each range and split
+    return windows.join(found, keys)
+
+
+def item_files(rows: DataFrame, n: int, files: int | None = None) -> DataFrame:
+    """``rows`` (split, item, ...) in tasks of ``n`` consecutive items of a split, in item order: a task for each, or ``files`` in all."""
+    sizes = {r.split: r.n for r in rows.groupBy("split").agg((F.max("item") + 1).alias("n")).collect()}
+    first, at = {}, 0
+    for s in SPLITS:
+        first[s] = at
+        at += -(-sizes.get(s, 0) // n)
+    piece = F.floor(F.col("item") / n) + F.coalesce(*[F.when(F.col("split") == s, F.lit(first[s])) for s in SPLITS])
+    tasks = max(1, at)
+    if files:
+        piece, tasks = F.floor(piece * min(files, tasks) / tasks), min(files, tasks)
+    return rows.repartitionById(tasks, piece.cast("int")).sortWithinPartitions("split", "item")
 
 
 def write_dataset(windows: DataFrame, root: str, bytes_per_window: int, files: int | None = None) -> None:
     """Parquet by split, in item order within files of at most about 256 MiB; an empty split gives no file."""
     n = max(1, SHARD_BYTES // max(1, bytes_per_window))
-    rows = numbered(windows)
-    dealt = rows.repartitionByRange(files, "split", "item") if files else rows.repartitionByRange("split", "item")
-    dealt.sortWithinPartitions("split", "item").write.mode("errorifexists").option("maxRecordsPerFile", n).partitionBy("split").parquet(f"{root.rstrip('/')}/windows")
+    rows = windows if "item" in windows.columns else numbered(windows)
+    dealt = item_files(rows, n, files)
+    dealt.write.mode("errorifexists").option("maxRecordsPerFile", n).partitionBy("split").parquet(f"{root.rstrip('/')}/windows")
 
 
 def read_dataset(spark: SparkSession, root: str, split: str | None = None, verify: bool = True) -> DataFrame:
