@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import argparse
 import json
+import math
 import sys
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from wavemill import __version__, get_session
-from wavemill.operators import audit, convnet, decide, features, labels, measure, spectrum, split, stats, windows
+from wavemill.operators import audit, convnet, decide, features, labels, measure, signal, spectrum, split, stats, windows
 from wavemill.plans import build as plans
 from wavemill.plans import measurement, report
 from wavemill.sources import dataset, sigmf, tables
@@ -169,28 +170,43 @@ def measure_leakage(spark, a) -> int:
     found = audit.audit_folder(rows, a.window, a.stride, checked).cache()
     usable = rows.where("error is null")
     keyed = plans.group_units(spark, usable, a.group_by) if a.group_by else usable.withColumn("unit", F.col("record_id"))
-    pairs = audit.overlapping_pairs(usable)
     short = keyed.groupBy("label").agg(F.countDistinct("unit").alias("n")).where(F.col("n") < sum(r > 0 for r in _numbers(a.split)))
-    d = decide.decide(found, audit.verdict(audit.axis_scores(usable)), audit.near_duplicates(usable), audit.pairs_apart(pairs, keyed, "unit"), short, grouped=bool(a.group_by), force=a.force).cache()
+    scores = audit.verdict(audit.axis_scores(usable))
+    d = decide.decide(found, scores, audit.near_duplicates(usable), audit.overlaps_not_held(keyed, "unit"), short, grouped=bool(a.group_by), force=a.force, recordings=recordings).cache()
     go = d.first().status == decide.MEASURE
     strides = measure.STRIDES if a.sweep else (a.stride,)
+    snrs = _snrs(a.snr)
     seconds = None
     if go:
-        rate, each = measure.probe(spark, a.window), len(split_seeds) * len(train_seeds)
+        rate, each = measure.probe(spark, a.window, model=a.model), len(split_seeds) * len(train_seeds) * len(snrs)
         usual = recordings.where("error is null")
         seconds = sum(decide.work_estimate(decide.predicted_windows(usual, a.window, s, _numbers(a.split)), rate, each).first().seconds for s in strides)
-    print(report.decision_json(d, a.force, seconds) if a.json else report.decision_text(d, a.force), end="\n" if a.json else "")
+    print(report.decision_json(d, seconds) if a.json else report.decision_text(d), end="\n" if a.json else "")
     if not go:
         return 1
     if a.dry_run:
         return 0
     if not a.json:
         print(f"about {seconds:.0f} s of training")
-    runs = measurement.measure_strides(spark, a.input, _config(a), strides, split_seeds, train_seeds, a.log)
-    print(report.inflation_table(stats.paired_inflation(runs, ("stride",)), "stride"))
+    runs = measurement.measure_strides(spark, a.input, _config(a), strides, split_seeds, train_seeds, a.log, snrs=snrs, epochs=a.epochs, model=a.model)
+    print(report.inflation_table(stats.paired_inflation(runs.where("snr_db is null") if len(snrs) > 1 else runs, ("stride",)), "stride") if math.inf in snrs else "", end="")
+    if snrs != (math.inf,):
+        gain = signal.processing_gain(usable).first().gain_db
+        levels = runs.withColumn("snr_db", F.coalesce("snr_db", F.lit(math.inf)))
+        for stride in strides:
+            print(f"stride {stride}")
+            print(report.snr_table(stats.paired_inflation(levels.where(F.col("stride") == stride), ("snr_db",)), gain))
     return 0
 
 
+def _snrs(text: str) -> tuple[float, ...]:
+    """Levels in dB; ``raw`` is a recording as it is."""
+    found = tuple(math.inf if x.strip() == "raw" else float(x) for x in text.split(",") if x.strip())
+    if not found or len(set(found)) < len(found):
+        raise ValueError(f"SNRs must be different levels in dB, or raw, not {text!r}")
+    return found
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="wavemill", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
@@ -241,6 +257,9 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--json", action="store_true", help="the decision as JSON")
     c.add_argument("--dry-run", action="store_true", help="decide and estimate only")
     c.add_argument("--sweep", action="store_true", help=f"strides {', '.join(map(str, measure.STRIDES))} instead of --stride")
+    c.add_argument("--snr", default="raw", help="levels in dB at which noise is added, comma-separated; raw adds none")
+    c.add_argument("--epochs", type=int, default=measure.EPOCHS)
+    c.add_argument("--model", choices=(measure.CNN, measure.FOREST), default=measure.CNN)
     c.add_argument("--log", help="file of finished runs; an interrupted grid goes on from it")
     c.add_argument("--split-seeds", default=",".join(map(str, measure.SPLIT_SEEDS)))
     c.add_argument("--train-seeds", default=",".join(map(str, measure.TRAIN_SEEDS)))

@@ -125,6 +125,14 @@ def overlap_counts(spans: DataFrame, keys: tuple[str, ...] = (), bin_s: float =
     return placed.groupBy(*keys).agg(n.alias("spans"), (F.expr("sum(s) * (sum(s) - 1) div 2") - apart).alias("pairs"))
 
 
+def overlaps_not_held(spans: DataFrame, unit: str) -> DataFrame:
+    """(pairs,): one row with how many overlapping pairs differ in ``unit``, if any do; two unknown units count as the same. None is made."""
+    whole = overlap_counts(spans).agg(F.sum("pairs").alias("_all"))
+    held = overlap_counts(spans, (unit,)).agg(F.sum("pairs").alias("_held"))
+    n = F.coalesce("_all", F.lit(0)) - F.coalesce("_held", F.lit(0))
+    return whole.crossJoin(held).select(n.cast("long").alias("pairs")).where("pairs > 0")  # one row each
+
+
 def adjacent_overlaps(spans: DataFrame, keys: tuple[str, ...], id_col: str = "record_id") -> DataFrame:
     """As above, but only between spans next to each other in (start, end, id) order of one ``keys`` value."""
     w = Window.partitionBy(*keys).orderBy("start", "end", id_col)
@@ -296,6 +304,13 @@ def check_capture_time(records: DataFrame, label: str = "label", idx: str = "rec
     return check_axes(axis_scores(records, (TIME_AXIS,), label, idx)).drop("after")
 
 
+def class_axes(records: DataFrame, axes: tuple[tuple[str, str], ...], label: str = "label") -> DataFrame:
+    """A finding for each axis, or a single one where fewer than LEAST_ROWS recordings have a label."""
+    if records.where(F.col(label).isNotNull()).limit(LEAST_ROWS).count() < LEAST_ROWS:
+        return missing_axes(records, f"fewer than {LEAST_ROWS} labelled recordings")
+    return check_axes(axis_scores(records, axes, label))
+
+
 def missing_axes(records: DataFrame, why: str) -> DataFrame:
     return finding(records.agg(F.count(F.lit(1))), "class axes", F.lit(NOT_CHECKED), F.lit(why))
 
@@ -378,7 +393,7 @@ def audit_folder(records: DataFrame, window: int | None = None, stride: int | No
         check_shared_timestamp(readable, built=False),
         check_duplicates(readable),
         finding(records.limit(1), "recording disjointness", F.lit(NOT_CHECKED), F.lit("nothing is split yet")),
-        check_axes(axis_scores(readable, (*AXES, TIME_AXIS))),
+        class_axes(readable, (*AXES, TIME_AXIS)),
         check_snr(readable),
         check_difficulty(records),
     ]
@@ -395,7 +410,7 @@ def audit_dataset(
     """
     records = records.persist()
     scored = [missing_axes(records, no_axes)] if no_axes else []
-    scored.append(check_axes(axis_scores(records, (*axes, TIME_AXIS))) if partly or not no_axes else check_capture_time(records))
+    scored.append(class_axes(records, (*axes, TIME_AXIS)) if partly or not no_axes else check_capture_time(records))
     return report(
         [
             check_disjoint(records, windows),

@@ -14,6 +14,13 @@ from wavemill.sources.sigmf import annotations_of, bytes_per_sample, planned_by_
 SCALARS = "mean_power_db double, duration_samples double, duty_cycle double, burst_start_frac double"
 
 
+def mean_powers(recordings: DataFrame) -> DataFrame:
+    """(record_id, power): mean power of what is read of each recording, as for :func:`measure`."""
+    ok = recordings.where("error is null")
+    chunks = planned_by_bytes(sample_chunks(ok).join(ok.select("record_id", "data_path", "datatype"), "record_id"), bytes_per_sample(F.col("datatype")), F.col("start"), F.col("count"))
+    return order.settle(spectrum.read_powers(chunks, read_range).groupBy("record_id").agg((F.sum("energy") / F.sum("samples")).alias("power")))
+
+
 def measure(recordings: DataFrame, labels: DataFrame | None = None, exclude: tuple[str, ...] = ("ref_tone",)) -> DataFrame:
     """Feature table of ``recordings`` (of :func:`wavemill.sources.sigmf.scan`), with ``label`` of ``labels`` (record_id, label).
 

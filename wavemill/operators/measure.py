@@ -9,8 +9,9 @@ from collections.abc import Callable, Collection, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavemill.operators import convnet
 from wavemill.operators.decide import EPOCHS
-from wavemill.operators.split import SPLITS, assign_splits, window_level_deal
+from wavemill.operators.split import SPLITS, assign_splits, unseen_groups, window_level_deal
 from wavemill.operators.stats import per_class_accuracy
 
 SPLIT_SEEDS, TRAIN_SEEDS = (11, 22, 33, 44, 55), (0, 1, 2)
@@ -60,8 +61,8 @@ def window_features(windows: DataFrame) -> DataFrame:
 def train_and_evaluate(windows: DataFrame, seed: int = 0, iterations: int = EPOCHS) -> DataFrame:
     """(label, n, accuracy) of each class of the test split. ``windows``: label, split, i, q.
 
-    A forest of fixed size stands in for a convolutional net, which Spark has no trainer for; accuracies of the
-    two aren't comparable, differences between the arms are what it is for.
+    A forest of fixed size over 18 features, far cheaper than :mod:`wavemill.operators.convnet`; accuracies of the
+    two aren't comparable.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
@@ -82,16 +83,39 @@ def accuracy(per_class: DataFrame) -> float:
     return float(r.h / r.n) if r and r.n else 0.0
 
 
-def probe(spark: SparkSession, window: int, windows: int = 256) -> float:
-    """Seconds that training takes for one window and tree, of a small training on ``windows`` made-up windows."""
+CNN, FOREST = "cnn", "forest"
+
+
+def trained(rows: DataFrame, seed: int = 0, epochs: int = EPOCHS, model: str = CNN) -> tuple[float, float | None]:
+    """(test accuracy, train accuracy) of a training on ``rows`` (record_id, window_ix, label, split, i, q)."""
+    if model == FOREST:
+        return accuracy(train_and_evaluate(rows, seed, epochs)), None
+    found = convnet.train(rows, seed, epochs)
+    return convnet.hit_share(convnet.predict(rows.where(F.col("split") == SPLITS[2]), found.net)), found.epochs[-1].train_accuracy
+
+
+def probe(spark: SparkSession, window: int, windows: int = 256, model: str = CNN) -> float:
+    """Seconds that training takes for one window and epoch, of a small training on ``windows`` made-up windows."""
     value = lambda j: F.transform(F.sequence(F.lit(1), F.lit(window)), lambda k: F.hash(k, F.col("id"), F.lit(j)) / F.lit(2.0**31))
-    rows = spark.range(2 * windows).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("label"), F.when(F.col("id") < windows, SPLITS[0]).otherwise(SPLITS[2]).alias("split"), value(0).alias("i"), value(1).alias("q"))
+    rows = spark.range(2 * windows).select(
+        F.lit("r").alias("record_id"),
+        F.col("id").alias("window_ix"),
+        F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("label"),
+        F.when(F.col("id") < windows, SPLITS[0]).otherwise(SPLITS[2]).alias("split"),
+        value(0).alias("i"),
+        value(1).alias("q"),
+    )
     rows = rows.persist()
     rows.count()
+    epochs = 1 if model == CNN else EPOCHS
     began = time.monotonic()
-    accuracy(train_and_evaluate(rows, iterations=EPOCHS))
+    trained(rows, epochs=epochs, model=model)
     rows.unpersist()
-    return (time.monotonic() - began) / (windows * EPOCHS)
+    return (time.monotonic() - began) / (windows * epochs)
+
+
+class ShiftError(ValueError):
+    """A split whose test holds values that train lacks: it would measure a shift, not leakage."""
 
 
 def run_grid(
@@ -103,12 +127,15 @@ def run_grid(
     on_run: Callable[[dict], None] | None = None,
     done: Collection[tuple[str, int, int]] = (),
     balanced: bool = False,
+    epochs: int = EPOCHS,
+    model: str = CNN,
 ) -> DataFrame:
-    """Runs of both arms over one table of windows: (strategy, split_seed, train_seed, test_accuracy, train_windows, test_windows).
+    """Runs of both arms over one table of windows: (strategy, split_seed, train_seed, test_accuracy, train_accuracy, train_windows, test_windows).
 
     ``windows``: record_id, window_ix, label, i, q. ``records``: record_id, label (the dominant one), and unit and
     balance_group where recordings are grouped or balanced. The arms are two assignments of the same windows; nothing
     is built twice. ``on_run`` gets each finished run; those of ``done`` (strategy, split seed, training seed) aren't made.
+    A balanced split whose test has values that train lacks raises before anything is trained.
     """
     spark, runs = windows.sparkSession, []
     if "unit" not in records.columns:
@@ -117,7 +144,12 @@ def run_grid(
         todo = {a: [t for t in train_seeds if (a, s, t) not in done] for a in ARMS}
         if not any(todo.values()):
             continue
-        plan = assign_splits(records, ratios, s, balanced).select(F.col("record_id").alias("_r"), "split")
+        dealt_records = assign_splits(records, ratios, s, balanced)
+        if balanced:
+            unseen = unseen_groups(dealt_records, "balance_group").where(F.col("split") == SPLITS[2])
+            if lost := [r.balance_group for r in unseen.orderBy("balance_group").limit(4).collect()]:
+                raise ShiftError(f"split seed {s}: test has balance values that train lacks, {', '.join(lost)} first; change the ratios or the recordings")
+        plan = dealt_records.select(F.col("record_id").alias("_r"), "split")
         honest = windows.join(plan, F.col("record_id") == F.col("_r")).drop("_r")
         dealt = window_level_deal(honest.select("record_id", "window_ix", "label", "split"), s)
         leaky = windows.join(dealt.select("record_id", "window_ix", "split"), ["record_id", "window_ix"])
@@ -126,10 +158,11 @@ def run_grid(
                 continue
             sizes = {r.split: r["count"] for r in rows.groupBy("split").count().collect()}
             for t in todo[strategy]:
-                run = {"strategy": strategy, "split_seed": s, "train_seed": t, "test_accuracy": accuracy(train_and_evaluate(rows, t, EPOCHS))}
+                test, train = trained(rows, t, epochs, model)
+                run = {"strategy": strategy, "split_seed": s, "train_seed": t, "test_accuracy": test, "train_accuracy": train}
                 run |= {"train_windows": sizes.get(SPLITS[0], 0), "test_windows": sizes.get(SPLITS[2], 0)}
                 runs.append(run)
                 if on_run:
                     on_run(run)
-    schema = "strategy string, split_seed int, train_seed int, test_accuracy double, train_windows long, test_windows long"
+    schema = "strategy string, split_seed int, train_seed int, test_accuracy double, train_accuracy double, train_windows long, test_windows long"
     return spark.createDataFrame([tuple(r.values()) for r in runs], schema)

@@ -131,6 +131,24 @@ def frame_segments(recordings: DataFrame, offsets: DataFrame, length: int, lead:
     return out.where(F.col("count") >= least)
 
 
+def add_noise_to_windows(windows: DataFrame, snr_db: float, seed: int, power: str = "power") -> DataFrame:
+    """``windows`` (record_id, start, i, q and each recording's mean ``power``) with the noise that :func:`add_noise` gives their samples.
+
+    A sample's noise follows from (seed, record, place in the recording), so windows that overlap share it.
+    """
+    sigma = F.sqrt(F.col(power) / (2 * 10 ** (snr_db / 10)))
+
+    def part(which: str) -> Column:
+        def one(x: Column, k: Column) -> Column:
+            uniform = lambda j: (F.pmod(F.xxhash64(F.lit(seed), F.lit(j), F.col("record_id"), F.col("start") + k), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+            angle = uniform(1) * (2 * math.pi)
+            return (x + sigma * F.sqrt(-2 * F.log(uniform(0))) * (F.cos(angle) if which == "i" else F.sin(angle))).cast("float")
+
+        return F.transform(which, one)
+
+    return windows.withColumns({c: part(c) for c in ("i", "q")}).drop(power)
+
+
 def add_noise(samples: DataFrame, snr_db: float, seed: int) -> DataFrame:
     """``samples`` (record_id, ord, i, q) with white noise at ``snr_db`` below each recording's mean power.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill.functions import columns
-from wavemill.operators import labels, split, stats, sweep, windows
+from wavemill.operators import labels, signal, split, stats, sweep, windows
 from wavemill.sources import dataset, shards, sigmf, tables
 
 
@@ -148,10 +148,11 @@ def metadata_warnings(recordings: DataFrame, c: BuildConfig) -> list[str]:
     return out
 
 
-def window_table(p: Plan, c: BuildConfig, items: bool = False) -> DataFrame:
+def window_table(p: Plan, c: BuildConfig, items: bool = False, snr_db: float | None = None, powers: DataFrame | None = None) -> DataFrame:
     """Labelled windows with their samples: the split joins metadata rows, then only these windows are read.
 
-    With ``items`` they are numbered, before they are read.
+    With ``items`` they are numbered, before they are read. With ``snr_db`` noise is added so far below each recording's mean power
+    (``powers``: record_id, power), before anything is normalised.
     """
     wanted = p.labeled.where("label is not null").join(p.records.select("record_id", "split"), "record_id")
     more = ["item"] if items else []
@@ -159,6 +160,8 @@ def window_table(p: Plan, c: BuildConfig, items: bool = False) -> DataFrame:
     paths = p.recordings.select("record_id", "data_path", "datatype")
     rows = wanted.join(paths, "record_id").withColumn("start", F.col("window_ix") * c.stride)
     read = sigmf.read_windows(rows.select("record_id", "window_ix", "start", "label", "split", *more, "data_path", "datatype"), c.window).drop("data_path", "datatype")
+    if snr_db is not None:
+        read = signal.add_noise_to_windows(read.join(powers, "record_id"), snr_db, c.seed)
     return windows.normalize(read) if c.normalize else read
 
 

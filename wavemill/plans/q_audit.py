@@ -196,7 +196,30 @@ def decision(spark: SparkSession, d: str) -> DataFrame:
     found = audit.report([audit.check_disjoint(r), audit.check_shared_timestamp(r, built=False), audit.check_air_time(r)])
     scores = audit.axis_scores(r, REPORT_AXES)
     none = r.where("false").select("record_id")
-    return decide.decide(found, audit.verdict(scores), none, none, none)
+    return decide.decide(found, audit.verdict(scores), none, none, none).drop("forced_past")
+
+
+@query(
+    "decision_cases",
+    """with f as (select o_orderdate folder, max(o_totalprice) < 50000 unreadable, count(*) > count(distinct o_custkey) stamps, bool_or(o_orderpriority = '1-URGENT' and o_orderstatus = 'P') near,
+  count(*) > 1 and min(o_orderstatus) = max(o_orderstatus) and min(o_orderpriority) = '2-HIGH' ceiling, max(o_totalprice) > 420000 leak, bool_or(o_orderstatus = 'P' and o_totalprice < 60000) unheld, count(*) < 4 short,
+  day(o_orderdate) % 2 = 0 grouped, month(o_orderdate) = 12 built, day(o_orderdate) < 15 has_features, count(*) = 1 empty, day(o_orderdate) % 10 = 0 force from orders group by 1),
+c as (select *, case when unreadable then 1 when stamps then 2 when near and not grouped then 3 when ceiling then 4 when leak or unheld then 5 when built and not has_features then null when short then 6 end category from f),
+s as (select *, case when category is not null then 'REFUSED' when built and not has_features or empty then 'INCONCLUSIVE' else 'WOULD MEASURE' end s0,
+  case category when 1 then 'unreadable' when 2 then 'shared timestamp' when 3 then 'near duplicates' when 4 then 'ceiling' when 5 then 'leak the grouping does not hold' when 6 then 'too few units' end reason from c)
+select folder, case when force then 'WOULD MEASURE' else s0 end status, category, reason,
+  case when force and s0 <> 'WOULD MEASURE' then case when category = 4 then 'audit verdict ' || chr(39) || 'ceiling' || chr(39) when category is not null then 'category ' || category || ' ' || chr(39) || reason || chr(39) else 'an INCONCLUSIVE audit' end end forced_past from s""",
+)
+def decision_cases(spark: SparkSession, d: str) -> DataFrame:
+    """A decision for each day of orders, whose orders set the flags, so that every category and every way past it occurs."""
+    p, st, pr, day = F.col("o_totalprice"), F.col("o_orderstatus"), F.col("o_orderpriority"), F.dayofmonth("folder")
+    flags = table(spark, d, "orders").groupBy(F.col("o_orderdate").alias("folder")).agg(
+        (F.max(p) < 50000).alias("unreadable"), (F.count(F.lit(1)) > F.countDistinct("o_custkey")).alias("stamps"), F.max((pr == "1-URGENT") & (st == "P")).alias("near"),
+        ((F.count(F.lit(1)) > 1) & (F.min(st) == F.max(st)) & (F.min(pr) == "2-HIGH")).alias("ceiling"), (F.max(p) > 420000).alias("leak"), F.max((st == "P") & (p < 60000)).alias("unheld"),
+        (F.count(F.lit(1)) < 4).alias("short"), (F.count(F.lit(1)) == 1).alias("empty"),
+    )
+    more = {"grouped": day % 2 == 0, "built": F.month("folder") == 12, "has_features": day < 15, "force": day % 10 == 0}
+    return decide.classify(flags.withColumns(more))
 
 
 @query("predicted_windows", "with w as (select cast(sum(case when n < 3 then 0 else (n - 3) // 2 + 1 end) as bigint) windows from (select count(*) n from lineitem group by l_orderkey)) select windows, cast(round_even(windows * 0.7::double, 0) as bigint) train, cast(round_even(windows * 0.15::double, 0) as bigint) test from w")

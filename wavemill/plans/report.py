@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import textwrap
 from datetime import datetime, timezone
 
@@ -78,29 +79,42 @@ def findings_json(findings: DataFrame, mode: str, source: str, verdict: dict | N
     )
 
 
-def decision_text(decision: DataFrame, forced: bool = False) -> str:
+def decision_text(decision: DataFrame) -> str:
     r = decision.first()
-    head = [f"FORCED PAST category {r.category}"] if forced and r.category else []
+    head = [f"FORCED PAST {r.forced_past}; this is not a clean measurement"] if r.forced_past else []
     return "\n".join(head + [f"{r.status}" + (f" (category {r.category}: {r.reason})" if r.category else "")]) + "\n"
 
 
-def decision_json(decision: DataFrame, forced: bool = False, estimate_s: float | None = None) -> str:
+def decision_json(decision: DataFrame, estimate_s: float | None = None) -> str:
     r = decision.first()
     body = {"tool": "wavemill", "tool_version": __version__, "status": r.status, "category": r.category, "reason": r.reason}
-    return json.dumps(body | {"forced": bool(forced and r.category), "estimated_seconds": estimate_s}, indent=1)
+    return json.dumps(body | {"forced": r.forced_past is not None, "forced_past": r.forced_past, "estimated_seconds": estimate_s}, indent=1)
 
 
 def _pp(x: float | None) -> str:
     return "(not estimated)" if x is None else f"{100 * x:.1f}"
 
 
+def _arms(r) -> str:
+    se = f" ± {_pp(r.se)}" if r.se is not None else " (not estimated)"
+    return f"{_pp(r.recording_mean)} % | {_pp(r.window_mean)} % | {100 * r.inflation:+.1f}{se} | {r.n} |"
+
+
 def inflation_table(stats: DataFrame, cell: str) -> str:
     """Markdown: a row for each cell, largest first; one pair has no spread."""
     rows = stats.orderBy(stats[cell].desc()).collect()
     out = [f"| {cell} | recording-level | window-level | inflation (pp) | n |", "|---|---|---|---|---|"]
+    return "\n".join(out + [f"| {r[cell]:g} | {_arms(r)}" for r in rows]) + "\n"
+
+
+def snr_table(stats: DataFrame, gain_db: float | None = None) -> str:
+    """Markdown: a row for each ``snr_db``, recordings as they are (infinite) first; in-band is higher by the processing gain, where it is known."""
+    rows = sorted(stats.collect(), key=lambda r: -r.snr_db)
+    out = ["| wideband SNR | in-band SNR | recording-level | window-level | inflation (pp) | n |", "|---|---|---|---|---|---|"]
     for r in rows:
-        se = f" ± {_pp(r.se)}" if r.se is not None else " (not estimated)"
-        out.append(f"| {r[cell]:g} | {_pp(r.recording_mean)} % | {_pp(r.window_mean)} % | {100 * r.inflation:+.1f}{se} | {r.n} |")
+        raw = math.isinf(r.snr_db)
+        wide, inband = "raw" if raw else f"{r.snr_db:+.0f} dB", "-" if raw or gain_db is None else f"{r.snr_db + gain_db:+.1f} dB"
+        out.append(f"| {wide} | {inband} | {_arms(r)}")
     return "\n".join(out) + "\n"
 
 
