@@ -9,7 +9,7 @@ from collections.abc import Callable, Collection, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill.operators import convnet
+from wavemill.operators import convnet, order
 from wavemill.operators.decide import EPOCHS
 from wavemill.operators.split import SPLITS, assign_splits, unseen_groups, window_level_deal
 from wavemill.operators.stats import per_class_accuracy
@@ -144,7 +144,7 @@ def run_grid(
         todo = {a: [t for t in train_seeds if (a, s, t) not in done] for a in ARMS}
         if not any(todo.values()):
             continue
-        dealt_records = assign_splits(records, ratios, s, balanced)
+        dealt_records = order.settle(assign_splits(records, ratios, s, balanced))  # a row for each recording
         if balanced:
             unseen = unseen_groups(dealt_records, "balance_group").where(F.col("split") == SPLITS[2])
             if lost := [r.balance_group for r in unseen.orderBy("balance_group").limit(4).collect()]:
@@ -152,7 +152,8 @@ def run_grid(
         plan = dealt_records.select(F.col("record_id").alias("_r"), "split")
         honest = windows.join(plan, F.col("record_id") == F.col("_r")).drop("_r")
         dealt = window_level_deal(honest.select("record_id", "window_ix", "label", "split"), s)
-        leaky = windows.join(dealt.select("record_id", "window_ix", "split"), ["record_id", "window_ix"])
+        dealt = order.settle(dealt.select("record_id", "window_ix", "split"))  # each training reads it
+        leaky = windows.join(dealt, ["record_id", "window_ix"])
         for strategy, rows in zip(ARMS, (honest, leaky)):
             if not todo[strategy]:
                 continue

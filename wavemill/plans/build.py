@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill.functions import columns
-from wavemill.operators import labels, signal, split, stats, sweep, windows
+from wavemill.operators import labels, order, signal, split, stats, sweep, windows
 from wavemill.sources import dataset, shards, sigmf, tables
 
 
@@ -123,7 +123,7 @@ def plan(spark: SparkSession, recordings: DataFrame, c: BuildConfig) -> Plan:
     else:
         records = records.withColumn("balance_group", F.lit(None).cast("string"))
     records = records.select("record_id", "label", "windows", "unit", "balance_group", "carrier_offset_hz")
-    records = split.assign_splits(records, c.ratios, c.seed, balanced=bool(c.balance_by))
+    records = order.settle(split.assign_splits(records, c.ratios, c.seed, balanced=bool(c.balance_by)))  # a narrow row for each recording, read by all that follows
     if c.group_by and (w := split.grouping_warnings(records).first().warning):
         warnings.append(w)
     if c.balance_by:
