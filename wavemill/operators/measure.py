@@ -26,19 +26,6 @@ def environment(spark: SparkSession) -> dict[str, str]:
     return {"python": platform.python_version(), "spark": spark.version, "numpy": numpy.__version__}
 
 
-def cross_similarity(a: DataFrame, b: DataFrame, vector: str, twin: float = 0.999) -> DataFrame:
-    """One row: largest and mean absolute cosine of all pairs of ``a`` and ``b``, and how many are above ``twin``.
-
-    A look at contents, not a leak test. Every pair is compared and reduced at once, so the cost is the product
-    of both sizes: ``a`` is meant to be an evaluation split of stated size.
-    """
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
-    ua = a.select(F.transform(vector, lambda x: x / norm(F.col(vector))).alias("x"))
-    ub = b.select(F.transform(vector, lambda x: x / norm(F.col(vector))).alias("y"))
-    dot = F.abs(F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v))
-    return ua.crossJoin(ub).select(dot.alias("s")).agg(F.max("s").alias("top"), F.avg("s").alias("mean"), F.count_if(F.col("s") > twin).alias("twins"))
-
-
 def window_features(windows: DataFrame) -> DataFrame:
     """``windows`` with ``features``: moments of magnitude and of phase steps, which a bounded linear model can use."""
     from pyspark.ml.functions import array_to_vector

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavemill.functions.columns import pool_bucket, power_db
+from wavemill.operators.selection import exact_percentiles
 
 BLOCK = 1024
 #: Below this span of block powers (dB) all of a recording counts as active; above it, what is this share of the span above the lowest.
@@ -88,9 +89,8 @@ def pool(rows: DataFrame, m: int, how: str = "max", value: str = "value", row: s
 
 
 def percentile_clip(rows: DataFrame, value: str = "value", low: float = 0.05, high: float = 0.99) -> DataFrame:
-    """One row: the exact percentiles between which values are shown."""
-    p = rows.agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("p"))
-    return p.select(F.get("p", F.lit(0)).alias("low"), F.get("p", F.lit(1)).alias("high"))
+    """One row: the exact percentiles between which values are shown; see :mod:`wavemill.operators.selection`."""
+    return rows.sparkSession.createDataFrame([tuple(exact_percentiles(rows, value, (low, high)))], "low double, high double")
 
 
 def half_power_edges(spectrum: DataFrame, ids: tuple[str, ...] = ("record_id",)) -> DataFrame:

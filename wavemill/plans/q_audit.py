@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill.operators import audit, decide, measure
+from wavemill.operators import audit, decide, measure, similarity
 from wavemill.plans.catalogue import query, table
 from wavemill.plans.standin import ORDER_UNITS, RATIOS, SEED, SPANS, order_split, seconds, spans, split_sql, vectors
 
@@ -117,16 +117,30 @@ def fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return audit.fingerprint(p.select(path.alias("path"), F.col("p_size").alias("size")))
 
 
+SIMILAR = """n as (select vec_id, list_transform(embedding, lambda x: x::double) e from embeddings),
+u as (select vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) e from n),
+s as (select a.vec_id id, b.vec_id other, round(abs(list_inner_product(a.e, b.e)), 9) s from u a join u b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id)"""
+
+
+def _similar(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors whose id is divisible by 100 against all."""
+    e = table(spark, d, "embeddings")
+    return similarity.similarities(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding")
+
+
+@query("twin_similarity", f"with {SIMILAR} select round(max(s), 6) top, round(avg(s), 6) mean, count(*) filter (where s > 0.999) twins from s")
+def twin_similarity(spark: SparkSession, d: str) -> DataFrame:
+    return similarity.summary(_similar(spark, d)).select(F.round("top", 6).alias("top"), F.round("mean", 6).alias("mean"), "twins")
+
+
 @query(
-    "twin_similarity",
-    """with n as (select vec_id, list_transform(embedding, lambda x: x::double) e from embeddings),
-u as (select vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) e from n)
-select round(max(s), 6) top, round(avg(s), 6) mean, count(*) filter (where s > 0.999) twins from (select abs(list_sum(list_transform(range(1, 65), lambda k: a.e[k] * b.e[k]))) s from u a, u b where a.vec_id % 10 = 0 and b.vec_id % 10 <> 0)""",
+    "nearest_similarity",
+    f"""with {SIMILAR}, h as (select id, list(c order by k) histogram from (select q.id, k, count(s.id) c from (select distinct id from s) q cross join (select unnest(range(0, 20)) k) left join s on s.id = q.id and least(cast(floor(s * 20) as bigint), 19) = k group by 1, 2) group by 1)
+select id, arg_min(other, (-s, other)) nearest, round(max(s), 6) top, round(avg(s), 6) mean, count(*) pairs, count(*) filter (where s > 0.999) twins, array_to_string(any_value(histogram), ',') histogram from s join h using (id) group by 1""",
 )
-def twin_similarity(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    out = measure.cross_similarity(e.where("vec_id % 10 = 0"), e.where("vec_id % 10 <> 0"), "e")
-    return out.select(F.round("top", 6).alias("top"), F.round("mean", 6).alias("mean"), "twins")
+def nearest_similarity(spark: SparkSession, d: str) -> DataFrame:
+    bars = F.array_join(F.transform("histogram", lambda x: x.cast("string")), ",").alias("histogram")
+    return _similar(spark, d).select("id", "nearest", F.round("top", 6).alias("top"), F.round("mean", 6).alias("mean"), "pairs", "twins", bars)
 
 
 @query(
