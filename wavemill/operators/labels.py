@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.functions.columns import dirname_at
+from wavemill.functions.columns import dirname_at, number_key
 
 #: Labels that mark a reference signal, not a class, unless a list is given, which replaces it.
 DEFAULT_EXCLUDED = ("ref_tone",)
@@ -91,11 +91,18 @@ def annotation_survey(annotations: DataFrame, top: int = 3) -> DataFrame:
     return annotations.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("label")).limit(top)
 
 
-def text_field_survey(annotations: DataFrame, skip: Sequence[str], top: int = 3) -> DataFrame:
-    """Of the raw fields that hold text: how often each is set, and an example; numbers and ``skip`` are left out."""
-    fields = annotations.select(F.explode(F.map_entries("raw")).alias("e")).select(F.col("e.key").alias("field"), F.trim("e.value").alias("value"))
-    text = fields.where((F.length("value") > 0) & ~F.col("field").isin(*skip) & F.expr("try_cast(value as double) is null"))
-    return text.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("example")).orderBy(F.desc("n"), "field").limit(top)
+def text_field_survey(annotations: DataFrame, skip: Sequence[str] = (), top: int = 3) -> DataFrame:
+    """Of the fields that hold text in ``annotations`` (raw, typed): how often each does, and an example; blank text, other types and ``skip`` are left out."""
+    keys = annotations.select("typed", F.explode(F.map_keys("raw")).alias("field"))
+    keys = keys.where(~F.col("field").isin(*skip)) if skip else keys
+    value = F.try_variant_get("typed", _path(F.col("field")), "variant")
+    text = keys.select("field", value.alias("v")).where(F.schema_of_variant("v") == "STRING").select("field", F.trim(F.try_variant_get("v", "$", "string")).alias("value"))
+    return text.where(F.length("value") > 0).groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("example")).orderBy(F.desc("n"), "field").limit(top)
+
+
+def _path(*keys: Column) -> Column:
+    """The path of a key within a key ... of an object, whatever characters they have but a quotation mark."""
+    return F.concat(F.lit("$"), *[F.concat(F.lit('["'), k, F.lit('"]')) for k in keys])
 
 
 # -- directory names
@@ -210,8 +217,14 @@ def labelling_annotation(annotations: Column | str, dominant: Column | str, excl
     return F.when(F.size(same) > 0, F.get(same, F.lit(0))).when(F.size(rest) == 1, F.get(rest, F.lit(0)))
 
 
-def field_value(annotation_raw: Column | str, global_raw: Column | str, field: str) -> Column:
-    """A field of the annotation if it has the key at all, else of the recording."""
-    a = F.col(annotation_raw) if isinstance(annotation_raw, str) else annotation_raw
-    g = F.col(global_raw) if isinstance(global_raw, str) else global_raw
-    return F.when(F.coalesce(F.map_contains_key(a, field), F.lit(False)), a[field]).otherwise(g[field])
+def field_value(annotation: Column, global_raw: Column, global_typed: Column, field: str) -> Column:
+    """A field, as a variant, of ``annotation`` (raw, typed) if it has the key at all, else of the recording; ``key/inner`` goes into objects."""
+    path = "$" + "".join(f'["{k}"]' for k in field.split("/"))
+    has = F.coalesce(F.map_contains_key(annotation["raw"], field.split("/")[0]), F.lit(False))
+    return F.try_variant_get(F.when(has, annotation["typed"]).otherwise(global_typed), path, "variant")
+
+
+def balance_key(value: Column) -> Column:
+    """The group that a variant stands for: a number by its value, anything else by its text; ``(none)`` where there is nothing."""
+    number = F.when(~F.schema_of_variant(value).isin("STRING", "BOOLEAN"), F.try_variant_get(value, "$", "double"))
+    return F.when(number.isNotNull(), number_key(number)).otherwise(F.coalesce(F.try_variant_get(value, "$", "string"), F.lit("(none)")))

@@ -117,9 +117,8 @@ def plan(spark: SparkSession, recordings: DataFrame, c: BuildConfig) -> Plan:
     offset = columns.carrier_offset(F.col("_a.freq_lower_edge"), F.col("_a.freq_upper_edge"), F.col("center_frequency"))
     records = records.withColumn("carrier_offset_hz", offset)
     if c.balance_by:
-        raw = labels.field_value("_a.raw", "global_raw", c.balance_by)
-        as_number = raw.try_cast("double")
-        records = records.withColumn("balance_group", F.when(as_number.isNotNull(), columns.number_key(as_number)).otherwise(F.coalesce(raw, F.lit("(none)"))))
+        value = labels.field_value(F.col("_a"), F.col("global_raw"), F.col("global_typed"), c.balance_by)
+        records = records.withColumn("_v", value).withColumn("balance_group", labels.balance_key(F.col("_v")))
     else:
         records = records.withColumn("balance_group", F.lit(None).cast("string"))
     records = records.select("record_id", "label", "windows", "unit", "balance_group", "carrier_offset_hz")
@@ -174,7 +173,9 @@ def build(spark: SparkSession, root: str, out: str, c: BuildConfig, files: str =
     kept = [r.asDict() for r in p.records.orderBy("record_id").collect()]  # a row for each recording: the manifest lists them
     if not kept:
         survey = labels.annotation_survey(sigmf.annotations_of(recordings)).collect()
-        raise BuildError("no labelled windows; annotation labels: " + (", ".join(f"{r.label} ({r.n})" for r in survey) or "none"))
+        text = labels.text_field_survey(sigmf.annotations_of(recordings), ("core:label",)).collect()
+        told = ", ".join(f"{r.label} ({r.n})" for r in survey) or "none"
+        raise BuildError(f"no labelled windows; annotation labels: {told}" + (f"; other fields with text: {', '.join(f'{r.field} ({r.n}, {r.example!r})' for r in text)}" if text else ""))
     names = {r["label"]: r["index"] for r in stats.label_map(p.labeled).collect()}
     rows = windows.represent(window_table(p, c, items=True), c.representation)
     records = {s: [{"id": r["record_id"], "label": r["label"], "windows": r["windows"], "carrier_offset_hz": r["carrier_offset_hz"], "balance_group": r["balance_group"], "group": r["unit"]} for r in kept if r["split"] == s] for s in split.SPLITS}

@@ -253,3 +253,31 @@ def carrier_offset(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(
         "p_partkey", F.round(columns.carrier_offset(F.col("p_retailprice"), F.col("p_retailprice") + F.col("p_size"), F.lit(1000)), 6).alias("offset_hz")
     )
+
+
+@query(
+    "text_survey",
+    """select field, n, example from (select 'c_name' field, count(*) n, min(trim(c_name)) example from customer where trim(c_name) <> '' union all select 'c_mktsegment', count(*), min(trim(c_mktsegment)) from customer where trim(c_mktsegment) <> '')""",
+)
+def text_survey(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as annotations: names and segments are text, balances and keys are numbers, an object is neither."""
+    c = table(spark, d, "customer")
+    body = F.to_json(F.struct("c_name", "c_mktsegment", "c_acctbal", "c_custkey", F.struct(F.col("c_name").alias("inner")).alias("nested"), F.lit("skipped").alias("note")))
+    rows = c.select(F.from_json(body, "map<string,string>").alias("raw"), F.parse_json(body).alias("typed"))
+    return labels.text_field_survey(rows, ("note",), top=9)
+
+
+@query(
+    "nested_balance",
+    """select c_custkey record_id, case when c_nationkey % 3 = 0 then '(none)' when c_nationkey % 3 = 1 then c_mktsegment else cast(cast(c_nationkey as bigint) as varchar) end balance_group from customer""",
+)
+def nested_balance(spark: SparkSession, d: str) -> DataFrame:
+    """A key within an object: missing, text, or text that looks like a number."""
+    c = table(spark, d, "customer")
+    n = F.col("c_nationkey") % 3
+    value = F.when(n == 1, F.col("c_mktsegment")).when(n == 2, F.col("c_nationkey").cast("bigint").cast("string"))
+    body = F.to_json(F.struct(F.struct(value.alias("group")).alias("site:place")))
+    a = F.struct(F.from_json(body, "map<string,string>").alias("raw"), F.parse_json(body).alias("typed"))
+    found = labels.field_value(F.col("a"), F.col("g"), F.parse_json(F.lit("{}")), "site:place/group")
+    rows = c.select(F.col("c_custkey").alias("record_id"), a.alias("a"), F.lit(None).cast("map<string,string>").alias("g")).withColumn("v", found)
+    return rows.select("record_id", labels.balance_key(F.col("v")).alias("balance_group"))

@@ -26,6 +26,7 @@ META, DATA = ".sigmf-meta", ".sigmf-data"
 DATATYPES = {"cf32_le": ("<f4", 1.0), "ci16_le": ("<i2", 32768.0), "ci8": ("i1", 128.0)}
 #: Bytes of samples that a task reads, and that are held at once.
 TASK_BYTES, BATCH_BYTES = 128 << 20, 16 << 20
+_TYPED = "struct<global:variant,annotations:array<variant>>"
 _TREE = "struct<global:map<string,string>,captures:array<map<string,string>>,annotations:array<map<string,string>>>"
 
 
@@ -46,7 +47,9 @@ def scan(spark: SparkSession, root: str, strict: bool = True) -> DataFrame:
     """All recordings below ``root`` (or the one pair that it names, with or without suffix), sorted annotations nested in each.
 
     Columns: record_id (path below root, without suffix), path, data_path, datatype, sample_rate,
-    center_frequency, num_samples, declared_version, capture_time, collection, global_raw, annotations, error.
+    center_frequency, num_samples, declared_version, capture_time, collection, global_raw, global_typed, annotations, error.
+    ``raw`` and ``global_raw`` are maps of text; ``typed`` and ``global_typed`` are the same objects as variants, which keep
+    types and nesting.
     With ``strict`` an unreadable recording raises while the plan runs; else ``error`` says why.
     """
     single = re.sub(r"\.sigmf-(meta|data)$", "", root)
@@ -55,7 +58,7 @@ def scan(spark: SparkSession, root: str, strict: bool = True) -> DataFrame:
     files = spark.read.format("binaryFile")
     files = files.load(single + DATA) if one else files.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{DATA}").load(root)
     stem = lambda c, s: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "%20", " "), "^file:/+", "/"), re.escape(s) + "$", "")
-    m = metas.select(stem(F.col("_metadata.file_path"), META).alias("stem"), F.col("_metadata.file_path").alias("path"), F.from_json("value", _TREE).alias("t"))
+    m = metas.select(stem(F.col("_metadata.file_path"), META).alias("stem"), F.col("_metadata.file_path").alias("path"), F.from_json("value", _TREE).alias("t"), F.from_json("value", _TYPED).alias("v"))
     d = files.select(stem(F.col("path"), DATA).alias("_stem"), F.col("path").alias("data_path"), F.col("length").alias("bytes"))
     j = m.join(d, F.col("stem") == F.col("_stem"), "left")
     base = re.sub(r"^file:/+", "/", (single.rsplit("/", 1)[0] if one else root).rstrip("/")) + "/"
@@ -72,7 +75,7 @@ def scan(spark: SparkSession, root: str, strict: bool = True) -> DataFrame:
         .when(F.col("bytes") % size != 0, "data size is not a whole number of samples")
     )
     number = lambda e, k, t: e[k].try_cast(t)
-    annotation = lambda a: F.struct(
+    annotation = lambda a, i: F.struct(
         number(a, "core:sample_start", "long").alias("sample_start"),
         F.coalesce(number(a, "core:sample_count", "long"), F.lit(0)).cast("long").alias("sample_count"),
         a["core:label"].alias("label"),
@@ -80,6 +83,7 @@ def scan(spark: SparkSession, root: str, strict: bool = True) -> DataFrame:
         number(a, "core:freq_upper_edge", "double").alias("freq_upper_edge"),
         F.coalesce(a["core:description"], a["core:comment"]).alias("description"),
         a.alias("raw"),
+        F.get("v.annotations", i).alias("typed"),
     )
     bare = F.transform(F.coalesce("t.annotations", F.array().cast("array<map<string,string>>")), annotation)
     # Maps don't compare, so the order goes by the numbers and each annotation's place.
@@ -98,6 +102,7 @@ def scan(spark: SparkSession, root: str, strict: bool = True) -> DataFrame:
         F.expr("try_to_timestamp(coalesce(get(t.captures, 0)['core:datetime'], t.global['core:datetime']))").alias("capture_time"),
         g["core:collection"].alias("collection"),
         g.alias("global_raw"),
+        F.col("v.global").alias("global_typed"),
         F.transform("_keys", lambda k: F.get("_bare", k["i"])).alias("annotations"),
         error.alias("error"),
     )
