@@ -1,22 +1,25 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine on a block-max index, weighted votes.
-
-Terms are words and their first letters (so that compounds of a known stem count). Fitting takes a
-bounded sample of labelled rows, ``EXAMPLES`` of each label at most, those with the smallest hash of
-their id; it keeps the terms whose log-odds for label 1 are surely above ``LEAST_ODDS``, ``TERMS`` at
-most. Examples that have such terms make up the index; examples without any give the rate of label 1
-among texts without terms. A text's score is the vote of its nearest examples, each weighted by its
-cosine squared and by how many labelled rows it stands for, drawn towards the base rate where the
-nearest are far; the evidence is those examples and the terms shared.
-
-Everything but fitting reads every text whole; no text is shuffled. Only the text is an input of a
-score. Defined results: a null, empty or termless text gets the rate above; rows that repeat an id are
-scored each; labels that contradict each other count as 1; labels without a document, or null ones, are
-ignored; without labels of both kinds the score is the base rate; further columns are ignored.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine on a block-max index, weighted votes, calibrated.
+
+Terms are words and their first letters (so that compounds of a known stem count). Fitting takes a bounded sample
+of labelled rows, ``EXAMPLES`` of each label at most, those with the smallest hash of their id, and indexes all terms
+of their whole texts: none is cut. A term's weight is its rarity times ``FLOOR`` plus the square of how far label 1 is
+commoner among rows with the term than among all, a share drawn towards all rows' by ``SHRINK`` rows. A text's
+vote is that of its nearest examples, each weighted by its cosine squared and by how many labelled rows it stands
+for, drawn towards the base rate where the nearest are far. Votes become scores by a rising logistic line, fitted by
+cross-fitting: every example's vote comes from examples, counts and weights of the other ``PARTS - 1`` parts. The
+evidence is the nearest examples and the terms shared.
+
+Everything but fitting reads every text whole; no text is shuffled. Only the text is an input of a score. The driver and
+each worker hold the sampled rows' terms, whose number EXAMPLES bounds. Defined results: a null, empty or termless text,
+or one whose terms no example has, gets the rate of label 1 among examples without terms, drawn to the base rate; of
+equally near examples the one with the smaller place in the index counts, places following heaviest term, label and id;
+of rows that share a labelled id, fitting takes the one whose text has the smallest hash (so a repeated id adds
+no examples), scoring scores each; labels that contradict each other count as 1; labels without a document, or null ones,
+are ignored; without labels of both kinds the score is the base rate; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import uuid
 from collections import Counter
@@ -34,13 +37,15 @@ from wavemill.llm.blockmax import BlockMaxIndex
 from wavemill.llm.shared import bounded_batches, held_in_worker, require_columns, settle
 
 #: Labelled rows of each label that fitting takes at most: it bounds the index and what is broadcast.
-EXAMPLES = 6000
+EXAMPLES = 3000
 #: Labelled rows in a part while fitting.
 ROWS_A_PART = 1000
-#: Terms kept at most, and the least lower bound of their log-odds.
-TERMS, LEAST_ODDS = 30_000, 1.5
-#: Rows of label 1 that a term must be in.
-LEAST_ROWS = 3
+#: Weight of a term that says nothing of the label, beside one that only rows of label 1 have.
+FLOOR = 0.02
+#: Rows of the base rate that a term's share of label 1 is drawn towards.
+SHRINK = 10
+#: Parts of the examples for cross-fitting.
+PARTS = 4
 NEIGHBOURS = 15
 #: Nearest examples that are shown with a score.
 EVIDENCE = 3
@@ -50,7 +55,7 @@ PREFIXES = (4, 5, 6)
 FOLDS, HELD_OUT = 5, 0
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words whose terms a worker remembers.
-_REMEMBERED = 150_000
+_REMEMBERED = 60_000
 
 
 def fold(doc_id: Column) -> Column:
@@ -66,16 +71,26 @@ def _known_words(model: str) -> dict[str, tuple[int, ...]]:
     return {}
 
 
+def _bag(text: str | None) -> Counter:
+    """Terms of a text and how often they occur."""
+    count: Counter = Counter()
+    for word, n in Counter(_WORD.findall(text.lower()) if text else ()).items():
+        for t in terms_of(word):
+            count[t] += n
+    return count
+
+
 @dataclass
 class Model:
-    """What scoring needs: bounded by EXAMPLES and TERMS."""
+    """What scoring needs: the terms and vectors of the sampled rows."""
 
     terms: dict[str, int]
-    rarity: np.ndarray
+    weight: np.ndarray
     examples: list[tuple[object, int, np.ndarray, np.ndarray]]  # id, label, terms, weights of unit length
     votes: tuple[float, float]  # labelled rows that an example of label 0 and of label 1 stands for
     base: float
     termless: float
+    line: tuple[float, float] = (1.0, 0.0)  # slope and height of the score's log-odds over those of the vote
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     @cached_property
@@ -110,27 +125,26 @@ class Model:
         if not count:
             return np.zeros(0, np.int64), np.zeros(0)
         at = np.array(sorted(count), np.int64)
-        weight = (1 + np.log([count[i] for i in at.tolist()])) * self.rarity[at]
+        weight = (1 + np.log([count[i] for i in at.tolist()])) * self.weight[at]
         return at, weight / np.sqrt((weight**2).sum())
 
-    def nearest(self, text: str | None, k: int = NEIGHBOURS, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        at, weight = self.vector(text)
-        best, cosine = self.index.top(at, weight, k + (skip is not None))
-        if skip is not None:
-            keep = best != skip
-            best, cosine = best[keep][:k], cosine[keep][:k]
-        return best, cosine
+    def nearest(self, text: str | None, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        return self.index.top(*self.vector(text), k)
 
     def score(self, text: str | None) -> float:
         return self.vote(*self.nearest(text))
 
     def vote(self, best: np.ndarray, cosine: np.ndarray) -> float:
         """Score by the nearest examples and their cosines."""
-        if not len(best):
-            return self.termless
+        return self.calibrated(self.raw_vote(best, cosine)) if len(best) else self.termless
+
+    def raw_vote(self, best: np.ndarray, cosine: np.ndarray) -> float:
         y = self.labels[best]
         vote = cosine**2 * np.where(y > 0, self.votes[1], self.votes[0])
-        return float(min(1.0, max(0.0, ((vote * y).sum() + DRAW * self.base) / (vote.sum() + DRAW))))
+        return float(((vote * y).sum() + DRAW * self.base) / (vote.sum() + DRAW))
+
+    def calibrated(self, vote: float) -> float:
+        return float(1 / (1 + np.exp(-self.line[0] * _log_odds(vote) - self.line[1])))
 
     def evidence(self, text: str | None, k: int = 3) -> list[tuple[object, int, float, list[str]]]:
         """Nearest examples: id, label, cosine, shared terms."""
@@ -140,6 +154,64 @@ class Model:
         return [(self.examples[i][0], self.examples[i][1], float(c), sorted(names[t] for t in self.examples[i][2].tolist() if t in own)) for i, c in zip(best.tolist(), cosine)]
 
 
+def _log_odds(p):
+    p = np.clip(p, 1e-9, 1 - 1e-9)
+    return np.log(p) - np.log1p(-p)
+
+
+def rising_line(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    """Slope and height of the logistic line from a vote's log-odds to those of label 1, by Newton steps; (1, 0) if it doesn't rise."""
+    x = np.stack([_log_odds(votes), np.ones(len(votes))], axis=1)
+    many = weights[labels > 0].sum(), weights[labels <= 0].sum()
+    aim = np.where(labels > 0, (many[0] + 1) / (many[0] + 2), 1 / (many[1] + 2))
+    line = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ line, -40, 40)))
+        pull = x.T @ (weights * (aim - p)) - 1e-3 * (line - [1.0, 0.0])
+        step = np.linalg.solve((x * (weights * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), pull)
+        line = line + step * min(1.0, 2 / max(np.abs(step).max(), 1e-12))
+        if np.abs(step).max() < 1e-10:
+            break
+    return (float(line[0]), float(line[1])) if line[0] > 0 else (1.0, 0.0)
+
+
+@dataclass
+class Draft:
+    """Counts of terms by part, and the examples' terms, from which models with or without a part follow."""
+
+    terms: dict[str, int]
+    counts: tuple[np.ndarray, np.ndarray]  # rows of label 0 and of label 1 that hold a term, by term and part
+    sizes: tuple[np.ndarray, np.ndarray]  # rows of either label, by part
+    examples: list[tuple[object, int, int, np.ndarray, np.ndarray]]  # id, label, part, terms, 1 + log of occurrences
+    votes: tuple[float, float]
+    base: float
+
+    def model(self, without: int | None = None) -> Model:
+        parts = [i for i in range(PARTS) if i != without]
+        n0, n1 = (c[:, parts].sum(axis=1) for c in self.counts)
+        h0, h1 = (max(int(h[parts].sum()), 1) for h in self.sizes)
+        p = self.base
+        standing = n0 * self.votes[0], n1 * self.votes[1]
+        rarity = np.log1p((h0 * self.votes[0] + h1 * self.votes[1]) / np.maximum(standing[0] + standing[1], 1))
+        one, other = p * n1 / h1, (1 - p) * n0 / h0
+        share = np.divide(one, one + other, out=np.full(len(n0), p), where=one + other > 0)
+        share = ((n0 + n1) * share + SHRINK * p) / (n0 + n1 + SHRINK)
+        weight = rarity * (FLOOR + (np.maximum(share - p, 0) / (1 - p)) ** 2)
+        held, bare = [], [0, 0]
+        for i, y, part, at, often in self.examples:
+            if part == without:
+                continue
+            if not len(at):
+                bare[y] += 1
+                continue
+            w = often * weight[at]
+            held.append((i, y, at, (w / np.sqrt((w**2).sum())).astype(np.float32)))
+        termless = (bare[1] * self.votes[1] + 0.5 * p) / (bare[0] * self.votes[0] + bare[1] * self.votes[1] + 0.5)
+        # Examples with the same heaviest term lie in the same blocks, which keeps block bounds tight.
+        held.sort(key=lambda x: (int(x[2][np.argmax(x[3])]), x[1], str(x[0])))
+        return Model(self.terms, weight, held, self.votes, p, termless)
+
+
 def _sample(labels: DataFrame, label: int, n: int) -> list:
     rows = labels.where(F.col("y") == label).orderBy(F.xxhash64("id"), "id").limit(n)
     return [r.id for r in rows.select("id").collect()]
@@ -170,58 +242,80 @@ def fit(
         return Model({}, np.zeros(0), [], (1.0, 1.0), base, base)
     picked = [(i, y) for y in (0, 1) for i in _sample(rows, y, examples)]
     ids = spark.createDataFrame(picked, f"id {docs.schema[id_col].dataType.simpleString()}, y int")
-    # At most two times ``examples`` ids: broadcast, so that texts are filtered where they are read.
-    # The few rows left are dealt to as many parts as they need, not stored in a file for each part of the corpus.
+    # At most two times ``examples`` ids: broadcast, so that texts are filtered where they are read, and one row of each
+    # id is kept. These few are dealt to as many parts as they need, not stored in a file for each part of the corpus.
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "id")
-    texts = settle(found.select("id", "y", "text").repartition(max(1, -(-len(picked) // ROWS_A_PART))))
-    have = {r.y: r["count"] for r in texts.groupBy("y").count().collect()}
-    h0, h1 = have.get(0, 0), have.get(1, 0)
+    found = found.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("row"))
+    found = found.select("id", "y", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("part"), F.col("row.text").alias("text"))
+    texts = settle(found.repartition(max(1, -(-len(picked) // ROWS_A_PART))))
+    sizes = np.zeros((2, PARTS), np.int64)
+    for r in texts.groupBy("y", "part").count().collect():
+        sizes[r.y, r.part] = r["count"]
+    h0, h1 = sizes.sum(axis=1).tolist()
     if not h0 or not h1:
         return Model({}, np.zeros(0), [], (1.0, 1.0), base, base)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: tuple[Counter, Counter] = Counter(), Counter()
-            for y, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = set(_WORD.findall((t.as_py() or "").lower()))
-                found[y].update({x for w in words for x in terms_of(w)})
-            names = list(found[0].keys() | found[1].keys())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names), pa.array([found[0][t] for t in names], pa.int64()), pa.array([found[1][t] for t in names], pa.int64())],
-                names=["term", "n0", "n1"],
-            )
-
-    counts = texts.select("y", "text").mapInArrow(count, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    a, b = F.col("n1") + 0.5, F.col("n0") + 0.5
-    odds = F.log(a / (h1 + 1)) - F.log(b / (h0 + 1)) - 1.64 * F.sqrt(1 / a + 1 / b)
-    kept = counts.where(F.col("n1") >= LEAST_ROWS).withColumn("odds", odds).where(F.col("odds") > LEAST_ODDS)
-    kept = kept.orderBy(F.desc("odds"), "term").limit(TERMS).collect()
-    votes = (n0 / h0, n1 / h1)
-    terms = {r.term: i for i, r in enumerate(kept)}
-    everyone = n0 + n1
-    rarity = np.array([math.log(1 + everyone / (r.n0 * votes[0] + r.n1 * votes[1])) for r in kept])
-    model = Model(terms, rarity, [], votes, base, base)
-    shared = spark.sparkContext.broadcast(model)
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+            rows: dict[str, np.ndarray] = {}
+            for y, part, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                for x in _bag(t.as_py()):
+                    rows.setdefault(x, np.zeros(2 * PARTS, np.int64))[y * PARTS + part] += 1
+            table = np.stack(list(rows.values()), axis=1) if rows else np.zeros((2 * PARTS, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), *map(pa.array, table)], names=["term", *numbers])
+
+    numbers = [f"n{y}_{part}" for y in (0, 1) for part in range(PARTS)]
+    counts = texts.select("y", "part", "text").mapInArrow(count, ", ".join(["term string", *[f"{n} long" for n in numbers]]))
+    counted = counts.groupBy("term").agg(*[F.sum(n).alias(n) for n in numbers]).toArrow().sort_by("term")
+    terms = {t: i for i, t in enumerate(counted.column("term").to_pylist())}
+    table = np.stack([counted.column(n).to_numpy() for n in numbers], axis=1)
+    draft = Draft(terms, (table[:, :PARTS], table[:, PARTS:]), (sizes[0], sizes[1]), [], (n0 / h0, n1 / h1), base)
+    known = spark.sparkContext.broadcast(terms)
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [m.vector(t.as_py()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([t.tolist() for t, _ in found], pa.list_(pa.int64())), pa.array([w.tolist() for _, w in found], pa.list_(pa.float64()))],
-                names=["id", "y", "terms", "weights"],
-            )
+            at, often = [], []
+            for t in batch.column(3):
+                bag = sorted((known.value[x], n) for x, n in _bag(t.as_py()).items())
+                at.append(np.array([i for i, _ in bag], np.int32).tobytes())
+                often.append((1 + np.log([n for _, n in bag])).astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(at, pa.binary()), pa.array(often, pa.binary())], names=["id", "y", "part", "terms", "often"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    found = texts.select("id", "y", "text").mapInArrow(vectors, f"id {kind}, y int, terms array<long>, weights array<double>").collect()
-    bare = Counter(r.y for r in found if not r.terms)
-    model.termless = (bare[1] * votes[1] + 0.5 * base) / (bare[0] * votes[0] + bare[1] * votes[1] + 0.5)
-    # Examples with the same heaviest term lie in the same blocks, which keeps block bounds tight.
-    held = [(r.id, r.y, np.array(r.terms, np.int64), np.array(r.weights)) for r in found if r.terms]
-    model.examples = sorted(held, key=lambda x: (int(x[2][np.argmax(x[3])]), x[1], str(x[0])))
+    bagged = texts.select("id", "y", "part", "text").mapInArrow(bags, f"id {kind}, y int, part int, terms binary, often binary").toArrow()
+    fields = [bagged.column(c).to_pylist() for c in bagged.column_names]
+    draft.examples = [(i, y, part, np.frombuffer(a, np.int32), np.frombuffer(w, np.float32)) for i, y, part, a, w in zip(*fields)]
+    del bagged, fields
+    model = draft.model()
+    model.line = _cross_fitted(texts, draft)
+    known.unpersist()
     return model
 
 
+def _cross_fitted(texts: DataFrame, draft: Draft) -> tuple[float, float]:
+    """The line from votes to scores; each example votes by a model of the other parts, a task holding one such model at a time."""
+    shared = texts.sparkSession.sparkContext.broadcast(draft)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, model = None, None
+        for batch in batches:
+            votes = []
+            for part, t in zip(batch.column(0).to_pylist(), batch.column(2)):
+                if part != at:
+                    at, model = part, shared.value.model(without=part)
+                best, cosine = model.nearest(t.as_py())
+                votes.append(model.raw_vote(best, cosine) if len(best) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(votes, pa.float64())], names=["y", "vote"])
+
+    dealt = texts.select("part", "y", "text").repartition(PARTS, "part").sortWithinPartitions("part")
+    got = dealt.mapInArrow(run, "y int, vote double").where(F.col("vote").isNotNull()).toArrow().sort_by([("y", "ascending"), ("vote", "ascending")])
+    shared.unpersist()
+    if not got.num_rows:
+        return 1.0, 0.0
+    y, votes = got.column("y").to_numpy(), got.column("vote").to_numpy()
+    return rising_line(votes, y, np.where(y > 0, draft.votes[1], draft.votes[0]))
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score and evidence (the nearest examples' ids, labels and cosines, EVIDENCE at most) of every document."""
     require_columns(docs, [id_col, text_col])
