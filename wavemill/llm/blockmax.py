@@ -10,8 +10,13 @@ bounds every score in it, and blocks below the threshold are never scored.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 
+#: A list with more than one in so many of the entries is wide.
+WIDE = 16
+
 
 def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """All numbers of the half-open ranges, in order."""
@@ -80,23 +85,56 @@ class BlockMaxIndex:
         scores = self._scores(parts, scale, wanted)
         return [(int(i), float(scores[i])) for i in np.flatnonzero(scores >= threshold)]
 
+    @cached_property
+    def _wide(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lists with over one in WIDE of the entries, kept as rows: their place by term (else -1), weights and block maxima.
+
+        The rows take at most WIDE times the memory of their postings.
+        """
+        starts = self.part_start[self.term_start]
+        wide = np.flatnonzero(np.diff(starts) * WIDE > self.n_entries)
+        place = np.full(self.n_terms, -1)
+        place[wide] = np.arange(len(wide))
+        rows = np.zeros((len(wide), self.blocks * self.block), np.float32)
+        for i, t in enumerate(wide.tolist()):
+            rows[i, self.entry[starts[t] : starts[t + 1]]] = self.weight[starts[t] : starts[t + 1]]
+        rows = rows.reshape(len(wide), self.blocks, self.block)
+        return place, rows, rows.max(axis=2)
+
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, seeds: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` best entries that score over 0, and their scores; ties go to the smaller entry."""
-        none = np.zeros(0, np.int64), np.zeros(0)
+        """The ``k`` best entries that score over 0, and their scores; ties (to six places) go to the smaller entry.
+
+        Narrow lists are added up whole, which is little; they and the block maxima of wide ones bound each block's scores. The
+        ``seeds`` best blocks give a least score, and of wide lists only blocks whose bound reaches it are read.
+        """
         if not self.blocks or not len(terms):
-            return none
-        parts, scale, bounds = self._parts(terms, weights)
-        order = np.argsort(-bounds, kind="stable")
-        wanted = np.zeros(self.blocks, bool)
-        wanted[order[:seeds]] = True
-        scores = self._scores(parts, scale, wanted)
-        least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
-        more = (bounds >= max(least, 1e-300)) & ~wanted
-        if more.any():
-            scores = scores + self._scores(parts, scale, more)
+            return np.zeros(0, np.int64), np.zeros(0)
+        place, rows, maxima = self._wide
+        at = place[terms]
+        narrow, wide, scale = at < 0, at[at >= 0], weights[at >= 0].astype(np.float32)
+        t, size = terms[narrow], self.blocks * self.block
+        a, b = self.part_start[self.term_start[t]], self.part_start[self.term_start[t + 1]]
+        posts = _ranges(a, b)
+        scores = np.bincount(self.entry[posts], self.weight[posts] * np.repeat(weights[narrow], b - a), size)
+        scores = scores.astype(np.float64).reshape(self.blocks, self.block)  # no postings give whole numbers
+        if len(wide):
+            bounds = scores.max(axis=1) + (scale @ maxima[wide]) * (1 + 1e-5)
+            order = np.argsort(-bounds, kind="stable")
+            first, rest = order[:seeds], order[seeds:]
+            scores[first] += np.tensordot(scale, rows[wide[:, None], first[None, :]], 1)
+            found = scores[first].ravel()
+            least = np.partition(found, -k)[-k] if len(found) > k else 0.0
+            more = rest[bounds[rest] >= least]
+            if len(more) * 2 > self.blocks:
+                more = rest
+                scores[rest] += np.tensordot(scale, rows[wide], 1)[rest]
+            elif len(more):
+                scores[more] += np.tensordot(scale, rows[wide[:, None], more[None, :]], 1)
+            scores[rest[bounds[rest] < least]] = 0  # not read whole; none of them is among the best
+        scores = scores.ravel()
         found = np.flatnonzero(scores > 0)
         if len(found) > k:
-            cut = np.partition(scores[found], -k)[-k]
+            cut = np.partition(scores[found], -k)[-k] - 1e-6
             found = found[scores[found] >= cut]
-        best = found[np.lexsort((found, -scores[found]))][:k]
+        best = found[np.lexsort((found, -np.round(scores[found], 6)))][:k]
         return best, scores[best]

@@ -307,7 +307,7 @@ def _cross_fitted(texts: DataFrame, draft: Draft) -> tuple[float, float]:
                 votes.append(model.raw_vote(best, cosine) if len(best) else None)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(votes, pa.float64())], names=["y", "vote"])
 
-    dealt = texts.select("part", "y", "text").repartition(PARTS, "part").sortWithinPartitions("part")
+    dealt = texts.select("part", "y", "text").repartitionByRange(PARTS, "part").sortWithinPartitions("part")
     got = dealt.mapInArrow(run, "y int, vote double").where(F.col("vote").isNotNull()).toArrow().sort_by([("y", "ascending"), ("vote", "ascending")])
     shared.unpersist()
     if not got.num_rows:
