@@ -18,7 +18,7 @@ import numpy as np
 WIDE = 16
 
 
-def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def ranges_of(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """All numbers of the half-open ranges, in order."""
     sizes = ends - starts
     total = int(sizes.sum())
@@ -51,7 +51,7 @@ class BlockMaxIndex:
 
     def _parts(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, b = self.term_start[terms], self.term_start[terms + 1]
-        parts, scale = _ranges(a, b), np.repeat(weights, b - a)
+        parts, scale = ranges_of(a, b), np.repeat(weights, b - a)
         return parts, scale, np.bincount(self.part_block[parts], self.part_max[parts] * scale, self.blocks)
 
     def _scores(self, parts: np.ndarray, scale: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -59,7 +59,7 @@ class BlockMaxIndex:
         own = wanted[self.part_block[parts]]
         parts, scale = parts[own], scale[own]
         a, b = self.part_start[parts], self.part_start[parts + 1]
-        at = _ranges(a, b)
+        at = ranges_of(a, b)
         return np.bincount(self.entry[at], self.weight[at] * np.repeat(scale, b - a), self.n_entries)
 
     def above(self, terms: np.ndarray, weights: np.ndarray, threshold: float) -> list[tuple[int, float]]:
@@ -87,7 +87,7 @@ class BlockMaxIndex:
 
     @cached_property
     def _wide(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Lists with over one in WIDE of the entries, kept as rows: their place by term (else -1), weights and block maxima.
+        """Lists with over one in WIDE of the entries, kept as rows of each block: their place by term (else -1), weights and block maxima.
 
         The rows take at most WIDE times the memory of their postings.
         """
@@ -95,46 +95,59 @@ class BlockMaxIndex:
         wide = np.flatnonzero(np.diff(starts) * WIDE > self.n_entries)
         place = np.full(self.n_terms, -1)
         place[wide] = np.arange(len(wide))
-        rows = np.zeros((len(wide), self.blocks * self.block), np.float32)
+        rows = np.zeros((self.blocks, len(wide), self.block), np.float32)
         for i, t in enumerate(wide.tolist()):
-            rows[i, self.entry[starts[t] : starts[t + 1]]] = self.weight[starts[t] : starts[t + 1]]
-        rows = rows.reshape(len(wide), self.blocks, self.block)
-        return place, rows, rows.max(axis=2)
+            e = self.entry[starts[t] : starts[t + 1]]
+            rows[e // self.block, i, e % self.block] = self.weight[starts[t] : starts[t + 1]]
+        return place, rows, np.ascontiguousarray(rows.max(axis=2).T)
 
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int, seeds: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` best entries that score over 0, and their scores; ties (to six places) go to the smaller entry.
+    def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`top_many` of one query."""
+        return self.top_many(np.zeros(len(terms), np.int64), terms, weights, 1, k)[0]
 
-        Narrow lists are added up whole, which is little; they and the block maxima of wide ones bound each block's scores. The
-        ``seeds`` best blocks give a least score, and of wide lists only blocks whose bound reaches it are read.
+    def top_many(self, queries: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, k: int, seeds: int = 4) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of ``n`` queries the ``k`` best entries that score over 0, and their scores; ties (to six places) go to the smaller entry.
+
+        ``queries`` numbers the query of each (term, weight); a query has a term once. Narrow lists are added up whole, which is little;
+        they and the block maxima of wide ones bound each block's scores for each query. The ``seeds`` best blocks of a query give
+        a least score, and of wide lists it reads only blocks whose bound reaches it. A block's rows are multiplied with
+        all queries that read it at once. Memory grows with ``n`` times the entries, which the caller keeps small.
         """
         if not self.blocks or not len(terms):
-            return np.zeros(0, np.int64), np.zeros(0)
+            return [(np.zeros(0, np.int64), np.zeros(0))] * n
         place, rows, maxima = self._wide
-        at = place[terms]
-        narrow, wide, scale = at < 0, at[at >= 0], weights[at >= 0].astype(np.float32)
-        t, size = terms[narrow], self.blocks * self.block
+        at, size = place[terms], self.blocks * self.block
+        narrow, wide = at < 0, at >= 0
+        t = terms[narrow]
         a, b = self.part_start[self.term_start[t]], self.part_start[self.term_start[t + 1]]
-        posts = _ranges(a, b)
-        scores = np.bincount(self.entry[posts], self.weight[posts] * np.repeat(weights[narrow], b - a), size)
-        scores = scores.astype(np.float64).reshape(self.blocks, self.block)  # no postings give whole numbers
-        if len(wide):
-            bounds = scores.max(axis=1) + (scale @ maxima[wide]) * (1 + 1e-5)
-            order = np.argsort(-bounds, kind="stable")
-            first, rest = order[:seeds], order[seeds:]
-            scores[first] += np.tensordot(scale, rows[wide[:, None], first[None, :]], 1)
-            found = scores[first].ravel()
-            least = np.partition(found, -k)[-k] if len(found) > k else 0.0
-            more = rest[bounds[rest] >= least]
-            if len(more) * 2 > self.blocks:
-                more = rest
-                scores[rest] += np.tensordot(scale, rows[wide], 1)[rest]
-            elif len(more):
-                scores[more] += np.tensordot(scale, rows[wide[:, None], more[None, :]], 1)
-            scores[rest[bounds[rest] < least]] = 0  # not read whole; none of them is among the best
-        scores = scores.ravel()
-        found = np.flatnonzero(scores > 0)
-        if len(found) > k:
-            cut = np.partition(scores[found], -k)[-k] - 1e-6
-            found = found[scores[found] >= cut]
-        best = found[np.lexsort((found, -np.round(scores[found], 6)))][:k]
-        return best, scores[best]
+        posts = ranges_of(a, b)
+        spots = self.entry[posts] + np.repeat(queries[narrow] * size, b - a)
+        scores = np.bincount(spots, self.weight[posts] * np.repeat(weights[narrow], b - a), n * size)
+        scores = scores.astype(np.float64, copy=False).reshape(n, self.blocks, self.block)  # no postings give whole numbers
+        asked = np.zeros((n, len(maxima)), np.float32)
+        asked[queries[wide], at[wide]] = weights[wide]
+        bounds = scores.max(axis=2) + (asked @ maxima) * (1 + 1e-5)
+        seeds = min(max(seeds, -(-k // self.block)), self.blocks)
+        first = np.argpartition(-bounds, seeds - 1, axis=1)[:, :seeds]
+        read = np.zeros(bounds.shape, bool)
+        np.put_along_axis(read, first, True, axis=1)
+
+        def add(wanted: np.ndarray) -> None:
+            for block in np.flatnonzero(wanted.any(axis=0)).tolist():
+                own = np.flatnonzero(wanted[:, block])
+                scores[own, block] += asked[own] @ rows[block]
+
+        add(read)
+        found = np.take_along_axis(scores, first[:, :, None], axis=1).reshape(n, -1)
+        least = np.partition(found, -k, axis=1)[:, -k] if found.shape[1] >= k else np.zeros(n)
+        more = (bounds >= least[:, None]) & ~read
+        add(more)
+        scores[~(read | more)] = 0  # not read whole; none of them is among the best
+        scores = scores.reshape(n, size)
+        cut = np.partition(scores, -k, axis=1)[:, -k] - 1e-6 if size > k else np.zeros(n)
+        owner, entry = np.nonzero(scores >= np.maximum(cut, np.finfo(float).tiny)[:, None])
+        value = scores[owner, entry]
+        order = np.lexsort((entry, -np.round(value, 6), owner))
+        ends = np.searchsorted(owner, np.arange(n + 1)).tolist()
+        entry, value = entry[order], value[order]
+        return [(entry[i : min(j, i + k)], value[i : min(j, i + k)]) for i, j in zip(ends[:-1], ends[1:])]

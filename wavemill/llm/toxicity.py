@@ -22,10 +22,12 @@ from __future__ import annotations
 
 import re
 import uuid
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from wavemill.llm.blockmax import BlockMaxIndex
+from wavemill.llm.blockmax import BlockMaxIndex, ranges_of
 from wavemill.llm.shared import bounded_batches, held_in_worker, require_columns, settle
 
 #: Labelled rows of each label that fitting takes at most: it bounds the index and what is broadcast.
@@ -51,11 +53,14 @@ NEIGHBOURS = 15
 EVIDENCE = 3
 #: Weight of the base rate beside the votes.
 DRAW = 0.05
+#: Lengths of the first letters that are terms, ascending.
 PREFIXES = (4, 5, 6)
 FOLDS, HELD_OUT = 5, 0
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words whose terms a worker remembers.
-_REMEMBERED = 60_000
+_REMEMBERED = 200_000
+#: Texts searched together, at most, and their characters, unless one text has more.
+TOGETHER, CHARACTERS = 64, 1 << 19
 
 
 def fold(doc_id: Column) -> Column:
@@ -66,9 +71,55 @@ def terms_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
 
 
-def _known_words(model: str) -> dict[str, tuple[int, ...]]:
-    """Term numbers of words, for one model."""
-    return {}
+class _Words(dict):
+    """Numbers of words, given as they are asked for, and the terms of each that a model knows."""
+
+    def __init__(self):
+        super().__init__()
+        self.known: dict[str, int] = {}  # term numbers of the model
+        self.terms, self.ends = array("q"), array("q", [0])
+
+    def __missing__(self, word: str) -> int:
+        known = self.known
+        if len(word) <= PREFIXES[0]:
+            if word in known:
+                self.terms.append(known[word])
+        else:  # where a prefix isn't known, neither are longer ones nor the word
+            for n in PREFIXES:
+                if len(word) > n:
+                    at = known.get(word[:n] + "*")
+                    if at is None:
+                        break
+                    self.terms.append(at)
+            else:
+                if word in known:
+                    self.terms.append(known[word])
+        self.ends.append(len(self.terms))
+        self[word] = found = len(self)
+        return found
+
+    def forget(self) -> None:
+        self.clear()
+        self.terms, self.ends = array("q"), array("q", [0])
+
+
+def _words_of_model(key: str) -> _Words:
+    """Words of one model that this worker remembers."""
+    return _Words()
+
+
+def _together(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
+    """Texts in order, in lists of TOGETHER and CHARACTERS at most; a longer text is a list of its own."""
+    held, size = [], 0
+    for t in texts:
+        n = len(t) if t else 0
+        if held and (len(held) == TOGETHER or size + n > CHARACTERS):
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += n
+    if held:
+        yield held
 
 
 def _bag(text: str | None) -> Counter:
@@ -111,25 +162,33 @@ class Model:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("index", "labels")}
 
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the text's terms and their weights, of unit length."""
-        known, terms, count = held_in_worker(_known_words, self.key), self.terms, Counter()
-        for w in _WORD.findall(text.lower()) if text else ():
-            own = known.get(w)
-            if own is None:
-                if len(known) >= _REMEMBERED:
-                    known.clear()
-                own = known[w] = tuple(terms[t] for t in terms_of(w) if t in terms)
-            if own:
-                count.update(own)
-        if not count:
-            return np.zeros(0, np.int64), np.zeros(0)
-        at = np.array(sorted(count), np.int64)
-        weight = (1 + np.log([count[i] for i in at.tolist()])) * self.weight[at]
-        return at, weight / np.sqrt((weight**2).sum())
+    def vectors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text's place, term, weight) of all known terms of some texts, ascending; the weights of a text are of unit length."""
+        words = held_in_worker(_words_of_model, self.key)
+        words.known = self.terms
+        if len(words) > _REMEMBERED:
+            words.forget()
+        found = [_WORD.findall(t.lower()) if t else [] for t in texts]
+        sizes = [len(w) for w in found]
+        at = np.fromiter(map(words.__getitem__, chain.from_iterable(found)), np.int64, sum(sizes))
+        pair, often = np.unique(np.repeat(np.arange(len(texts)), sizes) * max(len(words), 1) + at, return_counts=True)
+        text, at = np.divmod(pair, max(len(words), 1))
+        ends = np.array(words.ends)
+        n = ends[at + 1] - ends[at]
+        term = np.array(words.terms)[ranges_of(ends[at], ends[at + 1])]
+        pair, place = np.unique(np.repeat(text, n) * max(len(self.terms), 1) + term, return_inverse=True)
+        often = np.bincount(place, np.repeat(often, n), len(pair))
+        text, term = np.divmod(pair, max(len(self.terms), 1))
+        weight = (1 + np.log(often)) * self.weight[term]
+        return text, term, weight / np.sqrt(np.bincount(text, weight**2, len(texts)))[text]
+
+    def nearest_many(self, texts: Iterable[str | None], k: int = NEIGHBOURS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of each text's nearest examples and their cosines."""
+        for some in _together(texts):
+            yield from self.index.top_many(*self.vectors(some), len(some), k)
 
     def nearest(self, text: str | None, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        return self.index.top(*self.vector(text), k)
+        return next(self.nearest_many([text], k))
 
     def score(self, text: str | None) -> float:
         return self.vote(*self.nearest(text))
@@ -149,7 +208,7 @@ class Model:
     def evidence(self, text: str | None, k: int = 3) -> list[tuple[object, int, float, list[str]]]:
         """Nearest examples: id, label, cosine, shared terms."""
         names = {v: t for t, v in self.terms.items()}
-        own = set(self.vector(text)[0].tolist())
+        own = set(self.vectors([text])[1].tolist())
         best, cosine = self.nearest(text, k)
         return [(self.examples[i][0], self.examples[i][1], float(c), sorted(names[t] for t in self.examples[i][2].tolist() if t in own)) for i, c in zip(best.tolist(), cosine)]
 
@@ -300,11 +359,11 @@ def _cross_fitted(texts: DataFrame, draft: Draft) -> tuple[float, float]:
         at, model = None, None
         for batch in batches:
             votes = []
-            for part, t in zip(batch.column(0).to_pylist(), batch.column(2)):
+            for part, rows in groupby(zip(batch.column(0).to_pylist(), batch.column(2)), key=lambda x: x[0]):
                 if part != at:
                     at, model = part, shared.value.model(without=part)
-                best, cosine = model.nearest(t.as_py())
-                votes.append(model.raw_vote(best, cosine) if len(best) else None)
+                found = model.nearest_many(t.as_py() for _, t in rows)
+                votes += [model.raw_vote(best, cosine) if len(best) else None for best, cosine in found]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(votes, pa.float64())], names=["y", "vote"])
 
     dealt = texts.select("part", "y", "text").repartitionByRange(PARTS, "part").sortWithinPartitions("part")
@@ -326,7 +385,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            found = [m.nearest(t.as_py()) for t in batch.column(1)]
+            found = list(m.nearest_many(t.as_py() for t in batch.column(1)))
             scores = pa.array([m.vote(*x) for x in found], pa.float64())
             near = [list(zip(best[:EVIDENCE].tolist(), cosine[:EVIDENCE].tolist())) for best, cosine in found]
             shown = [[{"id": m.examples[i][0], "label": m.examples[i][1], "cosine": c} for i, c in x] for x in near]
@@ -348,6 +407,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            yield batch.filter(pa.array([m.score(t.as_py()) < threshold for t in batch.column(at)], pa.bool_()))
+            scores = [m.vote(*x) for x in m.nearest_many(t.as_py() for t in batch.column(at))]
+            yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
