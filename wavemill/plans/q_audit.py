@@ -117,8 +117,9 @@ def fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return audit.fingerprint(p.select(path.alias("path"), F.col("p_size").alias("size")))
 
 
-SIMILAR = """n as (select vec_id, list_transform(embedding, lambda x: x::double) e from embeddings),
-u as (select vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) e from n),
+UNITS = """n as (select vec_id, list_transform(embedding, lambda x: x::double) e from embeddings),
+u as (select vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) e from n)"""
+SIMILAR = f"""{UNITS},
 s as (select a.vec_id id, b.vec_id other, round(abs(list_inner_product(a.e, b.e)), 9) s from u a join u b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id)"""
 
 
@@ -128,9 +129,10 @@ def _similar(spark: SparkSession, d: str) -> DataFrame:
     return similarity.similarities(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding")
 
 
-@query("twin_similarity", f"with {SIMILAR} select round(max(s), 6) top, round(avg(s), 6) mean, count(*) filter (where s > 0.999) twins from s")
+@query("twin_similarity", f"with {UNITS}, s as (select round(abs(list_inner_product(a.e, b.e)), 9) s from u a join u b on a.vec_id < b.vec_id) select round(max(s), 6) top, round(avg(s), 6) mean, count(*) filter (where s > 0.999) twins from s")
 def twin_similarity(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.summary(_similar(spark, d)).select(F.round("top", 6).alias("top"), F.round("mean", 6).alias("mean"), "twins")
+    """All pairs of vectors, each once."""
+    return similarity.all_pairs(table(spark, d, "embeddings"), "vec_id", "embedding").select(F.round("top", 6).alias("top"), F.round("mean", 6).alias("mean"), "twins")
 
 
 @query(
