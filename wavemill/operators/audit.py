@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavemill.functions.columns import overlap_fraction
+from wavemill.operators import order
 
 LEAK, RISK, PROOF, SAMPLE, NOT_CHECKED = "LEAK", "RISK", "PASS/proof", "PASS/sample", "NOT CHECKED"
 STATUSES = (LEAK, RISK, PROOF, SAMPLE, NOT_CHECKED)
@@ -23,6 +24,8 @@ LEAST_ROWS = 3
 DUPLICATE_LEAST_S, DUPLICATE_GAP_S, DUPLICATE_LENGTHS = 1.0, 120.0, 0.10
 AXES = (("carrier_offset_hz", "carrier offset"), ("mean_power_db", "mean power"), ("duration_samples", "recording length"), ("duty_cycle", "burst duty cycle"), ("burst_start_frac", "burst position"))
 TIME_AXIS = ("start", "capture time")
+#: Spans in a block that others meet: about as many as a span overlaps, within these.
+LEAST_BLOCK, MOST_BLOCK = 16, 4096
 
 
 def finding(rows: DataFrame, check: str, status: Column, detail: Column) -> DataFrame:
@@ -87,21 +90,60 @@ def separability(rows: DataFrame, value: str, label: str, idx: str = "idx") -> D
     return separabilities(rows, (value,), label, idx).agg(*[F.max(c).alias(c) for c in ("n", "accuracy", "chance")])
 
 
-def overlapping_pairs(spans: DataFrame, keys: tuple[str, ...] = (), bin_s: float = 3600.0, id_col: str = "record_id") -> DataFrame:
-    """(keys, a, b) of all spans (start, end in seconds) that overlap, ``a`` the earlier by (start, end, id).
+def _reaches(spans: DataFrame, keys: tuple[str, ...], id_col: str) -> DataFrame:
+    """(keys, id, start, end, place, upto) of each span: its number by (keys, start, end, id), and that of the first of its keys to start at or after its end.
 
-    Spans are put into every time bin they touch and meet on (keys, bin); a pair is taken in the bin where the
-    later one starts, so once.
+    So the later spans that a span overlaps are those of the places between. Starts and ends lie on one line, dealt by ranges of equal
+    rows; an end takes the highest place of the starts before it, in its range or carried in from the ranges before.
+    """
+    s = spans.select(*keys, F.col(id_col).alias("id"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, "start", "end")])
+    s = order.places(s.where(known), [*keys, "start", "end", "id"])
+    none = F.lit(None).cast("long")
+    starts = s.select(*keys, F.col("start").alias("t"), F.lit(1).alias("kind"), "place", none.alias("of"))
+    ends = s.where("end > start").select(*keys, F.col("end").alias("t"), F.lit(0).alias("kind"), none.alias("place"), F.col("place").alias("of"))
+    line = order.ranges(starts.unionByName(ends), [*keys, "t", "kind", "place"])
+    last = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    carried = F.broadcast(line.groupBy("_part").agg(F.max("place").alias("_most")).select("_part", F.max("_most").over(last).alias("_before")))
+    seen = F.max("place").over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    met = line.withColumn("_seen", seen).where("kind = 0").join(carried, "_part")
+    upto = met.select(F.col("of").alias("place"), (F.greatest("_seen", "_before") + 1).alias("upto"))
+    return s.join(upto, "place", "left").select(*keys, "id", "start", "end", "place", F.coalesce("upto", "place").alias("upto"))
+
+
+def _meet(reaches: DataFrame, keys: tuple[str, ...], more: Sequence[str] = (), where: Column | None = None) -> DataFrame:
+    """(keys, a, b) of the pairs of :func:`_reaches`; ``where`` tells by ``x`` and ``y``, which hold ``more`` columns, those wanted.
+
+    Spans are cut by place into blocks of about as many as a span overlaps on the average, and each meets the blocks that it reaches. So at most
+    some 3 times the pairs, and LEAST_BLOCK for each span, are looked at, however the spans are spread over time.
     """
-    bins = F.sequence(F.floor(F.col("start") / bin_s), F.floor(F.greatest(F.col("start"), F.col("end")) / bin_s))
-    s = spans.select(*keys, F.col(id_col).alias("id"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end")).where("start is not null and end is not null")
-    spread = s.withColumn("bin", F.explode(bins))
-    a = spread.select(*keys, "bin", F.struct("start", "end", "id").alias("x"))
-    b = s.withColumn("bin", F.floor(F.col("start") / bin_s)).select(*keys, "bin", F.struct("start", "end", "id").alias("y"))
-    met = a.join(b, [*keys, "bin"]).where((F.col("x") < F.col("y")) & (F.col("y.start") < F.col("x.end")))
+    r = order.settle(reaches)
+    mean = r.agg(F.avg(F.col("upto") - F.col("place"))).first()[0] or 0
+    size = int(min(max(mean, LEAST_BLOCK), MOST_BLOCK))
+    held = F.struct("id", "start", "end", "place", *more)
+    blocks = F.sequence(F.floor((F.col("place") + 1) / size), F.floor((F.col("upto") - 1) / size))
+    a = r.where("upto > place + 1").select(*keys, held.alias("x"), "upto", F.explode(blocks).alias("_block"))
+    b = r.select(F.floor(F.col("place") / size).alias("_block"), held.alias("y"))
+    alike = F.col("x.id").eqNullSafe(F.col("y.id")) & (F.col("x.start") == F.col("y.start")) & (F.col("x.end") == F.col("y.end"))
+    near = (F.col("y.place") > F.col("x.place")) & (F.col("y.place") < F.col("upto")) & ~alike
+    met = a.hint("shuffle_merge").join(b, "_block").where(near if where is None else near & where)
     return met.select(*keys, F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
+def overlapping_pairs(spans: DataFrame, keys: tuple[str, ...] = (), bin_s: float | None = None, id_col: str = "record_id") -> DataFrame:
+    """(keys, a, b) of all spans (start, end in seconds) that overlap, ``a`` the earlier by (start, end, id).
+
+    By places in that order, not by bins of time: rows looked at grow with spans and pairs alone. ``bin_s`` is taken for older callers and changes nothing.
+    """
+    return _meet(_reaches(spans, keys, id_col), keys)
+
+
+def overlapping_pairs_apart(spans: DataFrame, units: DataFrame, key: str, id_col: str = "record_id") -> DataFrame:
+    """:func:`pairs_apart` of all overlapping pairs: spans are given their ``key`` before they meet, so no pair is shuffled. A pair of one ``key`` isn't made."""
+    k = units.select(F.col(id_col).alias("id"), F.col(key).alias("_k"))
+    return _meet(_reaches(spans, (), id_col).join(k, "id", "left"), (), ("_k",), ~F.col("x._k").eqNullSafe(F.col("y._k")))
+
+
 def overlap_counts(spans: DataFrame, keys: tuple[str, ...] = (), bin_s: float = 3600.0) -> DataFrame:
     """(keys, spans, pairs): how many pairs :func:`overlapping_pairs` has of each ``keys`` value, none of them made.
 
