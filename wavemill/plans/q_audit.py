@@ -82,8 +82,8 @@ def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     f"""with {PAIRS} select p.a, p.b from pr p join events x on x.event_id = p.a join events y on y.event_id = p.b where x.user_id % 7 is distinct from y.user_id % 7""",
 )
 def pairs_apart(spark: SparkSession, d: str) -> DataFrame:
-    s = spans(spark, d)
-    return audit.pairs_apart(audit.overlapping_pairs(s), s.withColumn("unit", F.col("user_id") % 7), "unit")
+    s = spans(spark, d).where("record_id is not null").withColumn("unit", F.col("user_id") % 7)
+    return audit.overlapping_pairs_apart(s, s, "unit")
 
 
 @query("shared_timestamp", "select epoch_us(o_orderdate) / 1e6 as start, count(distinct o_orderpriority) classes, count(*) records from orders group by 1 having count(distinct o_orderpriority) > 1")
