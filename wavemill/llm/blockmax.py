@@ -28,23 +28,43 @@ def ranges_of(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """``terms``, ``entries``, ``weights``: a posting for each position; weights are at least 0."""
+    """``terms``, ``entries``, ``weights``: a posting for each position; weights are at least 0.
+
+    Whole numbers take 32 bits where they can and weights keep their own precision, since each worker holds an index.
+    """
 
     def __init__(self, terms: np.ndarray, entries: np.ndarray, weights: np.ndarray, n_terms: int, n_entries: int, block: int = 64):
         order = np.lexsort((entries, terms))
-        t, self.entry, self.weight = terms[order].astype(np.int64), entries[order].astype(np.int64), weights[order].astype(np.float64)
+        t, self.entry = terms[order], entries[order].astype(np.int32)
+        self.weight = weights[order].astype(np.float32 if weights.dtype == np.float32 else np.float64)
+        del order
         self.n_terms, self.n_entries, self.block = n_terms, n_entries, block
         self.blocks = -(-n_entries // block) if n_entries else 0
-        part = t * max(self.blocks, 1) + self.entry // block
-        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
-        self.part_start = np.concatenate((first, [len(part)]))
-        self.part_block = self.entry[first] // block
+        part_block = self.entry // block
+        new = np.ones(len(t), bool)
+        new[1:] = (t[1:] != t[:-1]) | (part_block[1:] != part_block[:-1])
+        first = np.flatnonzero(new).astype(np.int32 if len(t) < 1 << 31 else np.int64)
+        self.part_start = np.append(first, first.dtype.type(len(t)))
+        self.part_block = part_block[first]
         self.part_max = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.part_key = part[first]
         self.term_start = np.searchsorted(t[first], np.arange(n_terms + 1))
         self.term_max = np.zeros(n_terms)
         np.maximum.at(self.term_max, t, self.weight)
 
+    def __getstate__(self):
+        """Without what is made from the rest when it is asked for."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("part_key", "_wide")}
+
+    @cached_property
+    def part_key(self) -> np.ndarray:
+        """Term and block of each part as one number, ascending."""
+        return np.repeat(np.arange(self.n_terms) * max(self.blocks, 1), np.diff(self.term_start)) + self.part_block
+
+    def terms_of(self, entry: int) -> np.ndarray:
+        """Terms of one entry, ascending."""
+        part = np.searchsorted(self.part_start, np.flatnonzero(self.entry == entry), side="right") - 1
+        return np.searchsorted(self.term_start, part, side="right") - 1
+
     @property
     def nbytes(self) -> int:
         return sum(x.nbytes for x in (self.entry, self.weight, self.part_start, self.part_block, self.part_max, self.term_start, self.term_max))
@@ -92,7 +112,7 @@ class BlockMaxIndex:
         The rows take at most WIDE times the memory of their postings.
         """
         starts = self.part_start[self.term_start]
-        wide = np.flatnonzero(np.diff(starts) * WIDE > self.n_entries)
+        wide = np.flatnonzero(np.diff(starts) > self.n_entries / WIDE)
         place = np.full(self.n_terms, -1)
         place[wide] = np.arange(len(wide))
         rows = np.zeros((self.blocks, len(wide), self.block), np.float32)

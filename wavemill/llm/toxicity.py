@@ -108,6 +108,11 @@ def _words_of_model(key: str) -> _Words:
     return _Words()
 
 
+def _fitting(stage: str) -> str:
+    """Held by workers that fit, so that what operators before have left is dropped before anything is loaded."""
+    return stage
+
+
 def _together(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
     """Texts in order, in lists of TOGETHER and CHARACTERS at most; a longer text is a list of its own."""
     held, size = [], 0
@@ -137,7 +142,7 @@ class Model:
 
     terms: dict[str, int]
     weight: np.ndarray
-    examples: list[tuple[object, int, np.ndarray, np.ndarray]]  # id, label, terms, weights of unit length
+    examples: list[tuple[object, int, np.ndarray | None, np.ndarray | None]]  # id, label, terms, weights of unit length; none of these two in a worker
     votes: tuple[float, float]  # labelled rows that an example of label 0 and of label 1 stands for
     base: float
     termless: float
@@ -148,9 +153,9 @@ class Model:
     def index(self) -> BlockMaxIndex:
         cat = lambda xs, kind: np.concatenate(xs).astype(kind) if xs else np.zeros(0, kind)
         return BlockMaxIndex(
-            cat([t for _, _, t, _ in self.examples], np.int64),
-            cat([np.full(len(t), k) for k, (_, _, t, _) in enumerate(self.examples)], np.int64),
-            cat([w for *_, w in self.examples], float),
+            cat([t for _, _, t, _ in self.examples], np.int32),
+            np.repeat(np.arange(len(self.examples), dtype=np.int32), [len(t) for _, _, t, _ in self.examples]),
+            cat([w for *_, w in self.examples], np.float32),
             len(self.terms),
             len(self.examples),
         )
@@ -160,7 +165,13 @@ class Model:
         return np.array([y for _, y, _, _ in self.examples], float)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("index", "labels")}
+        """With the index, which holds the examples' terms and weights: workers neither make it, which takes thrice its size, nor hold both."""
+        return self.__dict__ | {"index": self.index, "examples": [(i, y, None, None) for i, y, *_ in self.examples]}
+
+    def lean(self) -> Model:
+        """The model as a worker gets it: its examples only by id and label, beside the index."""
+        self.__dict__ = self.__getstate__()
+        return self
 
     def vectors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text's place, term, weight) of all known terms of some texts, ascending; the weights of a text are of unit length."""
@@ -210,7 +221,7 @@ class Model:
         names = {v: t for t, v in self.terms.items()}
         own = set(self.vectors([text])[1].tolist())
         best, cosine = self.nearest(text, k)
-        return [(self.examples[i][0], self.examples[i][1], float(c), sorted(names[t] for t in self.examples[i][2].tolist() if t in own)) for i, c in zip(best.tolist(), cosine)]
+        return [(self.examples[i][0], self.examples[i][1], float(c), sorted(names[t] for t in self.index.terms_of(i).tolist() if t in own)) for i, c in zip(best.tolist(), cosine)]
 
 
 def _log_odds(p):
@@ -315,6 +326,7 @@ def fit(
         return Model({}, np.zeros(0), [], (1.0, 1.0), base, base)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_in_worker(_fitting, "count")
         for batch in batches:
             rows: dict[str, np.ndarray] = {}
             for y, part, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -332,6 +344,7 @@ def fit(
     known = spark.sparkContext.broadcast(terms)
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_in_worker(_fitting, "bags")
         for batch in batches:
             at, often = [], []
             for t in batch.column(3):
@@ -356,12 +369,14 @@ def _cross_fitted(texts: DataFrame, draft: Draft) -> tuple[float, float]:
     shared = texts.sparkSession.sparkContext.broadcast(draft)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_in_worker(_fitting, "votes")
         at, model = None, None
         for batch in batches:
             votes = []
             for part, rows in groupby(zip(batch.column(0).to_pylist(), batch.column(2)), key=lambda x: x[0]):
                 if part != at:
-                    at, model = part, shared.value.model(without=part)
+                    model = None  # before the next is made
+                    at, model = part, shared.value.model(without=part).lean()
                 found = model.nearest_many(t.as_py() for _, t in rows)
                 votes += [model.raw_vote(best, cosine) if len(best) else None for best, cosine in found]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(votes, pa.float64())], names=["y", "vote"])
@@ -380,9 +395,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     require_columns(docs, [id_col, text_col])
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, key = docs.schema[id_col].dataType.simpleString(), model.key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_in_worker(_words_of_model, key)  # drops what stages before have left, then the model is loaded
         m = shared.value
         for batch in batches:
             found = list(m.nearest_many(t.as_py() for t in batch.column(1)))
@@ -402,9 +418,10 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     require_columns(docs, [text_col])
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
+    at, key = docs.columns.index(text_col), model.key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_in_worker(_words_of_model, key)  # drops what stages before have left, then the model is loaded
         m = shared.value
         for batch in batches:
             scores = [m.vote(*x) for x in m.nearest_many(t.as_py() for t in batch.column(at))]
