@@ -16,6 +16,8 @@ import numpy as np
 
 #: A list with more than one in so many of the entries is wide.
 WIDE = 16
+#: Postings in a row of lists that are neither wide nor shorter than a row.
+ROW = 8
 
 
 def ranges_of(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -35,9 +37,9 @@ class BlockMaxIndex:
 
     def __init__(self, terms: np.ndarray, entries: np.ndarray, weights: np.ndarray, n_terms: int, n_entries: int, block: int = 64):
         order = np.lexsort((entries, terms))
-        t, self.entry = terms[order], entries[order].astype(np.int32)
-        self.weight = weights[order].astype(np.float32 if weights.dtype == np.float32 else np.float64)
-        del order
+        t, self.entry = terms[order], entries[order].astype(np.int32, copy=False)
+        self.weight = weights[order].astype(np.float32 if weights.dtype == np.float32 else np.float64, copy=False)
+        del order, terms, entries, weights  # freed here where the caller doesn't keep them
         self.n_terms, self.n_entries, self.block = n_terms, n_entries, block
         self.blocks = -(-n_entries // block) if n_entries else 0
         part_block = self.entry // block
@@ -49,11 +51,12 @@ class BlockMaxIndex:
         self.part_max = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
         self.term_start = np.searchsorted(t[first], np.arange(n_terms + 1))
         self.term_max = np.zeros(n_terms)
-        np.maximum.at(self.term_max, t, self.weight)
+        if len(own := np.flatnonzero(np.diff(self.term_start))):
+            self.term_max[own] = np.maximum.reduceat(self.part_max, self.term_start[own])
 
     def __getstate__(self):
         """Without what is made from the rest when it is asked for."""
-        return {k: v for k, v in self.__dict__.items() if k not in ("part_key", "_wide")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("part_key", "_wide", "_rows")}
 
     @cached_property
     def part_key(self) -> np.ndarray:
@@ -82,6 +85,13 @@ class BlockMaxIndex:
         at = ranges_of(a, b)
         return np.bincount(self.entry[at], self.weight[at] * np.repeat(scale, b - a), self.n_entries)
 
+    def _added(self, terms: np.ndarray, shifts: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
+        """Sums of the lists' weighted postings, each list's entries moved by its shift."""
+        a, b = self.part_start[self.term_start[terms]], self.part_start[self.term_start[terms + 1]]
+        posts = ranges_of(a, b)
+        sums = np.bincount(self.entry[posts] + np.repeat(shifts, b - a), self.weight[posts] * np.repeat(weights, b - a), size)
+        return sums.astype(np.float64, copy=False)  # no postings give whole numbers
+
     def above(self, terms: np.ndarray, weights: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """All entries that score at least ``threshold`` (over 0), ascending."""
         if not self.blocks or not len(terms) or (self.term_max[terms] * weights).sum() < threshold:
@@ -121,6 +131,25 @@ class BlockMaxIndex:
             rows[e // self.block, i, e % self.block] = self.weight[starts[t] : starts[t + 1]]
         return place, rows, np.ascontiguousarray(rows.max(axis=2).T)
 
+    @cached_property
+    def _rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lists of ROW postings or more that aren't wide, cut into rows, the last filled up with weights of 0: bounds of each term's rows, entries, weights.
+
+        A gather then takes ROW postings at once. The rows take at most twice the memory of their postings.
+        """
+        starts = self.part_start[self.term_start].astype(np.int64)
+        size = np.diff(starts)
+        own = np.flatnonzero((size >= ROW) & (self._wide[0] < 0))
+        many = np.zeros(self.n_terms + 1, np.int32)
+        many[own + 1] = -(-size[own] // ROW)
+        first = np.cumsum(many, dtype=np.int32)
+        entries = np.zeros((int(first[-1]), ROW), np.min_scalar_type(self.n_entries))
+        weights = np.zeros(entries.shape, self.weight.dtype)
+        for some in np.array_split(own, 16):  # in parts, since places take more than what is placed
+            to, at = ranges_of(first[some].astype(np.int64) * ROW, first[some].astype(np.int64) * ROW + size[some]), ranges_of(starts[some], starts[some + 1])
+            entries.reshape(-1)[to], weights.reshape(-1)[to] = self.entry[at], self.weight[at]
+        return first, entries, weights
+
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """:meth:`top_many` of one query."""
         return self.top_many(np.zeros(len(terms), np.int64), terms, weights, 1, k)[0]
@@ -128,22 +157,27 @@ class BlockMaxIndex:
     def top_many(self, queries: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, k: int, seeds: int = 4) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each of ``n`` queries the ``k`` best entries that score over 0, and their scores; ties (to six places) go to the smaller entry.
 
-        ``queries`` numbers the query of each (term, weight); a query has a term once. Narrow lists are added up whole, which is little;
-        they and the block maxima of wide ones bound each block's scores for each query. The ``seeds`` best blocks of a query give
-        a least score, and of wide lists it reads only blocks whose bound reaches it. A block's rows are multiplied with
-        all queries that read it at once. Memory grows with ``n`` times the entries, which the caller keeps small.
+        ``queries`` numbers the query of each (term, weight), ascending; a query has a term once. Narrow lists are added up whole, by rows and a query
+        at a time, which keeps all temporary arrays small; they and the block maxima of wide ones bound each block's scores for each query.
+        The ``seeds`` best blocks of a query give a least score, and of wide lists it reads only blocks whose bound reaches it. A block's rows are
+        multiplied with all queries that read it at once. Memory grows with ``n`` times the entries, which the caller keeps small.
         """
         if not self.blocks or not len(terms):
             return [(np.zeros(0, np.int64), np.zeros(0))] * n
         place, rows, maxima = self._wide
         at, size = place[terms], self.blocks * self.block
         narrow, wide = at < 0, at >= 0
-        t = terms[narrow]
-        a, b = self.part_start[self.term_start[t]], self.part_start[self.term_start[t + 1]]
-        posts = ranges_of(a, b)
-        spots = self.entry[posts] + np.repeat(queries[narrow] * size, b - a)
-        scores = np.bincount(spots, self.weight[posts] * np.repeat(weights[narrow], b - a), n * size)
-        scores = scores.astype(np.float64, copy=False).reshape(n, self.blocks, self.block)  # no postings give whole numbers
+        t, q, w = terms[narrow], queries[narrow], weights[narrow]
+        first, row_entries, row_weights = self._rows
+        a, b = first[t], first[t + 1]
+        short = a == b
+        scores = self._added(t[short], q[short] * size, w[short], n * size).reshape(n, size)
+        ends = np.searchsorted(q, np.arange(n + 1)).tolist()
+        for i, j, own in zip(ends[:-1], ends[1:], scores):
+            at_rows = ranges_of(a[i:j], b[i:j])
+            scale = np.repeat(w[i:j], b[i:j] - a[i:j])
+            own += np.bincount(row_entries.take(at_rows, axis=0).ravel(), (row_weights.take(at_rows, axis=0) * scale[:, None]).ravel(), size)
+        scores = scores.reshape(n, self.blocks, self.block)
         asked = np.zeros((n, len(maxima)), np.float32)
         asked[queries[wide], at[wide]] = weights[wide]
         bounds = scores.max(axis=2) + (asked @ maxima) * (1 + 1e-5)

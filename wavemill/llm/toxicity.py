@@ -22,12 +22,12 @@ from __future__ import annotations
 
 import re
 import uuid
-from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
-from itertools import chain, groupby
+from itertools import chain, groupby, repeat
+from operator import add, itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from wavemill.llm.blockmax import BlockMaxIndex, ranges_of
+from wavemill.llm.blockmax import BlockMaxIndex
 from wavemill.llm.shared import bounded_batches, held_in_worker, require_columns, settle
 
 #: Labelled rows of each label that fitting takes at most: it bounds the index and what is broadcast.
@@ -57,50 +57,54 @@ DRAW = 0.05
 PREFIXES = (4, 5, 6)
 FOLDS, HELD_OUT = 5, 0
 _WORD = re.compile(r"[^\W\d_]+")
+_ASCII = {i: chr(i).lower() if chr(i).isalpha() else " " for i in range(128)}
 #: Words whose terms a worker remembers.
-_REMEMBERED = 200_000
+_REMEMBERED = 100_000
 #: Texts searched together, at most, and their characters, unless one text has more.
-TOGETHER, CHARACTERS = 64, 1 << 19
+TOGETHER, CHARACTERS = 128, 1 << 19
 
 
 def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
+def words_of(text: str | None) -> list[str]:
+    """Lower-cased words. Of ASCII texts they are runs of A-Z and a-z, which needs no pattern."""
+    if not text:
+        return []
+    return text.translate(_ASCII).split() if text.isascii() else _WORD.findall(text.lower())
+
+
 def terms_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
 
 
 class _Words(dict):
-    """Numbers of words, given as they are asked for, and the terms of each that a model knows."""
+    """Numbers of words, given as they are met, and the terms of each that a model knows (a row of :attr:`terms`; -1 stands for none)."""
 
     def __init__(self):
         super().__init__()
-        self.known: dict[str, int] = {}  # term numbers of the model
-        self.terms, self.ends = array("q"), array("q", [0])
-
-    def __missing__(self, word: str) -> int:
-        known = self.known
-        if len(word) <= PREFIXES[0]:
-            if word in known:
-                self.terms.append(known[word])
-        else:  # where a prefix isn't known, neither are longer ones nor the word
-            for n in PREFIXES:
-                if len(word) > n:
-                    at = known.get(word[:n] + "*")
-                    if at is None:
-                        break
-                    self.terms.append(at)
-            else:
-                if word in known:
-                    self.terms.append(known[word])
-        self.ends.append(len(self.terms))
-        self[word] = found = len(self)
-        return found
-
-    def forget(self) -> None:
-        self.clear()
-        self.terms, self.ends = array("q"), array("q", [0])
+        self.terms = np.zeros((1 << 12, 1 + len(PREFIXES)), np.int32)
+
+    def numbers(self, words: list[str], known: dict[str, int]) -> np.ndarray:
+        """The number of each word; ``known`` numbers the model's terms."""
+        at = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
+        if len(new := np.flatnonzero(at < 0)):
+            unmet = [words[i] for i in new.tolist()]
+            self._learn(list(dict.fromkeys(unmet)), known)
+            at[new] = np.fromiter(map(self.__getitem__, unmet), np.int64, len(unmet))
+        return at
+
+    def _learn(self, words: list[str], known: dict[str, int]) -> None:
+        had, n = len(self), len(words)
+        if had + n > len(self.terms):
+            self.terms = np.concatenate((self.terms[:had], np.zeros((had + 2 * n, self.terms.shape[1]), np.int32)))
+        got, length = self.terms[had : had + n], np.fromiter(map(len, words), np.int64, n)
+        got[:, 0] = np.fromiter(map(known.get, words, repeat(-1)), np.int32, n)
+        for k, size in enumerate(PREFIXES, 1):
+            first = map(add, map(itemgetter(slice(size)), words), repeat("*"))
+            got[:, k] = np.where(length > size, np.fromiter(map(known.get, first, repeat(-1)), np.int32, n), -1)
+        self.update(zip(words, range(had, had + n)))
 
 
 def _words_of_model(key: str) -> _Words:
@@ -127,13 +131,24 @@ def _together(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
         yield held
 
 
-def _bag(text: str | None) -> Counter:
-    """Terms of a text and how often they occur."""
-    count: Counter = Counter()
-    for word, n in Counter(_WORD.findall(text.lower()) if text else ()).items():
-        for t in terms_of(word):
-            count[t] += n
-    return count
+def _terms_in(text: str | None) -> set[str]:
+    """Terms of a text."""
+    words = set(words_of(text))
+    return words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in PREFIXES))
+
+
+def _bags(texts: list[str | None], words: _Words, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text's place, term, how often) of all known terms of some texts, ascending."""
+    found = [words_of(t) for t in texts]
+    at = words.numbers(list(chain.from_iterable(found)), known)
+    pair, often = np.unique(np.repeat(np.arange(len(texts)), [len(w) for w in found]) * max(len(words), 1) + at, return_counts=True)
+    text, at = np.divmod(pair, max(len(words), 1))
+    term = words.terms[at]
+    own = term >= 0
+    n = own.sum(axis=1)
+    pair, place = np.unique(np.repeat(text, n) * max(len(known), 1) + term[own], return_inverse=True)
+    often = np.bincount(place, np.repeat(often, n), len(pair))
+    return *np.divmod(pair, max(len(known), 1)), often
 
 
 @dataclass
@@ -176,20 +191,9 @@ class Model:
     def vectors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text's place, term, weight) of all known terms of some texts, ascending; the weights of a text are of unit length."""
         words = held_in_worker(_words_of_model, self.key)
-        words.known = self.terms
         if len(words) > _REMEMBERED:
-            words.forget()
-        found = [_WORD.findall(t.lower()) if t else [] for t in texts]
-        sizes = [len(w) for w in found]
-        at = np.fromiter(map(words.__getitem__, chain.from_iterable(found)), np.int64, sum(sizes))
-        pair, often = np.unique(np.repeat(np.arange(len(texts)), sizes) * max(len(words), 1) + at, return_counts=True)
-        text, at = np.divmod(pair, max(len(words), 1))
-        ends = np.array(words.ends)
-        n = ends[at + 1] - ends[at]
-        term = np.array(words.terms)[ranges_of(ends[at], ends[at + 1])]
-        pair, place = np.unique(np.repeat(text, n) * max(len(self.terms), 1) + term, return_inverse=True)
-        often = np.bincount(place, np.repeat(often, n), len(pair))
-        text, term = np.divmod(pair, max(len(self.terms), 1))
+            words.clear()
+        text, term, often = _bags(texts, words, self.terms)
         weight = (1 + np.log(often)) * self.weight[term]
         return text, term, weight / np.sqrt(np.bincount(text, weight**2, len(texts)))[text]
 
@@ -328,29 +332,32 @@ def fit(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_in_worker(_fitting, "count")
         for batch in batches:
-            rows: dict[str, np.ndarray] = {}
+            rows = [Counter() for _ in range(2 * PARTS)]
             for y, part, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                for x in _bag(t.as_py()):
-                    rows.setdefault(x, np.zeros(2 * PARTS, np.int64))[y * PARTS + part] += 1
-            table = np.stack(list(rows.values()), axis=1) if rows else np.zeros((2 * PARTS, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), *map(pa.array, table)], names=["term", *numbers])
+                rows[y * PARTS + part].update(_terms_in(t.as_py()))
+            terms = list(set().union(*rows))
+            table = [np.fromiter(map(r.get, terms, repeat(0)), np.int64, len(terms)) for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *map(pa.array, table)], names=["term", *numbers])
 
     numbers = [f"n{y}_{part}" for y in (0, 1) for part in range(PARTS)]
     counts = texts.select("y", "part", "text").mapInArrow(count, ", ".join(["term string", *[f"{n} long" for n in numbers]]))
     counted = counts.groupBy("term").agg(*[F.sum(n).alias(n) for n in numbers]).toArrow().sort_by("term")
     terms = {t: i for i, t in enumerate(counted.column("term").to_pylist())}
-    table = np.stack([counted.column(n).to_numpy() for n in numbers], axis=1)
+    table = np.stack([counted.column(n).to_numpy().astype(np.int32) for n in numbers], axis=1)  # at most as many as there are examples
+    del counted
     draft = Draft(terms, (table[:, :PARTS], table[:, PARTS:]), (sizes[0], sizes[1]), [], (n0 / h0, n1 / h1), base)
     known = spark.sparkContext.broadcast(terms)
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_in_worker(_fitting, "bags")
         for batch in batches:
-            at, often = [], []
-            for t in batch.column(3):
-                bag = sorted((known.value[x], n) for x, n in _bag(t.as_py()).items())
-                at.append(np.array([i for i, _ in bag], np.int32).tobytes())
-                often.append((1 + np.log([n for _, n in bag])).astype(np.float32).tobytes())
+            at, often, words = [], [], _Words()
+            for some in _together(t.as_py() for t in batch.column(3)):
+                text, term, count = _bags(some, words, known.value)
+                cuts = np.searchsorted(text, np.arange(len(some) + 1)).tolist()
+                term, count = term.astype(np.int32), (1 + np.log(count)).astype(np.float32)
+                at += [term[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])]
+                often += [count[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(at, pa.binary()), pa.array(often, pa.binary())], names=["id", "y", "part", "terms", "often"])
 
     kind = texts.schema["id"].dataType.simpleString()
@@ -358,10 +365,12 @@ def fit(
     fields = [bagged.column(c).to_pylist() for c in bagged.column_names]
     draft.examples = [(i, y, part, np.frombuffer(a, np.int32), np.frombuffer(w, np.float32)) for i, y, part, a, w in zip(*fields)]
     del bagged, fields
-    model = draft.model()
-    model.line = _cross_fitted(texts, draft)
     known.unpersist()
-    return model
+    line = _cross_fitted(texts, draft)  # before the model, so that the driver doesn't hold one beside what it sends
+    model = draft.model()
+    model.line = line
+    del draft
+    return model.lean()
 
 
 def _cross_fitted(texts: DataFrame, draft: Draft) -> tuple[float, float]:
