@@ -56,7 +56,7 @@ class BlockMaxIndex:
 
     def __getstate__(self):
         """Without what is made from the rest when it is asked for."""
-        return {k: v for k, v in self.__dict__.items() if k not in ("part_key", "_wide", "_rows")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("part_key", "_wide", "_rows", "_short")}
 
     @cached_property
     def part_key(self) -> np.ndarray:
@@ -85,11 +85,26 @@ class BlockMaxIndex:
         at = ranges_of(a, b)
         return np.bincount(self.entry[at], self.weight[at] * np.repeat(scale, b - a), self.n_entries)
 
+    @cached_property
+    def _short(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lists that are neither wide nor in rows: bounds of each term's postings, entries, weights."""
+        starts = self.part_start[self.term_start].astype(np.int64)
+        size = np.where((self._wide[0] < 0) & (np.diff(self._rows[0]) == 0), np.diff(starts), 0)
+        at = ranges_of(starts[:-1], starts[:-1] + size)
+        return np.concatenate(([0], np.cumsum(size))).astype(np.int32), self.entry[at], self.weight[at]
+
+    def only_top(self) -> None:
+        """Keep what :meth:`top_many` reads: its wide lists, rows and short lists hold all postings. Nothing else can be asked for after."""
+        if self.blocks and "_short" not in self.__dict__:
+            self._short  # noqa: B018  made from what goes
+            del self.entry, self.weight, self.part_start, self.part_block, self.part_max, self.term_start
+
     def _added(self, terms: np.ndarray, shifts: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
-        """Sums of the lists' weighted postings, each list's entries moved by its shift."""
-        a, b = self.part_start[self.term_start[terms]], self.part_start[self.term_start[terms + 1]]
+        """Sums of the short lists' weighted postings, each list's entries moved by its shift."""
+        first, entries, held = self._short
+        a, b = first[terms], first[terms + 1]
         posts = ranges_of(a, b)
-        sums = np.bincount(self.entry[posts] + np.repeat(shifts, b - a), self.weight[posts] * np.repeat(weights, b - a), size)
+        sums = np.bincount(entries[posts] + np.repeat(shifts, b - a), held[posts] * np.repeat(weights, b - a), size)
         return sums.astype(np.float64, copy=False)  # no postings give whole numbers
 
     def above(self, terms: np.ndarray, weights: np.ndarray, threshold: float) -> list[tuple[int, float]]:

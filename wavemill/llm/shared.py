@@ -107,6 +107,11 @@ _held: dict[tuple, object] = {}
 def fresh_worker() -> None:
     """Drop what an operator before has left in this Python worker, and give the memory back to the system."""
     _held.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that this Python worker doesn't use to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not glibc

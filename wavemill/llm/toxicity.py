@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from wavemill.llm.blockmax import BlockMaxIndex
-from wavemill.llm.shared import bounded_batches, held_in_worker, require_columns, settle
+from wavemill.llm.shared import bounded_batches, give_back, held_in_worker, require_columns, settle
 
 #: Labelled rows of each label that fitting takes at most: it bounds the index and what is broadcast.
 EXAMPLES = 3000
@@ -188,6 +188,12 @@ class Model:
         self.__dict__ = self.__getstate__()
         return self
 
+    def searching(self) -> Model:
+        """The model in a worker that scores and does nothing else: what only evidence needs of the index goes."""
+        self.index.only_top()
+        give_back()
+        return self
+
     def vectors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text's place, term, weight) of all known terms of some texts, ascending; the weights of a text are of unit length."""
         words = held_in_worker(_words_of_model, self.key)
@@ -385,7 +391,7 @@ def _cross_fitted(texts: DataFrame, draft: Draft) -> tuple[float, float]:
             for part, rows in groupby(zip(batch.column(0).to_pylist(), batch.column(2)), key=lambda x: x[0]):
                 if part != at:
                     model = None  # before the next is made
-                    at, model = part, shared.value.model(without=part).lean()
+                    at, model = part, shared.value.model(without=part).lean().searching()
                 found = model.nearest_many(t.as_py() for _, t in rows)
                 votes += [model.raw_vote(best, cosine) if len(best) else None for best, cosine in found]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(votes, pa.float64())], names=["y", "vote"])
@@ -408,7 +414,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_in_worker(_words_of_model, key)  # drops what stages before have left, then the model is loaded
-        m = shared.value
+        m = shared.value.searching()
         for batch in batches:
             found = list(m.nearest_many(t.as_py() for t in batch.column(1)))
             scores = pa.array([m.vote(*x) for x in found], pa.float64())
@@ -431,7 +437,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_in_worker(_words_of_model, key)  # drops what stages before have left, then the model is loaded
-        m = shared.value
+        m = shared.value.searching()
         for batch in batches:
             scores = [m.vote(*x) for x in m.nearest_many(t.as_py() for t in batch.column(at))]
             yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
